@@ -7,10 +7,25 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, mixing, url_filter
+from . import chat_format, exact_dedup, html_crf, mixing, quality, simhash, url_filter
 from .common import read
 
 
+def op1_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    model = quality.train(docs, read(spark, sf_dir, "labels"))
+    scored = docs.select("doc_id", quality.is_held_out(F.col("doc_id")).alias("held_out"), quality.classify(docs, model).alias("score"))
+    return scored.withColumn("predicted", (F.col("score") >= quality.CUT).cast("int"))
+
+
+def op2_html_crf(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_crf.extract_pages(read(spark, sf_dir, "pages")).select("page_id", "url", "text", "n_chars")
+
+
+def op3_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_dedup(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "fingerprint", "component_id")
+
+
 def op4_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     mixed = mixing.mix(read(spark, sf_dir, "documents"))
     return mixed.select(F.col("row.doc_id").alias("doc_id"), "size", "source_size", "target", (F.col("size") * F.col("copies")).alias("taken"))
@@ -31,7 +46,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op4_mixing, op5_exact_dedup, op8_chat_format, op9_url_filter)}
+    return {f.__name__: f for f in (op1_quality, op2_html_crf, op3_simhash, op4_mixing, op5_exact_dedup, op8_chat_format, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
