@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, exact_dedup, html_crf, mixing, quality, simhash, url_filter
+from . import chat_format, decontam, exact_dedup, html_crf, mixing, quality, simhash, url_filter
 from .common import read
 
 
@@ -35,6 +35,17 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    found = decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"))
+    return found.select(
+        F.col("row.doc_id").alias("doc_id"),
+        (F.size("leaks") > 0).alias("contaminated"),
+        F.transform("leaks", lambda x: x["item_id"]).alias("item_ids"),
+        F.coalesce(F.array_max(F.transform("leaks", lambda x: x["share"])), F.lit(0.0)).alias("share"),
+    )
+
+
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     return chat_format.digests(chat_format.format_chats(chats.unionByName(spark.sql(chat_format.PLANTED))))
@@ -46,7 +57,7 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html_crf, op3_simhash, op4_mixing, op5_exact_dedup, op8_chat_format, op9_url_filter)}
+    return {f.__name__: f for f in (op1_quality, op2_html_crf, op3_simhash, op4_mixing, op5_exact_dedup, op7_decontamination, op8_chat_format, op9_url_filter)}
 
 
 def oracle_sql() -> dict[str, str]:
