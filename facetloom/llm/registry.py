@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, exact_dedup, html_crf, mixing, quality, simhash, url_filter
+from . import chat_format, decontam, exact_dedup, html_crf, mixing, quality, simhash, suffix_dedup, url_filter
 from .common import read
 
 
@@ -56,8 +56,12 @@ def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffix_dedup.dedup_digests(read(spark, sf_dir, "documents"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html_crf, op3_simhash, op4_mixing, op5_exact_dedup, op7_decontamination, op8_chat_format, op9_url_filter)}
+    return {f.__name__: f for f in (op1_quality, op2_html_crf, op3_simhash, op4_mixing, op5_exact_dedup, op7_decontamination, op8_chat_format, op9_url_filter, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
