@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import chat_format, decontam, exact_dedup, html_crf, mixing, quality, simhash, suffix_dedup, url_filter
+from . import chat_format, decontam, exact_dedup, html_crf, lm_score, mixing, quality, simhash, suffix_dedup, url_filter
 from .common import read
 
 
@@ -35,6 +35,12 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return exact_dedup.exact_dedup(read(spark, sf_dir, "documents")).select(F.col("id").alias("doc_id"), "keep_id", "group_size", "kept", "text_sha256")
 
 
+def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = read(spark, sf_dir, "documents").select("doc_id", "text")
+    vocabulary, network = lm_score.train(docs)
+    return lm_score.scored(docs, vocabulary, network).withColumnRenamed("id", "doc_id")
+
+
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
     found = decontam.find_leaks(docs, read(spark, sf_dir, "benchmark"))
@@ -61,7 +67,7 @@ def op10_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_quality, op2_html_crf, op3_simhash, op4_mixing, op5_exact_dedup, op7_decontamination, op8_chat_format, op9_url_filter, op10_suffix_dedup)}
+    return {f.__name__: f for f in (op1_quality, op2_html_crf, op3_simhash, op4_mixing, op5_exact_dedup, op6_lm_score, op7_decontamination, op8_chat_format, op9_url_filter, op10_suffix_dedup)}
 
 
 def oracle_sql() -> dict[str, str]:
