@@ -23,6 +23,7 @@ import random
 import re
 from collections.abc import Callable, Iterable
 from functools import lru_cache
+from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -66,6 +67,7 @@ def blocks(page: str | None) -> list[Block]:
     stack: list[tuple[str, str]] = []
     texts: list[str] = []
     linked = at = links = 0
+    opened: list[tuple[str, str]] = []  # the elements around the block's first text
 
     def flush() -> None:
         nonlocal linked
@@ -73,14 +75,18 @@ def blocks(page: str | None) -> list[Block]:
             joined = "".join(texts)
             text = SPACE.sub(" ", html.unescape(joined) if "&" in joined else joined).strip()
             if text:
-                out.append((text, tuple([k for _, k in stack]), min(1.0, linked / max(1, len(joined)))))
+                # Elements that end or begin inside the block are not around it.
+                path = tuple([a[1] for a, b in takewhile(same, zip(opened, stack, strict=False))])
+                out.append((text, path, min(1.0, linked / max(1, len(joined)))))
             texts.clear()
         linked = 0
 
     while True:
         m = TOKEN.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
-        if piece:
+        if piece and (texts or not piece.isspace()):
+            if not texts:
+                opened = stack.copy()
             texts.append(piece)
             if links:
                 linked += len(piece)
@@ -123,6 +129,10 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
+def same(pair: tuple) -> bool:
+    return pair[0] is pair[1]
+
+
 def path_features(path: Iterable[str]) -> set[str]:
     """What the elements around a block say: every tag, every class word, and the innermost block tag."""
     out, inner = set(), "none"
@@ -255,7 +265,14 @@ def labelled_pages(n: int = N_PAGES, seed: int = SEED) -> list[tuple[str, list[t
 
         def say(text: str, label: int, truth: list = truth) -> str:
             truth.append((text, label))
-            return html.escape(text)
+            kind, written = rng.random(), html.escape(text)
+            if kind < 0.1:
+                tag = rng.choice(["b", "em", "span", "strong", "i", "small"])
+                return f"<{tag}>{written}</{tag}>"
+            if kind < 0.22 and " " in written:
+                head, _, tail = written.partition(" ")
+                return f'{head} <a href="/y">{tail}</a>' if kind < 0.14 else f"<b>{head}</b> {tail}" if kind < 0.18 else f'<a href="/z">{head}</a> {tail}'
+            return written
 
         def box(opening: str, inner: str) -> str:
             return f"{opening}{inner}</{re.match('<([a-z]+)', opening)[1]}>"
