@@ -40,16 +40,16 @@ from .common import shuffle_width
 BLOCK_WORDS = 32
 #: Hashed terms whose document frequencies are counted, and buckets of the term table.
 DF_BITS, LUT_BITS = 18, 22
-#: Terms in more than this share of documents describe no item that has enough rarer ones.
-MAX_DF, MIN_TERMS = 0.01, 8
+#: Terms in more than this share of documents, and more than so many, describe no item that has enough rarer ones.
+MAX_DF, FEW, MIN_TERMS = 0.01, 5, 8
 #: Latent dimensions besides one for each item, weight of the items' rows, seed.
 EXTRA_RANK, ITEM_WEIGHT, SEED = 56, 4.0, 5
 BLOCK_ITEMS = 256
 #: Cosine of a candidate; shares of an item in common that make a leak, alone or with the answer.
 COSINE, LEAK, PARAPHRASE = 0.2, 0.7, 0.5
 MIN_WORDS, ANSWER_WORDS = 5, 5
-#: Rows of a product that are summed up by one task.
-ROWS = 512
+#: Lines of a matrix in one part; parts are added up one by one, all over the cluster.
+ROWS = 32
 
 #: ASCII punctuation, read as white space.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -72,21 +72,21 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += 1
             df[np.unique(hashes_of(words_of(text)) & np.uint32((1 << DF_BITS) - 1))] += 1
     if n:
-        yield packed_rows(np.concatenate([df, [n]]).astype(np.float64)[:, None])
+        yield packed_rows(np.append(df, n)[:, None], ROWS * 64)
 
 
-def packed_rows(table: np.ndarray) -> pa.RecordBatch:
-    """A matrix as (part, bytes) rows of ``ROWS`` lines."""
-    parts = [table[i : i + ROWS].tobytes() for i in range(0, len(table), ROWS)]
+def packed_rows(table: np.ndarray, lines: int = ROWS) -> pa.RecordBatch:
+    """A matrix as (part, single-precision numbers) rows; a task's counts are exact in that."""
+    parts = [table[i : i + lines].astype(np.float32).tobytes() for i in range(0, len(table), lines)]
     return pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "data"])
 
 
 def add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sum for each part; a task holds its own parts only."""
+    """One sum, in double precision, for each part; a task holds its own parts only."""
     sums: dict[int, np.ndarray] = {}
     for batch in parts:
         for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            row = np.frombuffer(data, np.float64)
+            row = np.frombuffer(data, np.float32).astype(np.float64)
             sums[part] = sums[part] + row if part in sums else row
     if sums:
         yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "data"])
@@ -221,7 +221,9 @@ def portions(batch: pa.RecordBatch, words: int = 200_000) -> Iterator[list[list[
 
 def singular_vectors(z: np.ndarray, gauss: np.ndarray) -> np.ndarray:
     """Right singular vectors of A from ``z = A' A gauss``, largest first (a Nystroem step with a small shift)."""
-    shift = 1e-10 * max(np.linalg.norm(z), 1e-30)
+    if not z.any():
+        return np.zeros((len(z), 0))
+    shift = 1e-10 * np.linalg.norm(z)
     y = z + shift * gauss
     inner = gauss.T @ y
     inner = (inner + inner.T) / 2
@@ -328,7 +330,7 @@ def describe(items: list[Item], df: np.ndarray, n_docs: float) -> Terms:
         own = sorted({zlib.crc32(w) for w in item.words}, key=lambda h: (df[h & ((1 << DF_BITS) - 1)], h))
         for i, h in enumerate(own):
             count = df[h & ((1 << DF_BITS) - 1)]
-            if (i < MIN_TERMS or count <= MAX_DF * n_docs) and h not in columns:
+            if (i < MIN_TERMS or count <= max(FEW, MAX_DF * n_docs)) and h not in columns:
                 columns[h] = len(columns)
                 counts.append(count)
     return Terms(columns, np.array([idf_of(c) for c in counts]), (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32))
