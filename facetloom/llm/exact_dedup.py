@@ -6,8 +6,8 @@ adjacent names are paired, the distinct pairs are sorted and numbered in turn, a
 so on until each document has one name.  With the length in bytes that name is a
 collision-free identity: no step takes equal hashes for equal texts.
 
-Texts cross the network once to become distinct and once to be sorted; after that
-only integers move.  Distinct blocks and pairs are pre-aggregated before each
+Texts cross the network once, to the partition where equal blocks meet and are
+sorted; after that only integers move.  Distinct blocks and pairs are pre-aggregated before each
 shuffle, and the joins back to documents leave a hot name to adaptive skew splitting.
 
 Defined results: a null text counts as empty; equal texts form one group in which
@@ -36,8 +36,8 @@ def blocks_of(text: Column, size: int) -> Column:
 
 
 def numbered(distinct: DataFrame, *order: str) -> DataFrame:
-    """Integer names in sorted order."""
-    return distinct.sort(*order).withColumn("name", F.monotonically_increasing_id())
+    """Integer names in sorted order, first by the hash partition that made the rows distinct."""
+    return distinct.sortWithinPartitions(*order).withColumn("name", F.monotonically_increasing_id())
 
 
 def name_blocks(texts: DataFrame, size: int, seed: int) -> DataFrame:
