@@ -34,7 +34,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import shuffle_width
+from .sums import PART_SCHEMA, ROWS, packed_rows, summed, task_number
 
 #: Words in a block; a passage is two adjacent blocks.
 BLOCK_WORDS = 32
@@ -48,8 +48,6 @@ BLOCK_ITEMS = 256
 #: Cosine of a candidate; shares of an item in common that make a leak, alone or with the answer.
 COSINE, LEAK, PARAPHRASE = 0.2, 0.7, 0.5
 MIN_WORDS, ANSWER_WORDS = 5, 5
-#: Lines of a matrix in one part; parts are added up one by one, all over the cluster.
-ROWS = 32
 
 #: ASCII punctuation, read as white space.
 PUNCTUATION = b"!\"#$%&'()*+,-./:;<=>?@[\\]^_`{|}~"
@@ -72,33 +70,7 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             n += 1
             df[np.unique(hashes_of(words_of(text)) & np.uint32((1 << DF_BITS) - 1))] += 1
     if n:
-        yield packed_rows(np.append(df, n)[:, None], ROWS * 64)
-
-
-def packed_rows(table: np.ndarray, lines: int = ROWS) -> pa.RecordBatch:
-    """A matrix as (part, single-precision numbers) rows; a task's counts are exact in that."""
-    parts = [table[i : i + lines].astype(np.float32).tobytes() for i in range(0, len(table), lines)]
-    return pa.record_batch([pa.array(range(len(parts)), pa.int32()), pa.array(parts, pa.binary())], names=["part", "data"])
-
-
-def add_up(parts: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """One sum, in double precision, for each part; a task holds its own parts only."""
-    sums: dict[int, np.ndarray] = {}
-    for batch in parts:
-        for part, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-            row = np.frombuffer(data, np.float32).astype(np.float64)
-            sums[part] = sums[part] + row if part in sums else row
-    if sums:
-        yield pa.record_batch([pa.array(list(sums), pa.int32()), pa.array([x.tobytes() for x in sums.values()], pa.binary())], names=["part", "data"])
-
-
-def summed(partial: DataFrame, width: int) -> np.ndarray | None:
-    """The sum of the matrices that tasks sent as parts, added up by part before it is collected."""
-    tasks = min(shuffle_width(partial.sparkSession), 64)
-    rows = partial.repartition(tasks, "part").mapInArrow(add_up, "part int, data binary").collect()
-    if not rows:
-        return None
-    return np.concatenate([np.frombuffer(r["data"], np.float64).reshape(-1, width) for r in sorted(rows, key=lambda r: r["part"])])
+        yield packed_rows(np.append(df, n)[:, None], ROWS * 64, task_number())
 
 
 @dataclass
@@ -203,7 +175,7 @@ def product(batches: Iterator[pa.RecordBatch], terms: Terms, seed: int, rank: in
             row = np.searchsorted(blocks, block)
             add_by_column(total, column, row, back)
     if seen:
-        yield packed_rows(total * terms.idf[:, None])
+        yield packed_rows(total * terms.idf[:, None], giver=task_number())
 
 
 def portions(batch: pa.RecordBatch, words: int = 200_000) -> Iterator[list[list[bytes]]]:
@@ -354,7 +326,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     items = read_items(benchmark, item_col, bench_text_col, answer_col)
     out = docs.select(row, text, F.array().cast(leak_type).alias("leaks"))
     if items:
-        counted = summed(docs.select(text).mapInArrow(count_terms, "part int, data binary"), 1)
+        counted = summed(docs.select(text).mapInArrow(count_terms, PART_SCHEMA), 1)
         if counted is not None:
             df, n_docs = counted[:-1, 0], counted[-1, 0]
             for at in range(0, len(items), BLOCK_ITEMS):
@@ -370,7 +342,7 @@ def prepare(texts: DataFrame, items: list[Item], df: np.ndarray, n_docs: float)
     own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
     rank = min(len(terms.idf), len(items) + EXTRA_RANK)
     gauss = np.random.default_rng(SEED).standard_normal((len(terms.idf), rank))
-    z = summed(texts.mapInArrow(lambda it: product(it, terms, SEED, rank), "part int, data binary"), rank)
+    z = summed(texts.mapInArrow(lambda it: product(it, terms, SEED, rank), PART_SCHEMA), rank)
     z = np.zeros((len(terms.idf), rank)) if z is None else z
     scale = max(1.0, np.linalg.norm(z, axis=0).mean() / math.sqrt(rank))
     z = z + ITEM_WEIGHT * scale * (own.T @ (own @ gauss))

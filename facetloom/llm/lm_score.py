@@ -8,9 +8,10 @@ others around it.
 
 The vocabulary comes from counts of all words of all documents.  Training takes the
 same share of places from every document, so it grows with the corpus; the examples
-are dealt to a fixed number of learners, each of which runs through its own as a
-stream, and their weights are averaged after each round.  What returns to the driver
-is one set of weights for each learner.  Scoring reads each text once and whole.
+are dealt to learners, as many as the table has partitions, each of which runs through
+its own as a stream, and their weights are averaged after each round.  The averages
+are summed up by tasks; one set of weights returns to the driver.  Scoring reads each
+text once and whole.
 
 Defined results: null and empty texts have no words, log-probability 0 and mean 0;
 equal texts score alike.  An empty table gives an empty table.
@@ -30,15 +31,18 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import cut
+from .sums import PART_SCHEMA, packed_rows, summed
 
 #: Words are named in groups; the last groups are for words outside the vocabulary, by hash.
 GROUPS, PLACES, RARE_GROUPS = 64, 64, 16
 #: Words on each side, sizes of word vectors and of the hidden layer.
 SIDE, VECTOR, HIDDEN = 2, 12, 32
-#: One place in ``EVERY`` is an example; learners, rounds, examples in a step, rate and seed.
-EVERY, LEARNERS, ROUNDS, STEP, RATE, SEED = 16, 24, 2, 256, 0.08, 3
-#: Places scored at once.
-AT_ONCE = 1 << 14
+#: One place in ``EVERY`` is an example; rounds, examples in a step, rate and seed.
+EVERY, ROUNDS, STEP, RATE, SEED = 16, 2, 256, 0.08, 3
+#: Fewest learners; a larger table has one for each of its partitions.
+LEARNERS = 24
+#: Places scored at once, and weights in one part of a sum.
+AT_ONCE, PART = 1 << 14, 1 << 11
 
 N_WORDS = GROUPS * PLACES
 N_KNOWN = (GROUPS - RARE_GROUPS) * PLACES
@@ -198,30 +202,29 @@ def steps(parts: Iterator[bytes], size: int = STEP) -> Iterator[tuple[np.ndarray
 
 
 def run_learners(batches: Iterator[pa.RecordBatch], weights: bytes, rate: float) -> Iterator[pa.RecordBatch]:
-    """(learner, seen, weights) for the learners of a task; their examples come together."""
+    """The weights of a task's learners times the examples they saw, and last that number, as parts of a sum."""
     parts = ((k, e) for b in batches for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
     for learner, own in itertools.groupby(parts, lambda p: p[0]):
         network = Network.unpacked(weights)
         seen = network.learn(steps(e for _, e in own), rate)
-        yield pa.record_batch([pa.array([learner], pa.int32()), pa.array([seen], pa.int64()), pa.array([network.packed()], pa.binary())], names=["learner", "seen", "weights"])
+        held = np.frombuffer(network.packed(), "<f4").astype(np.float64)
+        yield packed_rows(np.append(held * seen, seen)[:, None], PART, learner)
 
 
-def train(docs: DataFrame, text_col: str = "text", every: int = EVERY, learners: int = LEARNERS, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vocabulary, Network]:
+def train(docs: DataFrame, text_col: str = "text", every: int = EVERY, learners: int | None = None, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vocabulary, Network]:
     vocabulary = build_vocabulary(docs, text_col)
     texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    examples = texts.mapInArrow(lambda it: take_examples(it, vocabulary, every, learners), "learner int, examples binary")
+    n = learners or max(LEARNERS, texts.rdd.getNumPartitions())
+    examples = texts.mapInArrow(lambda it: take_examples(it, vocabulary, every, n), "learner int, examples binary")
     # Which batch comes first would change the weights, so each learner's parts are put in order.
-    dealt = cut(examples.repartition(learners, "learner").sortWithinPartitions("learner", F.xxhash64("examples")))
+    dealt = cut(examples.repartition(n, "learner").sortWithinPartitions("learner", F.xxhash64("examples")))
     network = Network.start()
     for turn in range(rounds):
         weights, step = network.packed(), rate / (1 + turn)
-        learned = dealt.mapInArrow(lambda it: run_learners(it, weights, step), "learner int, seen long, weights binary").collect()  # noqa: B023
-        total = sum(r["seen"] for r in learned)
-        if not total:
+        total = summed(dealt.mapInArrow(lambda it: run_learners(it, weights, step), PART_SCHEMA), 1)  # noqa: B023
+        if total is None:
             break
-        learned.sort(key=lambda r: r["learner"])
-        mean = sum(np.frombuffer(r["weights"], "<f4").astype(np.float64) * (r["seen"] / total) for r in learned)
-        network = Network.unpacked(mean.astype("<f4").tobytes())
+        network = Network.unpacked((total[:-1, 0] / total[-1, 0]).astype("<f4").tobytes())
     return vocabulary, network
 
 
