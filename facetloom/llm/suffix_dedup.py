@@ -49,9 +49,9 @@ LENGTH = 50
 #: Bytes that an anchor's hash covers.
 ANCHOR = 24
 #: Bytes of text in a shard and behind a bucket of anchors; a longer document is a shard of its own.
-SHARD_BYTES, BUCKET_BYTES = 4 << 20, 16 << 20
+SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 #: Starts whose anchors are sought at once.
-STRETCH = 1 << 21
+STRETCH = 1 << 19
 #: Symbols of the fragments whose suffixes are sorted as one shard's.
 TRANSFORM_SYMBOLS = 1 << 18
 #: The id that null stands for, and the byte that ends a fragment: no UTF-8 text has it.
@@ -295,40 +295,58 @@ class Transform:
         while span < longest and (groups := int(rank.max(initial=0)) + 1) < n:
             rank = ranked(rank.astype(np.uint64) << np.uint64(32) | rank[ahead].astype(np.uint64))
             ahead, span = ahead[ahead], span * 2
-        self.suffixes = np.argsort(rank, kind="stable").astype(np.int32)
-        row = np.empty(n, np.int32)
-        row[self.suffixes] = np.arange(n, dtype=np.int32)
+        self.suffixes = np.argsort(rank).astype(np.int32)
+        self.row_of = np.empty(n, np.int32)
+        self.row_of[self.suffixes] = np.arange(n, dtype=np.int32)
         back = before[before]
         pair = (ended[back].astype(np.uint16) << np.uint16(8)) | ended[before]
         self.symbols = pair[self.suffixes]
-        self.leads = row[back[self.suffixes]]
+        self.leads = self.row_of[back[self.suffixes]]
 
 
 def ranked(key: np.ndarray) -> np.ndarray:
-    order = np.argsort(key, kind="stable")
+    order = np.argsort(key)
     sorted_ = key[order]
     rank = np.empty(len(key), np.int32)
     rank[order] = np.cumsum(np.r_[False, sorted_[1:] != sorted_[:-1]][: len(key)], dtype=np.int32)
     return rank
 
 
-def interleave(parts: list[Transform], length: int) -> tuple[np.ndarray, np.ndarray]:
-    """(rows, interval): the rows of all transforms in the order of their first ``length`` symbols, and equal ones numbered alike."""
+def interleave(parts: list[Transform], rows: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(rows, interval) of the suffixes ``length`` symbols before those of ``rows``, equal intervals for equal first ``length`` symbols.
+
+    ``rows`` come in the order of the transforms laid end to end, the first interleave.
+    A suffix that has become the only one of its interval stays so, as do those before
+    it; it leaves the interleave and is not returned.
+    """
     symbols = np.concatenate([p.symbols for p in parts])
     leads = np.concatenate([p.leads + np.int32(p.base) for p in parts])
-    rows = np.arange(len(symbols), dtype=np.int32)
-    interval = np.zeros(len(symbols), np.int32)
-    for _ in range(-(-length // 2)):
+    interval = np.zeros(len(rows), np.int32)
+    for turn in range(length // 2):
         before = symbols[rows]
         order = np.argsort(before, kind="stable")
         before, inherited = before[order], interval[order]
         rows = leads[rows[order]]
         # Suffixes part where the two symbols before them differ, or what follows had parted.
-        interval = np.cumsum(np.r_[False, (before[1:] != before[:-1]) | (inherited[1:] != inherited[:-1])], dtype=np.int32)
+        parted = (before[1:] != before[:-1]) | (inherited[1:] != inherited[:-1])
+        interval = np.cumsum(np.concatenate([[False], parted]), dtype=np.int32)
+        if turn % 4 == 3 or turn == length // 2 - 1:
+            alone = np.concatenate([[True], parted]) & np.concatenate([parted, [True]])
+            rows, interval = rows[~alone], interval[~alone]
+            if not len(rows):
+                break
     return rows, interval
 
 
-def smallest_ids(pieces: list[bytes], ids: np.ndarray, length: int, symbols: int = TRANSFORM_SYMBOLS) -> list[np.ndarray]:
+class Replies(NamedTuple):
+    """For fragments in order: runs of starts with the same smallest id."""
+
+    first: np.ndarray  # run of each fragment, and one more
+    sizes: np.ndarray
+    ids: np.ndarray
+
+
+def smallest_ids(pieces: list[bytes], ids: np.ndarray, length: int, symbols: int = TRANSFORM_SYMBOLS) -> Replies:
     """For each start of each fragment, the smallest id of a fragment with the same string of ``length`` bytes."""
     parts, some, held, base = [], [], 0, 0
     for p in pieces:
@@ -338,19 +356,25 @@ def smallest_ids(pieces: list[bytes], ids: np.ndarray, length: int, symbols: int
         some.append(p)
         held += len(p) + 1
     parts.append(Transform(some, base))
-    lens = np.array([len(p) for p in pieces], np.int64)
-    rows, interval = interleave(parts, length)
-    places = np.concatenate([p.suffixes.astype(np.int64) + p.base for p in parts])[rows]
-    firsts = np.cumsum(lens + 1) - (lens + 1)
-    owner = np.repeat(np.arange(len(pieces)), lens + 1)
-    room = np.repeat(firsts + lens, lens + 1) - np.arange(len(owner)) >= length
-    use = room[places]
-    places, interval = places[use], interval[use]
-    edges = np.flatnonzero(np.r_[True, interval[1:] != interval[:-1]])
-    least = np.minimum.reduceat(ids[owner[places]], edges)
-    found = np.empty(len(owner), np.int64)
-    found[places] = np.repeat(least, np.diff(np.r_[edges, len(places)]))
-    return [found[a : a + n] for a, n in zip(firsts.tolist(), (lens - length + 1).tolist(), strict=True)]
+    lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
+    starts = lens - length + 1
+    total = np.cumsum(starts) - starts
+    # Each start's place among all symbols; the refinement sets out from where its string ends.
+    place = np.repeat(np.cumsum(lens + 1) - (lens + 1) - total, starts) + np.arange(int(starts.sum()))
+    row_of = np.concatenate([p.row_of + np.int32(p.base) for p in parts])
+    suffixes = np.concatenate([p.suffixes + np.int32(p.base) for p in parts])
+    rows, interval = interleave(parts, np.sort(row_of[place + length]), length)
+    owner = np.repeat(np.arange(len(pieces)), starts)
+    found = ids[owner]
+    if len(rows):
+        start_at = np.zeros(len(row_of), np.int32)
+        start_at[place] = np.arange(len(place), dtype=np.int32)
+        which = start_at[suffixes[rows]]
+        edges = np.flatnonzero(np.concatenate([[True], interval[1:] != interval[:-1]]))
+        least = np.minimum.reduceat(found[which], edges)
+        found[which] = np.repeat(least, np.diff(np.append(edges, len(which))))
+    runs = np.flatnonzero(np.concatenate([[True], (found[1:] != found[:-1]) | (owner[1:] != owner[:-1])]))
+    return Replies(np.searchsorted(owner[runs], np.arange(len(pieces) + 1)), np.diff(np.append(runs, len(found))), found[runs])
 
 
 def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
@@ -379,24 +403,26 @@ def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
         # Only fragments whose anchor has others have anything to compare.
         _, which, counts = np.unique(value, return_inverse=True, return_counts=True)
         differing = np.flatnonzero(counts[which] > 1)
-        finer: dict[int, np.ndarray] = {}
+        first = np.zeros(len(pieces), np.int64)
+        n_runs = np.zeros(len(pieces), np.int64)
         if len(differing):
-            finer = dict(zip(differing.tolist(), smallest_ids([pieces[i] for i in differing.tolist()], least[differing], length), strict=True))
-        replies: dict[int, list[tuple[int, int]]] = {}
-        for i, found in finer.items():
-            edges = np.flatnonzero(np.r_[True, found[1:] != found[:-1]])
-            if len(edges) > 1:
-                replies[i] = list(zip(np.diff(np.r_[edges, len(found)]).tolist(), found[edges].tolist(), strict=True))
-            else:
-                least[i] = found[0]
+            finer = smallest_ids([pieces[i] for i in differing.tolist()], least[differing], length)
+            counts = np.diff(finer.first)
+            first[differing], n_runs[differing] = finer.first[:-1], counts
+            single = counts == 1
+            least[differing[single]] = finer.ids[finer.first[:-1][single]]
         data = []
         for where, ids in zip(wheres, ids_of, strict=True):
             # Fragments whose own smallest id holds for all their strings need no reply.
-            split = np.fromiter((w in replies for w in where.tolist()), bool, len(where))
+            split = n_runs[where] > 1
             simple = np.flatnonzero((least[where] < ids) & ~split)
-            runs = [(i, 255, int(least[where[i]])) for i in simple.tolist()]
-            runs += [(i, n, d) for i in np.flatnonzero(split).tolist() for n, d in replies[int(where[i])]]
-            data.append(b"".join([np.array([r[0] for r in runs], np.int32).tobytes(), np.array([r[1] for r in runs], np.uint8).tobytes(), np.array([r[2] for r in runs], np.int64).tobytes()]))
+            several = np.flatnonzero(split)
+            n = n_runs[where[several]]
+            along = np.repeat(first[where[several]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+            sizes, smallest = (finer.sizes[along], finer.ids[along]) if len(several) else (along, along)
+            fragment = np.concatenate([simple, np.repeat(several, n)]).astype(np.int32)
+            size = np.concatenate([np.full(len(simple), 255), sizes]).astype(np.uint8)
+            data.append(fragment.tobytes() + size.tobytes() + np.concatenate([least[where[simple]], smallest]).astype(np.int64).tobytes())
         yield answer_rows(bucket, "fragment", [r[0] for r in rows], data)
 
 
@@ -408,11 +434,11 @@ def cut_shards(shards: pa.Table, answers: pa.Table, bucket_bits: int, length: in
         covered = cover(own, runs, fragment, held, answers_of(answers, "fragment"), length)
         raw = np.frombuffer(own.text, np.uint8)
         begins = own.ends - own.lens
-        sums = np.r_[0, np.cumsum(covered)]
+        sums = np.concatenate([[0], np.cumsum(covered, dtype=np.int32)])
         removed = sums[own.ends] - sums[begins]
         rises = covered & ~np.r_[False, covered[:-1]]
         rises[begins[(own.lens > 0)]] = covered[begins[own.lens > 0]]
-        starts = np.r_[0, np.cumsum(rises)]
+        starts = np.concatenate([[0], np.cumsum(rises, dtype=np.int32)])
         spans = starts[own.ends] - starts[begins]
         kept = [own.text[a:b] if not r else raw[a:b][~covered[a:b]].tobytes() for a, b, r in zip(begins.tolist(), own.ends.tolist(), removed.tolist(), strict=True)]
         nulls = np.frombuffer(shards.column("nulls")[at].as_py(), bool)
@@ -455,7 +481,7 @@ def cover(own: Shard, runs: np.ndarray, fragment: np.ndarray, held: list[tuple[i
         at = (np.repeat(own.first[r] - total, n) + along)[small]
         np.add.at(change, at, 1)
         np.add.at(change, at + length, -1)
-    return np.cumsum(change[:-1]) > 0
+    return np.cumsum(change[:-1], dtype=np.int32) > 0
 
 
 class Found(NamedTuple):
