@@ -66,7 +66,6 @@ def identify(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
         even, odd = F.when(F.col("pos") % 2 == 0, F.col("name")), F.when(F.col("pos") % 2 == 1, F.col("name"))
         pairs = level.filter("last > 0").groupBy("key", F.shiftright("pos", 1).alias("pos"), F.shiftright("last", 1).alias("last"))
         pairs = pairs.agg(F.max(even).alias("a"), F.coalesce(F.max(odd), F.lit(-1)).alias("b"))
-        pairs = cut(pairs)
         names = cut(numbered(pairs.select("a", "b").distinct(), "a", "b"))
         level = cut(pairs.join(names, ["a", "b"]).select("key", "pos", "last", "name"))
         done = done.unionByName(level.filter("last = 0").select("key", "name"))

@@ -1,0 +1,102 @@
+import re
+
+import numpy as np
+import pytest
+
+from facetloom.llm import html_crf as h
+from facetloom.llm import registry
+
+
+def texts(page):
+    return [b[0] for b in h.blocks(page)]
+
+
+@pytest.mark.parametrize(
+    ("page", "expected"),
+    [
+        (None, []),
+        ("", []),
+        ("plain & simple &amp; &lt;b&gt; &#233;&#x41;&eacute;", ["plain & simple & <b> éAé"]),
+        ("<p>a<b>b</b>c<br>d<p>e  \n f", ["abc", "d", "e f"]),
+        ("<head><title>t</title></head><p>x</p>", ["x"]),
+        ("<script>var t='</p><p>no</p>';</script><p>x</p><style>p{}</style>", ["x"]),
+        ("<!-- <p>no</p> --><p>x</p><!-- open", ["x"]),
+        ("<script>never closed <p>x</p>", []),
+        ("<div title='a > b'>x</div><a href=\"x>y\">z</a>", ["x", "z"]),
+        ("<div title='unclosed>x</div>", ["x"]),
+        ("</p></div>a<li>b<li>c</ul>d", ["a", "b", "c", "d"]),
+        ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]),
+        ("<p>&nbsp;</p><p>a&nbsp;b</p>", ["a b"]),
+        ("<P CLASS=x>Up</P>", ["Up"]),
+    ],
+)
+def test_blocks(page, expected):
+    assert texts(page) == expected
+
+
+def test_ancestors():
+    (text, path, linked), = [b for b in h.blocks('<div class="Side-bar" id=nav role="menu"><ul><li><a href=x>one</a></li></ul></div>')]
+    assert text == "one" and linked == 1.0
+    assert path == ("div side bar nav menu", "ul", "li")
+    assert [b[1] for b in h.blocks("<p><b>x</b> y<p><i>z<br>w")] == [("p",), ("p", "i"), ("p", "i")]
+    assert {"in:div", "word:side", "word:menu", "at:li"} <= h.path_features(path)
+
+
+def test_viterbi_finds_the_best_labels():
+    rng = np.random.default_rng(1)
+    page = [(f"w{i} x", ("div",), 0.0) for i in range(7)]
+    model = h.ChainModel({}, rng.normal(size=(2, 2)))
+    scores = rng.normal(size=7).tolist()
+    model.emissions = lambda p: scores
+    value = lambda y: sum(s for s, v in zip(scores, y, strict=True) if v) + sum(model.same[a, b] for a, b in zip(y, y[1:], strict=False))
+    best = max((tuple(map(int, f"{k:07b}")) for k in range(128)), key=value)
+    assert tuple(model.decode(page)) == best
+    assert model.decode([]) == []
+
+
+def test_training_follows_the_likelihood():
+    pages = [(h.blocks(p), [y for _, y in t]) for p, t in h.labelled_pages(40, seed=3)]
+    model = h.train(pages, epochs=6)
+    right = sum(int(a == b) for p, y in pages for a, b in zip(model.decode(p), y, strict=True))
+    assert right / sum(len(y) for _, y in pages) > 0.97
+
+
+def test_held_out_pages():
+    model = h.default_model()
+    right = total = 0
+    for page, truth in h.labelled_pages(150, seed=1234):
+        labels = h.align(h.blocks(page), truth)
+        assert labels is not None
+        found = model.decode(h.blocks(page))
+        right += sum(int(a == b) for a, b in zip(found, labels, strict=True))
+        total += len(labels)
+    assert right / total > 0.99
+
+
+def test_layouts_not_generated():
+    page = """<!DOCTYPE html><html><head><title>T</title><meta charset=utf-8></head><body>
+    <header class="top"><a href="/">Home</a> <a href="/x">News</a></header><nav><ul><li><a href=a>Menu entry</a></li></ul></nav>
+    <div class="cookie-banner">We use cookies. <button>Accept</button></div>
+    <article><h1>Title here</h1><p>First <b>bold</b> paragraph &amp; more.</p><div class="ad">Buy this now.</div><p>Second one,
+    which is   longer.</p><ul><li>Point one.</li></ul></article>
+    <aside><h3>Related</h3><p>Another story, quite long, with a full sentence in it.</p></aside>
+    <section id="comments"><p>I liked this article very much, thanks for it.</p></section>
+    <form><label>Email</label><input></form><footer>&copy; 2025 Site. All rights reserved.</footer></body></html>"""
+    assert h.default_model().extract(page) == "Title here First bold paragraph & more. Second one, which is longer. Point one."
+
+
+def test_pages_of_the_table(spark, data):
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    got = registry.op2_html_crf(spark, data).collect()
+    assert len(got) == len(rows)
+    for r in got:
+        body = re.search(r"<article>(.*)</article>", rows[r["page_id"]], re.S)[1]
+        assert r["text"] == " ".join(texts(body)) and r["n_chars"] == len(r["text"])
+
+
+def test_odd_rows_and_clashing_columns(spark):
+    df = spark.createDataFrame([(1, None, "keep"), (2, "", None), (2, "<article><p>x</p></article>", "k"), (3, "<p>" + "long text " * 100_000, "k")], "page_id long, html string, text string").selectExpr("*", "1 AS n_chars", "html AS url")
+    got = h.extract_pages(df).collect()
+    assert [(r["page_id"], r["text"][:9], r["n_chars"]) for r in got][:3] == [(1, "", 0), (2, "", 0), (2, "x", 1)]
+    assert got[3]["n_chars"] in (0, 999_999)
+    assert h.extract_pages(df.limit(0)).collect() == []
