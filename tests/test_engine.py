@@ -109,6 +109,12 @@ def test_compat_corners(compat, query, expected):
     assert ids(compat, **query) == expected
 
 
+def test_many_totals_from_one_scan(ds):
+    asks = [{}, {"equal": {"status": "open"}}, {"equal": {"nope": 1}}, {"equal": {"zone_name": "North"}, "ranges": {"n": {}}}, {"not_equal": {"tags": "a"}}, {"is_null": ["tags"]}]
+    assert ds.totals(asks) == [ds.total(a) for a in asks] == ds.totals(asks, at_once=2)
+    assert ds.totals([]) == []
+
+
 def test_keys_match_across_types(spark):
     df = spark.createDataFrame([(1, True, "5"), (2, False, "true"), (3, None, "5.0")], "k int, flag boolean, s string")
     ds = FacetDataset.create(df, {"dataset_id": "x", "facets": ["k", "flag", "s"]})
