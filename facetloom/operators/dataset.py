@@ -42,14 +42,7 @@ class FacetResult:
 
     @cached_property
     def _counted(self) -> tuple[int, dict[str, dict[str, int]]]:
-        counts: dict[str, dict[str, int]] = {f: {} for f in self.facet_fields}
-        total = 0
-        for r in fc.facet_counts(self.matches, self.facet_fields, with_total=True).collect():
-            if r["field"] is None:
-                total = r["count"]
-            else:
-                counts[r["field"]][r["value"]] = r["count"]
-        return total, counts
+        return fc.collected_counts(self.matches, self.facet_fields)
 
     @property
     def facet_dict(self) -> dict[str, dict[str, int]] | None:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.facets import facet_counts, occurrences
+from ..operators.facets import counted, exploded_counts, occurrences
 from ..plans.compiler import Compiler, column
 from ..plans.manifest import Manifest
 from ..plans.query import FacetQuery, normalize
@@ -25,15 +25,14 @@ def matching(stream: DataFrame, manifest: Manifest, query: FacetQuery | Mapping
 
 def stream_facet_counts(stream: DataFrame, manifest: Manifest, query: FacetQuery | Mapping | None = None, **parts) -> DataFrame:
     """(field, value, count) so far; for output modes update and complete."""
-    return facet_counts(matching(stream, manifest, query, **parts), [f for f in manifest.facets if f in stream.columns])
+    return exploded_counts(matching(stream, manifest, query, **parts), [f for f in manifest.facets if f in stream.columns])
 
 
 def windowed_facet_counts(stream: DataFrame, manifest: Manifest, time: str, width: str, late: str, query: FacetQuery | Mapping | None = None, **parts) -> DataFrame:
     """(window, field, value, count) by event time; the watermark bounds the state."""
     rows = matching(stream, manifest, query, **parts).withWatermark(time, late)
     facets = [f for f in manifest.facets if f in stream.columns]
-    counted = rows.select(F.window(column(time), width).alias("window"), *[column(f) for f in facets])
-    kinds = {f.name: f.dataType for f in stream.schema.fields}
-    parts_ = [occurrences(f, kinds[f]) for f in facets]
-    pairs = counted.select("window", F.inline(F.concat(*parts_) if len(parts_) > 1 else parts_[0]))
-    return pairs.filter("value IS NOT NULL").groupBy("window", "field", "value").agg(F.count(F.lit(1)).alias("count"))
+    kinds = {f.name: f.dataType for f in stream.schema.fields if f.name in facets}
+    each = [occurrences(f, kinds[f]) for f in facets]
+    timed = rows.select(F.window(column(time), width).alias("window"), *[column(f) for f in facets])
+    return counted(timed.select("window", F.inline(F.concat(*each) if len(each) > 1 else each[0])), kinds, "window")
