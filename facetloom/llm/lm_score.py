@@ -43,6 +43,8 @@ EVERY, ROUNDS, STEP, RATE, SEED = 16, 2, 256, 0.08, 3
 LEARNERS = 24
 #: Places scored at once, and weights in one part of a sum.
 AT_ONCE, PART = 1 << 14, 1 << 11
+#: Partitions that the most frequent words are gathered in.
+FEW = 8
 
 N_WORDS = GROUPS * PLACES
 N_KNOWN = (GROUPS - RARE_GROUPS) * PLACES
@@ -165,8 +167,17 @@ def log_softmax(z: np.ndarray) -> np.ndarray:
 def build_vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
     """The most frequent words of all documents; their number is fixed."""
     words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), r"[\x09-\x0D\x20]+")).alias("word")).filter("word <> ''")
-    counted = words.groupBy("word").count().orderBy(F.desc("count"), "word").limit(N_KNOWN)
-    return Vocabulary({r["word"].encode("utf-8", "replace"): i for i, r in enumerate(counted.collect())})
+    counted = words.groupBy("word").count().sortWithinPartitions(F.desc("count"), "word")
+    # A few partitions' heads come to the driver, not those of all partitions.
+    heads = counted.mapInArrow(lambda it: first_rows(it, N_KNOWN), counted.schema).repartition(FEW)
+    known = heads.orderBy(F.desc("count"), "word").limit(N_KNOWN).collect()
+    return Vocabulary({r["word"].encode("utf-8", "replace"): i for i, r in enumerate(known)})
+
+
+def first_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        yield batch.slice(0, n)
+        n -= min(n, batch.num_rows)
 
 
 def take_examples(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, every: int, learners: int) -> Iterator[pa.RecordBatch]:
