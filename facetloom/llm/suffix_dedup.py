@@ -7,10 +7,12 @@ with a smaller id.  Four steps find those strings exactly:
    later step moves their text again.
 2. Every string of ``LENGTH`` bytes has an anchor, the place in it where a hash of
    ``ANCHOR`` bytes is least.  Equal strings have equal anchors, so a string can only
-   repeat if its anchor's hash does.  Shards send the hashes, 4 bytes for each distinct
-   one, and get back a bit that says whether it occurs elsewhere.
+   repeat if its anchor's hash does.  Shards send the hashes, 5 bytes for each distinct
+   one, and get back whether it occurs elsewhere and whether it is hot.
 3. Runs of strings with a repeated anchor become fragments: the text they span, once
-   for each shard, with the smallest id that has it.  Fragments meet by anchor.  Where
+   for each shard, with the smallest id that has it.  Fragments meet by anchor; those of
+   a hot anchor are split into single strings that meet by their own hash, so the many
+   surroundings of one frequent passage are spread over all buckets.  Where
    an anchor's fragments are all equal, so are its strings.  Where they differ, each
    shard's fragments get a suffix array and a Burrows-Wheeler transform, and the
    transforms are merged by refining their interleave, two symbols at a time: a stable
@@ -24,8 +26,7 @@ Defined results: a null text is empty; rows with the same id do not count as sma
 than each other; null ids count as larger than all others and never remove anything
 from each other.  An empty table gives an empty table.
 
-A task holds one shard, or the fragments of one bucket of anchors.  A bucket grows
-with the number of different fragments of a very frequent anchor; see the README.
+A task holds one shard, or the fragments of one bucket.
 """
 
 from __future__ import annotations
@@ -50,6 +51,8 @@ LENGTH = 50
 ANCHOR = 24
 #: Bytes of text in a shard and behind a bucket of anchors; a longer document is a shard of its own.
 SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Runs with the same anchor from which on it is hot.
+HOT_RUNS = 1000
 #: Starts whose anchors are sought at once.
 STRETCH = 1 << 19
 #: Symbols of the fragments whose suffixes are sorted as one shard's.
@@ -99,13 +102,14 @@ def least_ahead(keys: np.ndarray, width: int) -> np.ndarray:
     return np.minimum(keys[:-rest], keys[rest:]) if rest else keys
 
 
-def anchor_hashes(text: bytes, at: int, n: int, width: int) -> np.ndarray:
-    """Hashes of the ``width`` bytes from each of ``n`` places on; ``text`` is long enough."""
-    words = np.ndarray((n + width - 8,), "<u8", text, at, (1,))
-    h = words[:n] * np.uint64(0x9E3779B97F4A7C15)
+def hashes_at(text: bytes, at: int, places: slice | np.ndarray, width: int) -> np.ndarray:
+    """Hashes of the ``width`` bytes from each place (counted from ``at``) on; ``text`` is eight bytes longer than it needs to be."""
+    words = np.ndarray((len(text) - at - 7,), "<u8", text, at, (1,))
+    shifted = lambda o: slice(places.start + o, places.stop + o) if isinstance(places, slice) else places + o
+    h = words[places] * np.uint64(0x9E3779B97F4A7C15)
     for o in [*range(8, width - 8, 8), width - 8]:
         h ^= h >> np.uint64(31)
-        h += words[o : o + n]
+        h += words[shifted(o)]
         h *= np.uint64(0xD6E8FEB86659FD93)
     h ^= h >> np.uint64(32)
     h *= np.uint64(0xD6E8FEB86659FD93)
@@ -126,7 +130,7 @@ class Shard:
         bits = np.uint64(max(1, (STRETCH + window).bit_length()))
         for at in range(0, max(0, len(text) - length + 1), STRETCH):
             n = min(STRETCH, len(text) - length + 1 - at)
-            h = anchor_hashes(padded, at, n + window - 1, anchor)
+            h = hashes_at(padded, at, slice(0, n + window - 1), anchor)
             # The least hash, and of equal ones the first, in one number.
             keys = (h >> bits << bits) | np.arange(len(h), dtype=np.uint64)
             place = (least_ahead(keys, window) & ((np.uint64(1) << bits) - np.uint64(1))).astype(np.int64)
@@ -146,48 +150,71 @@ class Shard:
         self.doc = np.searchsorted(self.ends, self.first, "right")
 
     def values(self, bucket_bits: int) -> np.ndarray:
-        """The part of the anchors' hashes that is sent: bucket bits, then 32 more."""
-        return self.hash >> np.uint64(32 - bucket_bits)
+        """What is sent of the anchors' hashes: bucket bits, then 32 more, stirred again since anchors have the least hashes."""
+        h = self.hash * np.uint64(0x9E3779B97F4A7C15)
+        h ^= h >> np.uint64(32)
+        h *= np.uint64(0xD6E8FEB86659FD93)
+        return h >> np.uint64(32 - bucket_bits)
 
-    def shared(self, bucket_bits: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray]:
-        """The runs whose anchor occurs elsewhere, and their values."""
+    def shared(self, bucket_bits: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """The runs whose anchor occurs elsewhere, their values, and which of them are hot."""
         values = self.values(bucket_bits)
         distinct, which = np.unique(values, return_inverse=True)
         buckets = (distinct >> np.uint64(32)).astype(np.int64)
-        bits = np.zeros(len(distinct), bool)
+        bits = np.zeros((2, len(distinct)), bool)
         for bucket, answer in answers.items():
             lo, hi = np.searchsorted(buckets, [bucket, bucket + 1])
-            bits[lo:hi] = np.unpackbits(np.frombuffer(answer, np.uint8), count=hi - lo).astype(bool)
-        runs = np.flatnonzero(bits[which]) if len(which) else which
-        return runs, values[runs]
-
-    def fragments(self, bucket_bits: int, answers: dict[int, bytes]) -> tuple[np.ndarray, np.ndarray, list[tuple[int, bytes, int]]]:
-        """(shared runs, the fragment of each, [(value, text, smallest id)]) with fragments in order of value."""
-        runs, values = self.shared(bucket_bits, answers)
+            half = len(answer) // 2
+            for i in range(2):
+                bits[i, lo:hi] = np.unpackbits(np.frombuffer(answer, np.uint8, half, i * half), count=hi - lo).astype(bool)
+        runs = np.flatnonzero(bits[0][which])
+        return runs, values[runs], bits[1][which[runs]]
+
+    def fragments(self, bucket_bits: int, answers: dict[int, bytes]) -> Fragments:
+        """What the shard's runs with a shared anchor span, in order of value; hot ones string by string."""
+        runs, values, hot = self.shared(bucket_bits, answers)
+        first, last = self.first[runs], self.last[runs]
+        n = (last - first + 1)[hot]
+        single = np.repeat(first[hot] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        own = hashes_at(self.text + bytes(8), 0, single, self.length) >> np.uint64(32 - bucket_bits) if len(single) else values[:0]
+        first, last = np.concatenate([first[~hot], single]), np.concatenate([last[~hot], single])
+        values = np.concatenate([values[~hot], own])
+        doc = np.concatenate([self.doc[runs[~hot]], np.repeat(self.doc[runs[hot]], n)])
         order = np.argsort(values, kind="stable")
-        runs, values = runs[order], values[order]
-        text, extra = self.text, self.length
-        places: dict[bytes, int] = {}
-        held: list[tuple[int, bytes, int]] = []
-        own = np.empty(len(runs), np.int64)
-        ids = self.ids[self.doc[runs]].tolist()
-        spans = zip(self.first[runs].tolist(), (self.last[runs] + extra).tolist(), values.tolist(), ids, strict=True)
-        for i, (a, b, v, doc) in enumerate(spans):
+        first, last, values, doc = first[order], last[order], values[order], doc[order]
+        text, places, least = self.text, {}, []
+        held: list[tuple[int, bytes]] = []
+        kind = np.empty(len(first), np.int64)
+        spans = zip(first.tolist(), (last + self.length).tolist(), values.tolist(), self.ids[doc].tolist(), strict=True)
+        for i, (a, b, v, number) in enumerate(spans):
             piece = text[a:b]
             at = places.setdefault(piece, len(held))
             if at == len(held):
-                held.append((v, piece, doc))
-            elif doc < held[at][2]:
-                held[at] = (v, piece, doc)
-            own[i] = at
-        return runs, own, held
+                held.append((v, piece))
+                least.append(number)
+            elif number < least[at]:
+                least[at] = number
+            kind[i] = at
+        return Fragments(first, doc, kind, np.array([v for v, _ in held], np.uint64), [p for _, p in held], np.array(least, np.int64))
+
+
+class Fragments(NamedTuple):
+    """Where a shard's fragments stand (start, document, number of the fragment), and what they are (value, text, smallest id)."""
+
+    first: np.ndarray
+    doc: np.ndarray
+    kind: np.ndarray
+    values: np.ndarray
+    pieces: list[bytes]
+    least: np.ndarray
 
 
 def send_hashes(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
-    """(bucket, shard, values, repeats): the distinct anchor hashes of a shard, and which it has more than once."""
+    """(bucket, shard, values, counts): the distinct anchor hashes of a shard, and how often it has each, up to 255."""
     for shard, own in shards_of(batches):
         distinct, counts = np.unique(own.values(bucket_bits), return_counts=True)
-        yield dealt(shard, distinct, lambda lo, hi: (distinct[lo:hi].astype(np.uint32).tobytes(), np.packbits(counts[lo:hi] > 1).tobytes()), ["values", "repeats"])  # noqa: B023
+        counts = np.minimum(counts, 255).astype(np.uint8)
+        yield dealt(shard, distinct, lambda lo, hi: (distinct[lo:hi].astype(np.uint32).tobytes(), counts[lo:hi].tobytes()), ["values", "counts"])  # noqa: B023
 
 
 def dealt(shard: int, ascending: np.ndarray, payload, names: list[str]) -> pa.RecordBatch:
@@ -220,17 +247,15 @@ def by_bucket(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tup
         yield now, rows
 
 
-def answer_hashes(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(shard, kind, bucket, data): for each hash that a shard sent, whether it has another place."""
+def answer_hashes(batches: Iterator[pa.RecordBatch], hot_runs: int = HOT_RUNS) -> Iterator[pa.RecordBatch]:
+    """(shard, kind, bucket, data): for each hash that a shard sent, a bit if it has another place, and then a bit if it is hot."""
     for bucket, rows in by_bucket(batches):
         sent = [np.frombuffer(v, np.uint32) for _, v, _ in rows]
-        again = np.concatenate([np.unpackbits(np.frombuffer(r, np.uint8), count=len(v)) for (_, _, r), v in zip(rows, sent, strict=True)])
-        _, which, counts = np.unique(np.concatenate(sent), return_inverse=True, return_counts=True)
-        often = np.zeros(len(counts), bool)
-        often[which[again.astype(bool)]] = True
-        bits = (often | (counts > 1))[which]
+        counts = np.frombuffer(b"".join([c for _, _, c in rows]), np.uint8)
+        _, which = np.unique(np.concatenate(sent), return_inverse=True)
+        runs = np.bincount(which, counts)[which]
         edges = np.cumsum([0, *map(len, sent)])
-        answers = [np.packbits(bits[a:b]).tobytes() for a, b in itertools.pairwise(edges.tolist())]
+        answers = [np.packbits(runs[a:b] > 1).tobytes() + np.packbits(runs[a:b] >= hot_runs).tobytes() for a, b in itertools.pairwise(edges.tolist())]
         yield answer_rows(bucket, "anchor", [s for s, _, _ in rows], answers)
 
 
@@ -250,19 +275,13 @@ def send_fragments(shards: pa.Table, answers: pa.Table, bucket_bits: int) -> pa.
     """(bucket, shard, values, ids, lens, text): a shard's fragments."""
     out = []
     for shard, own in shards_of(shards.to_batches()):
-        _, _, held = own.fragments(bucket_bits, answers_of(answers, "anchor"))
-        values = np.array([v for v, _, _ in held], np.uint64)
-
-        def payload(lo: int, hi: int) -> tuple:
-            some = held[lo:hi]  # noqa: B023
-            return (
-                values[lo:hi].astype(np.uint32).tobytes(),  # noqa: B023
-                np.array([i for _, _, i in some], np.int64).tobytes(),
-                np.array([len(t) for _, t, _ in some], np.uint8).tobytes(),
-                b"".join([t for _, t, _ in some]),
-            )
-
-        out.append(dealt(shard, values, payload, ["values", "ids", "lens", "text"]))
+        found = own.fragments(bucket_bits, answers_of(answers, "anchor"))
+        lens = np.fromiter(map(len, found.pieces), np.uint8, len(found.pieces))
+
+        def payload(lo: int, hi: int, found: Fragments = found, lens: np.ndarray = lens) -> tuple:
+            return (found.values[lo:hi].astype(np.uint32).tobytes(), found.least[lo:hi].tobytes(), lens[lo:hi].tobytes(), b"".join(found.pieces[lo:hi]))
+
+        out.append(dealt(shard, found.values, payload, ["values", "ids", "lens", "text"]))
     return pa.Table.from_batches(out, FRAGMENTS) if out else FRAGMENTS.empty_table()
 
 
@@ -430,8 +449,7 @@ def cut_shards(shards: pa.Table, answers: pa.Table, bucket_bits: int, length: in
     """(id, n_bytes, n_removed, n_spans, kept) for the documents of a shard."""
     out: list[pa.RecordBatch] = []
     for at, (_, own) in enumerate(shards_of(shards.to_batches())):
-        runs, fragment, held = own.fragments(bucket_bits, answers_of(answers, "anchor"))
-        covered = cover(own, runs, fragment, held, answers_of(answers, "fragment"), length)
+        covered = cover(own, own.fragments(bucket_bits, answers_of(answers, "anchor")), answers_of(answers, "fragment"), length)
         raw = np.frombuffer(own.text, np.uint8)
         begins = own.ends - own.lens
         sums = np.concatenate([[0], np.cumsum(covered, dtype=np.int32)])
@@ -451,13 +469,12 @@ CUT = pa.schema([("id", pa.int64()), ("n_bytes", pa.int64()), ("n_removed", pa.i
 CUT_SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 
-def cover(own: Shard, runs: np.ndarray, fragment: np.ndarray, held: list[tuple[int, bytes, int]], replies: dict[int, bytes], length: int) -> np.ndarray:
+def cover(own: Shard, found: Fragments, replies: dict[int, bytes], length: int) -> np.ndarray:
     """Which bytes of a shard a string covers that also starts in a document with a smaller id."""
-    values = np.array([v for v, _, _ in held], np.uint64)
-    starts_of = np.array([len(t) - length + 1 for _, t, _ in held], np.int64)
+    starts_of = np.fromiter(map(len, found.pieces), np.int64, len(found.pieces)) - length + 1
     offsets = np.r_[0, np.cumsum(starts_of)]
-    least = np.repeat(np.array([i for _, _, i in held], np.int64), starts_of)
-    buckets = (values >> np.uint64(32)).astype(np.int64)
+    least = np.repeat(found.least, starts_of)
+    buckets = (found.values >> np.uint64(32)).astype(np.int64)
     for bucket, data in replies.items():
         n = len(data) // 13
         which, sizes = np.frombuffer(data, np.int32, n), np.frombuffer(data, np.uint8, n, 4 * n).astype(np.int64)
@@ -471,14 +488,14 @@ def cover(own: Shard, runs: np.ndarray, fragment: np.ndarray, held: list[tuple[i
         place = np.repeat(offsets[at] + within - total, sizes) + np.arange(int(sizes.sum()))
         least[place] = np.repeat(ids, sizes)
     change = np.zeros(len(own.text) + 1, np.int32)
-    sizes = starts_of[fragment]
+    sizes = starts_of[found.kind]
     step = 1 << 16
-    for lo in range(0, len(runs), step):
-        f, r, n = fragment[lo : lo + step], runs[lo : lo + step], sizes[lo : lo + step]
+    for lo in range(0, len(sizes), step):
+        f, first, n = found.kind[lo : lo + step], found.first[lo : lo + step], sizes[lo : lo + step]
         total = np.cumsum(n) - n
         along = np.arange(int(n.sum()))
-        small = least[np.repeat(offsets[f] - total, n) + along] < np.repeat(own.ids[own.doc[r]], n)
-        at = (np.repeat(own.first[r] - total, n) + along)[small]
+        small = least[np.repeat(offsets[f] - total, n) + along] < np.repeat(own.ids[found.doc[lo : lo + step]], n)
+        at = (np.repeat(first - total, n) + along)[small]
         np.add.at(change, at, 1)
         np.add.at(change, at + length, -1)
     return np.cumsum(change[:-1], dtype=np.int32) > 0
@@ -510,7 +527,7 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     total = shards.agg(F.sum("n_bytes")).first()[0] or 0
     bits = max(3, math.ceil(math.log2(max(1, total / BUCKET_BYTES))))
 
-    sent = shards.mapInArrow(lambda it: send_hashes(it, bits), "bucket int, shard long, values binary, repeats binary")
+    sent = shards.mapInArrow(lambda it: send_hashes(it, bits), "bucket int, shard long, values binary, counts binary")
     anchors = by_bucket_rows(sent, bits).mapInArrow(answer_hashes, ANSWER_SCHEMA)
     anchors = cut(anchors)
     keyed, replies = shards.groupBy("shard"), anchors.groupBy("shard")
