@@ -47,8 +47,12 @@ def name_blocks(texts: DataFrame, size: int, seed: int) -> DataFrame:
     return cut(numbered(keyed.distinct(), "block").select("h1", "h2", "name"))
 
 
+def last_block(text: Column, size: int) -> Column:
+    return F.floor(F.greatest(F.octet_length(text) - 1, F.lit(0)) / size).cast("int")
+
+
 def identify(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
-    """(key, name) for ``rows`` (key, norm): with the length in bytes, equal names mean equal texts."""
+    """``rows`` (key, norm, more) with a name in place of norm: with the length in bytes, equal names mean equal texts."""
     for seed in range(1, 9):
         names = name_blocks(rows, size, seed)
         # The two hashes only address a name; that no two blocks share an address is checked, not assumed.
@@ -57,8 +61,8 @@ def identify(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     else:
         raise RuntimeError("blocks share an address under every seed")
     addresses = F.transform(blocks_of(F.col("norm"), size), lambda b: F.struct(F.xxhash64(b, F.lit(seed)).alias("h1"), F.xxhash64(F.lit(seed), b).alias("h2")))
-    placed = rows.select("key", F.posexplode(addresses).alias("pos", "a"), F.floor(F.greatest(F.octet_length("norm") - 1, F.lit(0)) / size).cast("int").alias("last"))
-    placed = placed.select("key", "pos", "last", F.col("a.h1").alias("h1"), F.col("a.h2").alias("h2"))
+    small = cut(rows.withColumns({"last": last_block(F.col("norm"), size), "addresses": addresses}).drop("norm"))
+    placed = small.select("key", "last", F.posexplode("addresses").alias("pos", "a")).select("key", "pos", "last", "a.h1", "a.h2")
     level = cut(placed.join(names, ["h1", "h2"]).select("key", "pos", "last", "name"))
     done = level.filter("last = 0").select("key", "name")
     deepest = level.agg(F.max("last")).first()[0] or 0
@@ -70,7 +74,7 @@ def identify(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
         level = cut(pairs.join(names, ["a", "b"]).select("key", "pos", "last", "name"))
         done = done.unionByName(level.filter("last = 0").select("key", "name"))
         deepest >>= 1
-    return done
+    return small.drop("last", "addresses").join(done, "key")
 
 
 def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
@@ -80,9 +84,8 @@ def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", s
     """
     norm = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
     rows = df.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), norm.alias("norm"))
-    facts = rows.select("key", "id", F.octet_length("norm").alias("n_bytes"), F.sha2(F.col("norm"), 256).alias("text_sha256"))
-    found = facts.join(identify(rows.select("key", "norm"), size), "key")
-    found = cut(found)
+    facts = {"n_bytes": F.octet_length("norm"), "text_sha256": F.sha2(F.col("norm"), 256)}
+    found = cut(identify(rows.withColumns(facts), size))
     groups = found.groupBy("n_bytes", "name").agg(
         F.max(F.struct("id", "key")).alias("stays"), F.count(F.lit(1)).alias("group_size")
     )
