@@ -279,7 +279,7 @@ def send_fragments(shards: pa.Table, answers: pa.Table, bucket_bits: int) -> pa.
         lens = np.fromiter(map(len, found.pieces), np.uint8, len(found.pieces))
 
         def payload(lo: int, hi: int, found: Fragments = found, lens: np.ndarray = lens) -> tuple:
-            return (found.values[lo:hi].astype(np.uint32).tobytes(), found.least[lo:hi].tobytes(), lens[lo:hi].tobytes(), b"".join(found.pieces[lo:hi]))
+            return (found.values[lo:hi].astype(np.uint32).tobytes(), found.least[lo:hi].tobytes(), lens[lo:hi].tobytes(), pa.compress(b"".join(found.pieces[lo:hi]), "zstd", asbytes=True))
 
         out.append(dealt(shard, found.values, payload, ["values", "ids", "lens", "text"]))
     return pa.Table.from_batches(out, FRAGMENTS) if out else FRAGMENTS.empty_table()
@@ -404,6 +404,7 @@ def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
         wheres, ids_of, values_of = [], [], []
         for _, values, ids, lens, text in rows:
             edges = np.cumsum(np.r_[0, np.frombuffer(lens, np.uint8)].astype(np.int64)).tolist()
+            text = pa.decompress(text, edges[-1], "zstd", asbytes=True)
             where = []
             for a, b in itertools.pairwise(edges):
                 piece = text[a:b]
