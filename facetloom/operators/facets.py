@@ -11,7 +11,6 @@ from pyspark.sql import types as T
 from ..functions.keys import INTEGRAL_BITS, TIME_TYPES, canonical_text, key_text, number_key
 from ..plans.compiler import column
 
-
 #: Facets in one aggregate: the number of a grouping set has a bit for each.
 MAX_SETS = 48
 #: Columns that hold facet values until they are counted: texts, doubles, whole numbers and booleans.
@@ -64,8 +63,10 @@ def exploded_counts(df: DataFrame, facets: list[str]) -> DataFrame:
 
 def grouping(df: DataFrame, facets: list[str]) -> DataFrame:
     """(g0, g1, ..., count, set): scalar facets as grouping sets over one scan, and the number of rows as the empty set."""
-    names = [f"g{i}" for i in range(len(facets))]
-    rows = df.select(*[column(f).alias(n) for f, n in zip(facets, names, strict=True)])
+    names, kinds = [f"g{i}" for i in range(len(facets))], {f.name: f.dataType for f in df.schema.fields}
+    # Times of the same millisecond are one value.
+    value = lambda f: key_text(column(f), kinds[f]) if isinstance(kinds[f], TIME_TYPES) else column(f)
+    rows = df.select(*[value(f).alias(n) for f, n in zip(facets, names, strict=True)])
     return rows.groupingSets([*[[n] for n in names], []], *names).agg(F.count(F.lit(1)).alias("count"), F.grouping_id().alias("set"))
 
 
@@ -76,12 +77,12 @@ def set_of(at: int, n: int) -> int:
 
 def grouped_counts(df: DataFrame, facets: list[str]) -> DataFrame:
     """(field, value, count) of scalar facets; the row of null field has the number of rows."""
-    kinds, n = {f.name: f.dataType for f in df.schema.fields}, len(facets)
+    groups, n = grouping(df, facets), len(facets)
     field, value = F.lit(None).cast("string"), F.when(F.col("set") == (1 << n) - 1, F.lit(""))
     for i, f in enumerate(facets):
-        own = F.col("set") == set_of(i, n)
-        field, value = F.when(own, F.lit(f)).otherwise(field), F.when(own, key_text(F.col(f"g{i}"), kinds[f])).otherwise(value)
-    return grouping(df, facets).select(field.alias("field"), value.alias("value"), "count").filter("value IS NOT NULL")
+        own, text = F.col("set") == set_of(i, n), key_text(F.col(f"g{i}"), groups.schema[f"g{i}"].dataType)
+        field, value = F.when(own, F.lit(f)).otherwise(field), F.when(own, text).otherwise(value)
+    return groups.select(field.alias("field"), value.alias("value"), "count").filter("value IS NOT NULL")
 
 
 def split_facets(df: DataFrame, facets: list[str]) -> tuple[list[list[str]], list[str]]:

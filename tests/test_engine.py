@@ -163,6 +163,28 @@ def test_facet_counts(ds):
     assert ds.query().facets is None
 
 
+def test_facets_of_every_type(spark):
+    df = spark.sql(
+        "SELECT * FROM VALUES (TIMESTAMP_NTZ '2025-01-01 00:00:00.0001', DATE '2025-01-01', 1.50BD, CAST(0.5 AS FLOAT), true, array(1, null, 1)),"
+        " (TIMESTAMP_NTZ '2025-01-01 00:00:00.0009', DATE '2025-01-02', 1.5BD, CAST(-0.0 AS FLOAT), null, null), (null, null, null, CAST('NaN' AS FLOAT), false, array()) AS t(at, day, dec, f, b, a)"
+    )
+    ds = FacetDataset.create(df, {"dataset_id": "x", "facets": df.columns})
+    found = ds.query(include_facet_counts=True)
+    expected = {
+        "at": {"2025-01-01T00:00:00.000Z": 2}, "day": {"2025-01-01T00:00:00.000Z": 1, "2025-01-02T00:00:00.000Z": 1}, "dec": {"1.5": 2},
+        "f": {"0.5": 1, "0": 1, "NaN": 1}, "b": {"true": 1, "false": 1}, "a": {"1": 2, "null": 1},
+    }
+    assert found.facet_dict == expected and found.total == 3
+    listed = {}
+    for r in found.facets.collect():
+        assert r["value"] not in listed.setdefault(r["field"], {})
+        listed[r["field"]][r["value"]] = r["count"]
+    assert listed == expected
+    for field, counts in expected.items():
+        for key, n in counts.items():
+            assert ds.total(equal={field: key}) == (n if field != "a" else 1)
+
+
 SCHEMA_NAMES = [c.split()[0] for c in SCHEMA.split(", ")]
 
 
