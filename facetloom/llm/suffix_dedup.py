@@ -182,30 +182,29 @@ class Shard:
         doc = np.concatenate([self.doc[runs[~hot]], np.repeat(self.doc[runs[hot]], n)])
         order = np.argsort(values, kind="stable")
         first, last, values, doc = first[order], last[order], values[order], doc[order]
-        text, places, least = self.text, {}, []
-        held: list[tuple[int, bytes]] = []
-        kind = np.empty(len(first), np.int64)
-        spans = zip(first.tolist(), (last + self.length).tolist(), values.tolist(), self.ids[doc].tolist(), strict=True)
-        for i, (a, b, v, number) in enumerate(spans):
-            piece = text[a:b]
-            at = places.setdefault(piece, len(held))
-            if at == len(held):
-                held.append((v, piece))
-                least.append(number)
-            elif number < least[at]:
-                least[at] = number
-            kind[i] = at
-        return Fragments(first, doc, kind, np.array([v for v, _ in held], np.uint64), [p for _, p in held], np.array(least, np.int64))
+        # Only runs of the same value can span equal text; of equal ones the first stands for all.
+        n, stands = len(first), np.arange(len(first))
+        again = np.concatenate([[False], values[1:] == values[:-1]])[:n]
+        twins = np.flatnonzero(again | np.append(again[1:], False)[:n])
+        text, places = self.text, {}
+        spans = zip(twins.tolist(), first[twins].tolist(), (last[twins] + self.length).tolist(), strict=True)
+        stands[twins] = [places.setdefault(text[a:b], i) for i, a, b in spans]
+        heads = np.flatnonzero(stands == np.arange(n))
+        kind = np.searchsorted(heads, stands)
+        least = np.full(len(heads), NO_ID, np.int64)
+        np.minimum.at(least, kind, self.ids[doc])
+        return Fragments(first, doc, kind, values[heads], first[heads], last[heads] + self.length, least)
 
 
 class Fragments(NamedTuple):
-    """Where a shard's fragments stand (start, document, number of the fragment), and what they are (value, text, smallest id)."""
+    """Where a shard's fragments stand (start, document, number of the fragment), and what they are (value, span, smallest id)."""
 
     first: np.ndarray
     doc: np.ndarray
     kind: np.ndarray
     values: np.ndarray
-    pieces: list[bytes]
+    begin: np.ndarray
+    end: np.ndarray
     least: np.ndarray
 
 
@@ -276,10 +275,11 @@ def send_fragments(shards: pa.Table, answers: pa.Table, bucket_bits: int) -> pa.
     out = []
     for shard, own in shards_of(shards.to_batches()):
         found = own.fragments(bucket_bits, answers_of(answers, "anchor"))
-        lens = np.fromiter(map(len, found.pieces), np.uint8, len(found.pieces))
 
-        def payload(lo: int, hi: int, found: Fragments = found, lens: np.ndarray = lens) -> tuple:
-            return (found.values[lo:hi].astype(np.uint32).tobytes(), found.least[lo:hi].tobytes(), lens[lo:hi].tobytes(), pa.compress(b"".join(found.pieces[lo:hi]), "zstd", asbytes=True))
+        def payload(lo: int, hi: int, text: bytes = own.text, found: Fragments = found) -> tuple:
+            begin, end = found.begin[lo:hi], found.end[lo:hi]
+            pieces = b"".join([text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
+            return (found.values[lo:hi].astype(np.uint32).tobytes(), found.least[lo:hi].tobytes(), (end - begin).astype(np.uint8).tobytes(), pa.compress(pieces, "zstd", asbytes=True))
 
         out.append(dealt(shard, found.values, payload, ["values", "ids", "lens", "text"]))
     return pa.Table.from_batches(out, FRAGMENTS) if out else FRAGMENTS.empty_table()
@@ -472,7 +472,7 @@ CUT_SCHEMA = "id long, n_bytes long, n_removed long, n_spans long, kept binary"
 
 def cover(own: Shard, found: Fragments, replies: dict[int, bytes], length: int) -> np.ndarray:
     """Which bytes of a shard a string covers that also starts in a document with a smaller id."""
-    starts_of = np.fromiter(map(len, found.pieces), np.int64, len(found.pieces)) - length + 1
+    starts_of = found.end - found.begin - length + 1
     offsets = np.r_[0, np.cumsum(starts_of)]
     least = np.repeat(found.least, starts_of)
     buckets = (found.values >> np.uint64(32)).astype(np.int64)
