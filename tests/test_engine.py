@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from facetloom import FacetDataset, FacetQuery, function_tool, load, query_schema, save
 from facetloom.plans.manifest import Field, Manifest
+from facetloom.plans.query import normalize
 from facetloom.streaming.counts import stream_facet_counts, windowed_facet_counts
 
 from .naive import facet_counts
@@ -312,6 +313,25 @@ def test_save_and_load(spark, ds, tmp_path):
     assert "__row_id" not in back.query().items.columns
 
 
+def test_stored_totals(spark, ds, tmp_path, monkeypatch):
+    save(ds, str(tmp_path / "d"))
+    save(ds, str(tmp_path / "plain"), totals=False)
+    asks = [{}, {"equal": {"status": "open"}}, {"equal": {"status": ["open", "", "gone", "open"]}}, {"equal": {"status": []}}, {"equal": {"zone": 5}}]
+    other = [{"equal": {"tags": "a"}}, {"equal": {"status": ["open", None]}}, {"equal": {"n": 5}}, {"equal": {"nope": 1}}, {"equal": {"zone_name": "North"}}, {"equal": {"status": "open", "zone": "z1"}}, {"not_equal": {"status": "open"}}, {"equal": {"status": None}}]
+    for most in (100_000, 2):
+        monkeypatch.setattr("facetloom.sources.store.MAX_HELD", most)
+        again, plain = load(spark, str(tmp_path / "d")), load(spark, str(tmp_path / "plain"))
+        for q in asks + other:
+            assert again.total(q) == plain.total(q) == ds.total(q), q
+            assert (again.stored_total(normalize(FacetQuery.of(q))) is not None) == (q in asks)
+    empty = FacetDataset.create(ds.df.limit(0), CONFIG)
+    save(empty, str(tmp_path / "e"))
+    assert load(spark, str(tmp_path / "e")).total() == 0 == load(spark, str(tmp_path / "e")).total(equal={"status": "open"})
+    again.dispose()
+    with pytest.raises(RuntimeError):
+        again.total()
+
+
 def test_filters_reach_the_scan(spark, ds, tmp_path):
     save(ds, str(tmp_path / "d"))
     found = load(spark, str(tmp_path / "d")).query(equal={"status": ["open", "closed"]}, not_equal={"zone": "z2"}, select=["id"]).items
