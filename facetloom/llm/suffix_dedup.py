@@ -12,14 +12,14 @@ with a smaller id.  Four steps find those strings exactly:
 3. Runs of strings with a repeated anchor become fragments: the text they span, once
    for each shard, with the smallest id that has it.  Fragments meet by anchor; those of
    a hot anchor are split into single strings that meet by their own hash, so the many
-   surroundings of one frequent passage are spread over all buckets.  Where
-   an anchor's fragments are all equal, so are its strings.  Where they differ, each
-   shard's fragments get a suffix array and a Burrows-Wheeler transform, and the
-   transforms are merged by refining their interleave, two symbols at a time: a stable
-   sort of the interleaved preceding symbols orders the suffixes by two symbols more.
-   No suffix is compared or sorted again.  Along the way the places where neighbours
-   stop sharing a prefix are kept; those that share ``LENGTH`` symbols are a repeated
-   interval, and its smallest id goes back to the shards.
+   surroundings of one frequent passage are spread over all buckets.  Equal fragments
+   become one.  The fragments of some shards at a time get a suffix array and a
+   Burrows-Wheeler transform, and the transforms are merged by refining their
+   interleave, two symbols at a time: a stable sort of the interleaved preceding symbols
+   orders the suffixes by two symbols more.  No suffix is compared or sorted again.
+   Along the way the places where neighbours stop sharing a prefix are kept; those that
+   share ``LENGTH`` symbols are a repeated interval, and its smallest id goes back to
+   the shards.
 4. Shards mark and cut the covered bytes.
 
 Defined results: a null text is empty; rows with the same id do not count as smaller
@@ -271,7 +271,7 @@ def answers_of(table: pa.Table, kind: str) -> dict[int, bytes]:
 
 
 def send_fragments(shards: pa.Table, answers: pa.Table, bucket_bits: int) -> pa.Table:
-    """(bucket, shard, values, ids, lens, text): a shard's fragments."""
+    """(bucket, shard, ids, lens, text): a shard's fragments."""
     out = []
     for shard, own in shards_of(shards.to_batches()):
         found = own.fragments(bucket_bits, answers_of(answers, "anchor"))
@@ -279,14 +279,14 @@ def send_fragments(shards: pa.Table, answers: pa.Table, bucket_bits: int) -> pa.
         def payload(lo: int, hi: int, text: bytes = own.text, found: Fragments = found) -> tuple:
             begin, end = found.begin[lo:hi], found.end[lo:hi]
             pieces = b"".join([text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
-            return (found.values[lo:hi].astype(np.uint32).tobytes(), found.least[lo:hi].tobytes(), (end - begin).astype(np.uint8).tobytes(), pa.compress(pieces, "zstd", asbytes=True))
+            return (found.least[lo:hi].tobytes(), (end - begin).astype(np.uint8).tobytes(), pa.compress(pieces, "zstd", asbytes=True))
 
-        out.append(dealt(shard, found.values, payload, ["values", "ids", "lens", "text"]))
+        out.append(dealt(shard, found.values, payload, ["ids", "lens", "text"]))
     return pa.Table.from_batches(out, FRAGMENTS) if out else FRAGMENTS.empty_table()
 
 
-FRAGMENTS = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), *[(n, pa.binary()) for n in ("values", "ids", "lens", "text")]])
-FRAGMENT_SCHEMA = "bucket int, shard long, values binary, ids binary, lens binary, text binary"
+FRAGMENTS = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), *[(n, pa.binary()) for n in ("ids", "lens", "text")]])
+FRAGMENT_SCHEMA = "bucket int, shard long, ids binary, lens binary, text binary"
 
 
 class Transform:
@@ -401,8 +401,8 @@ def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
     for bucket, rows in by_bucket(batches):
         places: dict[bytes, int] = {}
         pieces: list[bytes] = []
-        wheres, ids_of, values_of = [], [], []
-        for _, values, ids, lens, text in rows:
+        wheres, ids_of = [], []
+        for _, ids, lens, text in rows:
             edges = np.cumsum(np.r_[0, np.frombuffer(lens, np.uint8)].astype(np.int64)).tolist()
             text = pa.decompress(text, edges[-1], "zstd", asbytes=True)
             where = []
@@ -414,23 +414,12 @@ def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
                 where.append(at)
             wheres.append(np.array(where, np.int64))
             ids_of.append(np.frombuffer(ids, np.int64))
-            values_of.append(np.frombuffer(values, np.uint32))
         least = np.full(len(pieces), NO_ID, np.int64)
-        value = np.zeros(len(pieces), np.uint32)
-        for where, ids, values in zip(wheres, ids_of, values_of, strict=True):
+        for where, ids in zip(wheres, ids_of, strict=True):
             np.minimum.at(least, where, ids)
-            value[where] = values
-        # Only fragments whose anchor has others have anything to compare.
-        _, which, counts = np.unique(value, return_inverse=True, return_counts=True)
-        differing = np.flatnonzero(counts[which] > 1)
-        first = np.zeros(len(pieces), np.int64)
-        n_runs = np.zeros(len(pieces), np.int64)
-        if len(differing):
-            finer = smallest_ids([pieces[i] for i in differing.tolist()], least[differing], length)
-            counts = np.diff(finer.first)
-            first[differing], n_runs[differing] = finer.first[:-1], counts
-            single = counts == 1
-            least[differing[single]] = finer.ids[finer.first[:-1][single]]
+        merged = smallest_ids(pieces, least, length)
+        first, n_runs = merged.first[:-1], np.diff(merged.first)
+        least = merged.ids[first]  # that of a fragment's first start, and of all if it has one run
         data = []
         for where, ids in zip(wheres, ids_of, strict=True):
             # Fragments whose own smallest id holds for all their strings need no reply.
@@ -439,7 +428,7 @@ def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
             several = np.flatnonzero(split)
             n = n_runs[where[several]]
             along = np.repeat(first[where[several]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            sizes, smallest = (finer.sizes[along], finer.ids[along]) if len(several) else (along, along)
+            sizes, smallest = merged.sizes[along], merged.ids[along]
             fragment = np.concatenate([simple, np.repeat(several, n)]).astype(np.int32)
             size = np.concatenate([np.full(len(simple), 255), sizes]).astype(np.uint8)
             data.append(fragment.tobytes() + size.tobytes() + np.concatenate([least[where[simple]], smallest]).astype(np.int64).tobytes())
