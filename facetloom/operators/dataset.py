@@ -222,6 +222,3 @@ class FacetDataset:
             for held in (self._df, *self._lookups.values()):
                 held.unpersist()
             self._disposed = True
-
-
-

@@ -4,6 +4,25 @@ from __future__ import annotations
 
 from .manifest import Manifest
 
+#: What the schema says of each part of a query, and of a dataset.
+SAYS = {
+    "equal": "Equality filters (exact match or IN semantics)",
+    "notEqual": "Inequality filters (NOT equal or NOT IN)",
+    "ranges": "Range filters (min/max bounds per field)",
+    "isNull": "Fields that must be NULL",
+    "isNotNull": "Fields that must NOT be NULL",
+    "limit": "Maximum number of results to return",
+    "offset": "Number of results to skip (for pagination)",
+    "includeFacetCounts": "Include facet counts in the response",
+    "enrichAliases": "Enrich results with alias values (true for all, or array of specific alias fields)",
+    "min": "Minimum value (inclusive)",
+    "max": "Maximum value (inclusive)",
+    "date": "min/max as Unix ms",
+    "number": "numeric range",
+    "dataset": 'Query dataset "{}" using explicit filter operators (equal, notEqual, ranges, isNull, isNotNull).',
+    "aliases": " Supports both canonical IDs and human-readable alias fields ({}).",
+}
+
 
 def value_schema(kind: str) -> dict:
     """One value, null, or a list of either."""
@@ -16,29 +35,16 @@ def query_schema(manifest: Manifest) -> dict:
     for name in [*manifest.facets, *manifest.aliases]:
         f = manifest.get(name)
         by_value[name] = value_schema(f.type if f.kind == "facet" and f.type in ("number", "boolean") else "string")
-    bounds = {
-        "min": {"type": "number", "description": "Minimum value (inclusive)"},
-        "max": {"type": "number", "description": "Maximum value (inclusive)"},
-    }
-    by_range = {
-        name: closed("min/max as Unix ms" if manifest.get(name).type == "date" else "numeric range", bounds) for name in manifest.ranges
-    }
+    bounds = {end: {"type": "number", "description": SAYS[end]} for end in ("min", "max")}
+    by_range = {name: closed(SAYS[manifest.get(name).type], bounds) for name in manifest.ranges}
     nullable = {"type": "string", "enum": list(by_value)}
-    parts = {
-        "equal": closed("Equality filters (exact match or IN semantics)", by_value),
-        "notEqual": closed("Inequality filters (NOT equal or NOT IN)", dict(by_value)),
-        "ranges": closed("Range filters (min/max bounds per field)", by_range),
-        "isNull": {"type": "array", "description": "Fields that must be NULL", "items": nullable},
-        "isNotNull": {"type": "array", "description": "Fields that must NOT be NULL", "items": nullable},
-        "limit": {"type": "number", "description": "Maximum number of results to return"},
-        "offset": {"type": "number", "description": "Number of results to skip (for pagination)"},
-        "includeFacetCounts": {"type": "boolean", "description": "Include facet counts in the response"},
-    }
+    parts = {name: closed(SAYS[name], dict(own)) for name, own in (("equal", by_value), ("notEqual", by_value), ("ranges", by_range))}
+    parts |= {name: {"type": "array", "description": SAYS[name], "items": nullable} for name in ("isNull", "isNotNull")}
+    parts |= {name: {"type": "number", "description": SAYS[name]} for name in ("limit", "offset")}
+    parts["includeFacetCounts"] = {"type": "boolean", "description": SAYS["includeFacetCounts"]}
     if manifest.aliases:
-        parts["enrichAliases"] = {
-            "anyOf": [{"type": "boolean"}, {"type": "array", "items": {"type": "string", "enum": manifest.aliases}}],
-            "description": "Enrich results with alias values (true for all, or array of specific alias fields)",
-        }
+        some = {"type": "array", "items": {"type": "string", "enum": manifest.aliases}}
+        parts["enrichAliases"] = {"anyOf": [{"type": "boolean"}, some], "description": SAYS["enrichAliases"]}
     return {"type": "object", "properties": parts, "additionalProperties": False}
 
 
@@ -49,7 +55,7 @@ def closed(description: str, properties: dict) -> dict:
 def function_tool(manifest: Manifest, name: str, description: str | None = None) -> dict:
     """The schema as a function tool; the default description names the dataset and its aliases."""
     if not description:
-        description = f'Query dataset "{manifest.dataset_id}" using explicit filter operators (equal, notEqual, ranges, isNull, isNotNull).'
+        description = SAYS["dataset"].format(manifest.dataset_id)
         if manifest.aliases:
-            description += f" Supports both canonical IDs and human-readable alias fields ({', '.join(manifest.aliases)})."
+            description += SAYS["aliases"].format(", ".join(manifest.aliases))
     return {"type": "function", "function": {"name": name, "description": description, "parameters": query_schema(manifest)}}
