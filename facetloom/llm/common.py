@@ -25,7 +25,7 @@ def checkpoint_dir(spark: SparkSession) -> str:
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
-    configured = sc.getConf().get("spark.checkpoint.dir")
+    configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="facetloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
