@@ -30,7 +30,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-N_PAGES, EPOCHS, RATE, RIDGE, SEED = 500, 12, 0.25, 1e-4, 11
+N_PAGES, EPOCHS, RATE, RIDGE, SEED = 1000, 12, 0.25, 1e-5, 11
 
 #: Elements whose boundaries end a block, elements without content, and elements whose text is no text of the page.
 BLOCK_TAGS = frozenset(
@@ -234,15 +234,19 @@ def train(pages: list[tuple[list[Block], list[int]]], epochs: int = EPOCHS, rate
 
 
 #: Containers of content and of boilerplate that the labelled pages are built from.
-CONTENT_BOXES = ('<article>', '<main>', '<div class="content">', '<div id="main-content">', '<div class="post-body">', '<div class="entry-content">', '<section class="article-body">', '<div class="story text">', '<div role="main">', '<article class="post">', '<div>')
+CONTENT_BOXES = (
+    "<article>", "<main>", '<div class="content">', '<div id="main-content">', '<div class="post-body">', '<div class="entry-content">', '<section class="article-body">', '<div class="story text">', '<div role="main">', '<article class="post">', "<div>", "<section>", "<table><tr><td>", "",
+    '<div id="content"><div class="post">', '<main><article>', '<div id="page"><div>',
+)
 CHROME_BOXES = (
-    "<nav>", '<div class="menu">', '<ul class="navigation">', '<div class="navbar">', '<div class="breadcrumb">', '<div role="navigation">', "<header>", '<div class="site-header">', '<div id="header">', '<div role="banner">',
-    "<footer>", '<div id="footer">', '<div class="site-footer">', '<div role="contentinfo">', "<aside>", '<div class="sidebar">', '<div class="widget">', '<div class="related">', '<div class="ad">', '<div class="ads banner">', '<div class="advert">', '<div class="sponsored promo">', '<div class="advertisement">',
-    '<div class="cookie-notice">', '<div class="notice">', '<div id="consent">', '<div class="popup modal">', '<div class="alert">', '<div class="gdpr">', "<form>", '<form class="search">', '<form class="newsletter subscribe">', '<div class="login">',
-    '<section class="comments">', '<div id="comments">', '<div class="comment">', '<ol class="comment-list">', '<div class="replies">', '<div class="disqus">', '<div class="share social">', '<div class="pagination">', '<div class="tags">',
+    "<nav>", '<nav id="main-nav">', '<div class="menu">', '<div id="menu">', '<ul class="navigation">', '<div class="navbar">', '<div class="breadcrumb">', '<ol class="breadcrumbs">', '<div role="navigation">', "<menu>",
+    "<header>", '<header class="top">', '<div class="site-header">', '<div class="header">', '<div id="header">', '<div role="banner">', "<footer>", '<footer class="site">', '<div id="footer">', '<div class="footer">', '<div class="site-footer">', '<div role="contentinfo">',
+    "<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="widget">', '<div role="complementary">', '<div class="related">', '<div class="related-posts">',
+    '<div class="ad">', '<div id="google-ads">', '<div class="ads banner">', '<div class="advert">', '<div class="sponsored promo">', '<div class="advertisement">', '<section class="advertisement">',
+    '<div class="cookie-notice">', '<div class="cookie-banner">', '<div class="notice">', '<div id="consent">', '<div class="popup modal">', '<div class="alert">', '<div role="alert">', '<div role="dialog">', "<dialog>", '<div class="gdpr">',
+    "<form>", '<form class="search">', '<form class="newsletter subscribe">', '<div class="newsletter">', '<div class="login">', '<div role="search">',
+    '<section class="comments">', '<div id="comments">', '<div class="comment">', '<article class="comment">', '<ol class="comment-list">', '<div class="replies">', '<div class="disqus">', '<div class="share social">', '<div class="social-share">', '<div class="pagination">', '<div class="tags">',
 )
-#: Containers of boilerplate that also stand inside an article.
-INNER_BOXES = ('<div class="ad">', "<aside>", '<div class="advert">', '<div class="share social">', '<form class="newsletter">', '<div class="related">', '<section class="comments">', '<div class="comment">', '<div class="sponsored">', "<nav>", '<div class="notice">', "<footer>", "<header>")
 
 
 def labelled_pages(n: int = N_PAGES, seed: int = SEED) -> list[tuple[str, list[tuple[str, int]]]]:
@@ -275,21 +279,30 @@ def labelled_pages(n: int = N_PAGES, seed: int = SEED) -> list[tuple[str, list[t
             return written
 
         def box(opening: str, inner: str) -> str:
-            return f"{opening}{inner}</{re.match('<([a-z]+)', opening)[1]}>"
+            return opening + inner + "".join(f"</{t}>" for t in reversed(re.findall("<([a-z]+)", opening)))
 
         def chrome(opening: str, say: Callable = say) -> str:
             kind = rng.random()
-            if "form" in opening or "login" in opening:
-                return box(opening, f"<label>{say(words(1, 3), 0)}</label><input name=q><button>{say(rng.choice(['Search', 'Subscribe', 'Sign in', words(1, 2)]), 0)}</button>")
+            heading = rng.choice(["h1", "h2", "h3", "h4"])
+            head = f"<{heading}>{say(words(1, 5), 0)}</{heading}>" if rng.random() < 0.3 else ""
+            if opening.startswith("<form") or "login" in opening or "search" in opening:
+                label = f"<label>{say(words(1, 3), 0)}</label><input name=q>"
+                options = f"<select><option>{say(words(1, 2), 0)}</option></select>" if rng.random() < 0.3 else ""
+                return box(opening, f"{head}{label}{options}<button>{say(rng.choice(['Search', 'Subscribe', 'Sign in', words(1, 2)]), 0)}</button>")
             if "omment" in opening or "repl" in opening or "disqus" in opening:
-                return box(opening, "".join(f"<p>{say(paragraph(), 0)}</p>" for _ in range(rng.randint(1, 4))))
-            if kind < 0.35 or "nav" in opening or "menu" in opening:
-                return box(opening, "<ul>" + "".join(f'<li><a href="/x">{say(words(1, 3), 0)}</a></li>' for _ in range(rng.randint(2, 7))) + "</ul>")
-            if kind < 0.5:
-                return box(opening, say(rng.choice(["© ", "Copyright "]) + words(2, 12), 0))
-            if kind < 0.75:
-                return box(opening, say(paragraph(), 0))
-            return box(opening, "".join(f"<p>{say(paragraph(), 0)}</p>" for _ in range(rng.randint(1, 3))))
+                item = rng.choice(["p", "li", "div"])
+                return box(opening, head + "".join(f"<{item}>{say(paragraph(), 0)}</{item}>" for _ in range(rng.randint(1, 4))))
+            if kind < 0.3 or "nav" in opening or "menu" in opening:
+                if rng.random() < 0.25:
+                    return box(opening, f"{head}<a href=/a>{say(words(1, 2), 0)}</a>")
+                return box(opening, head + "<ul>" + "".join(f'<li><a href="/x">{say(words(1, 3), 0)}</a></li>' for _ in range(rng.randint(2, 7))) + "</ul>")
+            if kind < 0.42:
+                return box(opening, head + say(rng.choice(["© ", "Copyright "]) + words(2, 12), 0))
+            if kind < 0.6:
+                return box(opening, head + say(paragraph(), 0))
+            item = rng.choice(["p", "p", "div", "blockquote", "td"])
+            inner = "".join(f"<{item}>{say(paragraph(), 0)}</{item}>" for _ in range(rng.randint(1, 3)))
+            return box(opening, head + (f"<table><tr>{inner}</tr></table>" if item == "td" else inner))
 
         def content(opening: str, say: Callable = say) -> str:
             parts = []
@@ -297,11 +310,11 @@ def labelled_pages(n: int = N_PAGES, seed: int = SEED) -> list[tuple[str, list[t
                 parts.append(f"<h1>{say(words(2, 9), 1)}</h1>")
             for _ in range(rng.randint(1, 9)):
                 kind = rng.random()
-                if kind < 0.1:
-                    parts.append(chrome(rng.choice(INNER_BOXES)))
-                elif kind < 0.2:
+                if kind < 0.2:
+                    parts.append(chrome(rng.choice(CHROME_BOXES)))
+                elif kind < 0.27:
                     parts.append(f"<h2>{say(words(1, 6), 1)}</h2>")
-                elif kind < 0.3:
+                elif kind < 0.33:
                     parts.append("<ul>" + "".join(f"<li>{say(sentence(), 1)}</li>" for _ in range(rng.randint(1, 4))) + "</ul>")
                 elif kind < 0.36:
                     parts.append(f"<blockquote>{say(paragraph(), 1)}</blockquote>")

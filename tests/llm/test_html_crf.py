@@ -55,8 +55,8 @@ def test_viterbi_finds_the_best_labels():
 
 
 def test_training_follows_the_likelihood():
-    pages = [(h.blocks(p), [y for _, y in t]) for p, t in h.labelled_pages(40, seed=3)]
-    model = h.train(pages, epochs=6)
+    pages = [(h.blocks(p), [y for _, y in t]) for p, t in h.labelled_pages(120, seed=3)]
+    model = h.train(pages, epochs=8)
     right = sum(int(a == b) for p, y in pages for a, b in zip(model.decode(p), y, strict=True))
     assert right / sum(len(y) for _, y in pages) > 0.97
 
@@ -85,6 +85,42 @@ def test_layouts_not_generated():
     assert h.default_model().extract(page) == "Title here First bold paragraph & more. Second one, which is longer. Point one."
 
 
+TEXT = "Erster Satz hier. Noch ein längerer Satz, der etwas erzählt und weitergeht."
+BODY = f"<h1>Title words here</h1><p>{TEXT}</p><p>Short one.</p><h2>Sub</h2><p>{TEXT}</p><ul><li>Punkt eins.</li><li>Punkt zwei.</li></ul><blockquote>{TEXT}</blockquote>"
+FRAMES = ["<article>%s</article>", "<main>%s</main>", '<div class="content">%s</div>', '<div id="content"><div class="post">%s</div></div>', "<div>%s</div>", "%s", "<section>%s</section>", "<table><tr><td>%s</td></tr></table>"]
+ROUND = [
+    "<nav><ul><li><a href=/a>Home</a></li><li><a href=/b>News</a></li></ul></nav>",
+    "<div id=menu><a href=/a>Home</a> | <a href=/b>About us</a></div>",
+    "<header><h1>Site name</h1><p>The best site of all sites, really.</p></header>",
+    "<div class=header><h2>My Blog</h2></div>",
+    "<footer><p>Contact us today. All rights reserved.</p></footer>",
+    "<div class=sidebar><h3>Popular posts</h3><p>A teaser text about another article that is quite long indeed.</p></div>",
+    "<aside><p>Did you know? There is much to know about that.</p></aside>",
+    "<div class=cookie-banner><p>We use cookies to improve your experience on this site.</p><button>OK</button></div>",
+    "<div class=notice>This page was moved. Please update your bookmarks soon.</div>",
+    "<div class=ad><p>Buy the new thing now, it is cheaper than ever before!</p></div>",
+    "<section class=advertisement>Sponsored: great shoes for everyone who walks.</section>",
+    "<form action=/s><label>Name</label><input name=n><select><option>One</option></select><button>Send</button></form>",
+    "<div class=newsletter><p>Subscribe to our newsletter for weekly updates and more.</p></div>",
+    "<section class=comments><h3>Comments</h3><div class=comment><p>I totally disagree with this article, it is wrong.</p></div></section>",
+    "<div id=comments><ul><li>First reader says a thing that is long enough.</li><li>Second.</li></ul></div>",
+    "<div role=dialog>Accept our terms and conditions to continue reading here.</div>",
+    "<noscript>Enable JavaScript.</noscript><script>if(a<b){x('<p>y</p>')}</script><style>p{}</style>",
+]
+
+
+def test_boilerplate_around_and_inside():
+    """Handwritten boilerplate before, after and inside handwritten articles: nearly all texts are exact."""
+    model, wanted = h.default_model(), " ".join(texts(BODY))
+    pages = [
+        f"<body>{before}{frame % (BODY.replace('<h2>Sub', inside + '<h2>Sub'))}{after}</body>"
+        for frame in FRAMES
+        for chrome in ROUND
+        for before, inside, after in ((chrome, "", ""), ("", chrome, ""), ("", "", chrome))
+    ]
+    assert sum(model.extract(p) == wanted for p in pages) / len(pages) > 0.97
+
+
 def test_pages_of_the_table(spark, data):
     rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
     got = registry.op2_html_crf(spark, data).collect()
