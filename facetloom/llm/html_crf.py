@@ -51,13 +51,21 @@ SPACE = re.compile(r"\s+")
 Block = tuple[str, tuple[str, ...], float]
 
 
-@lru_cache(maxsize=4096)
+#: Keys of elements seen, so that a task reads each combination of attributes once.
+KEYS: dict[tuple[str, str], str] = {}
+
+
 def element_key(tag: str, attributes: str) -> str:
     """Tag and the words of class, id and role, space-joined."""
-    words = []
-    for m in ATTRIBUTE.finditer(attributes):
-        words += re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())
-    return " ".join([tag, *words[:12]])
+    key = KEYS.get((tag, attributes))
+    if key is None:
+        words = []
+        for m in ATTRIBUTE.finditer(attributes):
+            words += re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())
+        if len(KEYS) >= 4096:
+            KEYS.clear()
+        key = KEYS[tag, attributes] = " ".join([tag, *words[:12]])
+    return key
 
 
 def blocks(page: str | None) -> list[Block]:
