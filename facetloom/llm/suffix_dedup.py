@@ -55,8 +55,8 @@ SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
 HOT_RUNS = 1000
 #: Starts whose anchors are sought at once.
 STRETCH = 1 << 19
-#: Symbols of the fragments whose suffixes are sorted as one shard's.
-TRANSFORM_SYMBOLS = 1 << 18
+#: Symbols of the fragments whose suffixes are sorted as one shard's; their ranks are numbers of 16 bits.
+TRANSFORM_SYMBOLS = 1 << 16
 #: The id that null stands for, and the byte that ends a fragment: no UTF-8 text has it.
 NO_ID, END = (1 << 63) - 1, 0xFF
 
@@ -305,15 +305,16 @@ class Transform:
         after[stops] = begins
         before = np.arange(-1, n - 1)
         before[begins] = stops
-        # Eight symbols in a number, then doubling: the rank of twice as many from two ranks.
+        # Eight symbols in a number; then the rank of four times as many, from four ranks of 16 bits.
         key, at = np.zeros(n, np.uint64), np.arange(n)
         for _ in range(8):
             key = (key << np.uint64(8)) | ended[at]
             at = after[at]
-        rank, groups, ahead, span, longest = ranked(key), 0, at, 8, int((stops - begins).max(initial=0)) + 1
-        while span < longest and (groups := int(rank.max(initial=0)) + 1) < n:
-            rank = ranked(rank.astype(np.uint64) << np.uint64(32) | rank[ahead].astype(np.uint64))
-            ahead, span = ahead[ahead], span * 2
+        rank, span, longest = ranked(key), 8, int((stops - begins).max(initial=0)) + 1
+        while span < longest and int(rank.max(initial=0)) + 1 < n:
+            wide, second = rank.astype(np.uint64), at[at]
+            rank = ranked(wide << np.uint64(48) | wide[at] << np.uint64(32) | wide[second] << np.uint64(16) | wide[second[at]])
+            at, span = second[second], span * 4
         self.suffixes = np.argsort(rank).astype(np.int32)
         self.row_of = np.empty(n, np.int32)
         self.row_of[self.suffixes] = np.arange(n, dtype=np.int32)
@@ -369,7 +370,7 @@ def smallest_ids(pieces: list[bytes], ids: np.ndarray, length: int, symbols: int
     """For each start of each fragment, the smallest id of a fragment with the same string of ``length`` bytes."""
     parts, some, held, base = [], [], 0, 0
     for p in pieces:
-        if some and held + len(p) > symbols:
+        if some and held + len(p) + 1 > min(symbols, TRANSFORM_SYMBOLS):
             parts.append(Transform(some, base))
             base, some, held = base + held, [], 0
         some.append(p)
