@@ -6,7 +6,9 @@ vectors of the matrix of all passages, by a randomised SVD whose one product wit
 corpus is summed up by the tasks (a Nystroem step turns it into singular vectors).
 The items' own vectors are added to that matrix with weight, and the rank exceeds
 the number of items, so no item lies outside the space.  Passages whose latent vector
-has a high cosine to an item's are candidates.  For each, the longest common
+has a high cosine to an item's are candidates.  So is, whatever its cosine, all text
+that has enough of an item's words to be a leak (``Cover``), so none is lost to words
+that are frequent because the item itself is.  For each, the longest common
 subsequence of words with the text around the passage is measured: nearly the whole
 item is a leak, and a looser paraphrase is one if it has the answer (the item's answer
 column, else its last words) in one piece.
@@ -45,6 +47,8 @@ MAX_DF, FEW, MIN_TERMS = 0.01, 5, 8
 #: Latent dimensions besides one for each item, weight of the items' rows, seed.
 EXTRA_RANK, ITEM_WEIGHT, SEED = 56, 4.0, 5
 BLOCK_ITEMS = 256
+#: Cells of a table of stretches and words.
+CELLS = 1 << 22
 #: Cosine of a candidate; shares of an item in common that make a leak, alone or with the answer.
 COSINE, LEAK, PARAPHRASE = 0.2, 0.7, 0.5
 MIN_WORDS, ANSWER_WORDS = 5, 5
@@ -62,6 +66,10 @@ def hashes_of(words: list[bytes]) -> np.ndarray:
     return np.fromiter(map(zlib.crc32, words), np.uint32, len(words))
 
 
+def all_hashes(texts: list[list[bytes]]) -> np.ndarray:
+    return np.concatenate([hashes_of(w) for w in texts]) if len(texts) else np.zeros(0, np.uint32)
+
+
 def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """The number of documents and, by hashed term, the number that have it, as packed parts."""
     df, n = np.zeros(1 << DF_BITS, np.int64), 0
@@ -92,10 +100,10 @@ class Terms:
     def __getstate__(self):
         return self.__dict__ | {"lut": None}
 
-    def entries(self, texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    def entries(self, texts: list[list[bytes]], hashes: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
         """(block, column) of the described words, squared length and document of each block."""
         lens = np.array([len(w) for w in texts], np.int64)
-        hashes = np.concatenate([hashes_of(w) for w in texts]) if len(texts) else np.zeros(0, np.uint32)
+        hashes = all_hashes(texts) if hashes is None else hashes
         n_blocks = np.maximum(1, -(-lens // BLOCK_WORDS))
         first = np.cumsum(n_blocks) - n_blocks
         place = np.arange(len(hashes)) - np.repeat(np.cumsum(lens) - lens, lens)
@@ -214,6 +222,65 @@ class Item:
     answer: list[bytes]
 
 
+class Cover:
+    """Finds all text that has enough of an item's words to be a leak, in whatever order.
+
+    Texts are cut into half overlapping stretches, so long that one holds the whole text
+    around any passage.  A common subsequence has no more words than the item's words
+    that occur in the stretch; words that share a bucket only add to that.
+    """
+
+    def __init__(self, items: list[Item]):
+        self.items = items
+        self.step = -(-(2 * BLOCK_WORDS + 2 * max(len(x.words) for x in items)) // BLOCK_WORDS)  # blocks
+        mask = np.uint32((1 << LUT_BITS) - 1)
+        own = [hashes_of(x.words) & mask for x in items]
+        answers = [hashes_of(x.answer) & mask for x in items]
+        buckets = np.unique(np.concatenate([*own, *answers]))
+        self.lut = np.full(1 << LUT_BITS, -1, np.int32)
+        self.lut[buckets] = np.arange(len(buckets))
+        self.counts = np.zeros((len(buckets), len(items)), np.float32)
+        for i, h in enumerate(own):
+            np.add.at(self.counts[:, i], self.lut[h], 1)
+        self.answers = [np.unique(self.lut[h]) for h in answers]
+        sizes = np.array([len(x.words) for x in items])
+        # Half a word less, so that no rounding excludes a share that ``shared`` accepts.
+        self.leak, self.paraphrase = (sizes * LEAK - 0.5).astype(np.float32), (sizes * PARAPHRASE - 0.5).astype(np.float32)
+
+    def pairs(self, texts: list[list[bytes]], hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
+        """(text, block of the text, item) of the passages in stretches that may have a leak."""
+        lens = np.array([len(w) for w in texts], np.int64)
+        n_blocks = np.maximum(1, -(-lens // BLOCK_WORDS))
+        n_stretches = np.maximum(1, -(-n_blocks // self.step) - 1)
+        first = np.cumsum(n_stretches) - n_stretches
+        total = int(n_stretches.sum())
+        column = self.lut[hashes & np.uint32((1 << LUT_BITS) - 1)]
+        use = np.flatnonzero(column >= 0)
+        doc = np.repeat(np.arange(len(texts)), lens)[use]
+        half = (use - (np.cumsum(lens) - lens)[doc]) // (BLOCK_WORDS * self.step)
+        column = column[use]
+        stretch = first[doc] + half
+        # A word is in the stretch that begins with its half and in the one before.
+        begins, goes_on = half < n_stretches[doc], half > 0
+        row = np.concatenate([stretch[begins], stretch[goes_on] - 1])
+        column = np.concatenate([column[begins], column[goes_on]])
+        order = np.argsort(row, kind="stable")
+        row, column = row[order], column[order]
+        size = max(1, CELLS // len(self.counts))
+        for at in range(0, total, size):
+            a, b = np.searchsorted(row, (at, at + size))
+            has = np.zeros((min(size, total - at), len(self.counts)), np.float32)
+            has[row[a:b] - at, column[a:b]] = 1
+            shared = has @ self.counts
+            rows, found = np.nonzero(shared >= self.paraphrase)
+            for r, i in zip(rows.tolist(), found.tolist(), strict=True):
+                if shared[r, i] >= self.leak[i] or (len(self.answers[i]) and has[r, self.answers[i]].all()):
+                    d = int(np.searchsorted(first, at + r, "right")) - 1
+                    start = (at + r - int(first[d])) * self.step
+                    for k in range(start, min(start + 2 * self.step, int(n_blocks[d]))):
+                        yield d, k, i
+
+
 @dataclass
 class Search:
     """What a task needs to search its documents for the items of a block."""
@@ -222,22 +289,28 @@ class Search:
     terms: Terms
     latent_terms: np.ndarray  # term x dimension, weighted
     queries: np.ndarray  # item x dimension, of length 1
+    cover: Cover | None = field(default=None, repr=False)
+
+    def __getstate__(self):
+        return self.__dict__ | {"cover": None}
 
     def leaks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pd.Series]:
         for batch in batches:
             out: list[list[dict]] = []
             for texts in portions(batch):
                 found: list[dict[int, float]] = [{} for _ in texts]
-                for doc, first, item in self.candidates(texts):
+                hashes = all_hashes(texts)
+                self.cover = self.cover or Cover(self.items)
+                for doc, first, item in sorted({*self.candidates(texts, hashes), *self.cover.pairs(texts, hashes)}):
                     share = self.shared(texts[doc], first, self.items[item])
                     if share > found[doc].get(self.items[item].item_id, 0.0):
                         found[doc][self.items[item].item_id] = share
                 out += [[{"item_id": i, "share": s} for i, s in sorted(f.items())] for f in found]
             yield out
 
-    def candidates(self, texts: list[list[bytes]]) -> list[tuple[int, int, int]]:
+    def candidates(self, texts: list[list[bytes]], hashes: np.ndarray | None = None) -> list[tuple[int, int, int]]:
         """(text, block of the text, item) of the passages near an item."""
-        block, column, length, doc = self.terms.entries(texts)
+        block, column, length, doc = self.terms.entries(texts, hashes)
         if not len(block):
             return []
         # No cosine exceeds the described share of a passage's length, so weaker passages need no product.

@@ -162,3 +162,17 @@ def test_odd_rows(spark):
     assert out[0]["row"].asDict().keys() == {"doc_id", "text", "leaks", "row"}
     assert [r["leaks"] for r in d.find_leaks(df, bench.limit(0)).collect()] == [[]] * 6
     assert d.find_leaks(df.limit(0), bench).collect() == []
+
+
+def test_items_in_a_third_of_the_documents(spark, corpus):
+    rng, text = corpus
+    bench = [(i, text(rng.randint(15, 60))) for i in range(5)] + [(5, text(400))]
+    docs = []
+    for k in range(600):
+        host = text(rng.randint(20, 700)).split()
+        at = rng.randint(0, len(host))
+        item = bench[0][1] if k % 3 == 0 else bench[5][1] if k % 50 == 1 else ""
+        docs.append((k, " ".join([*host[:at], item, *host[at:]])))
+    got = found(d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")))
+    assert {(k, 0) for k in range(0, 600, 3)} <= got
+    assert got == brute(docs, items_of(bench))
