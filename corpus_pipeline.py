@@ -12,8 +12,9 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from facetloom.llm import decontam, exact_dedup, mixing, quality, simhash
-from facetloom.llm.common import checkpoint_dir, free_name, read, with_row_key
+from facetloom.llm import decontam, exact_dedup, mixing, overlap, quality, simhash
+from facetloom.llm.common import checkpoint_dir, cut, free_name, read, with_row_key
+from facetloom.llm.components import connected_components
 
 
 def keep_rows(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
@@ -35,10 +36,20 @@ def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies: the one with the smallest id."""
+    """One document of each group of near copies: the one with the smallest id.
+
+    Near copies are texts with close fingerprints, as op3 finds them, and those whose
+    five-word shingles overlap by 0.8 or more, which fingerprints alone mostly miss.
+    """
     key = free_name(docs, "row_key")
-    found = simhash.near_dedup(docs)
-    return keep_rows(docs, key, found.filter("NOT keeper").select(F.col("key").alias(key)))
+    found = cut(simhash.near_dedup(docs).select("key", "id", "head"))
+    texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col("text"))
+    edges = found.filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).union(overlap.links(texts))
+    grouped = found.join(connected_components(edges).withColumnRenamed("node", "key"), "key")
+    # Nulls last, then the first row of the smallest id.
+    heads = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
+    dropped = grouped.join(heads, "root").filter("key <> first.key")
+    return keep_rows(docs, key, dropped.select(F.col("key").alias(key)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

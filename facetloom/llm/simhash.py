@@ -145,10 +145,10 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
 
 
 def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
-    """(key, id, fp, fingerprint, component_id, keeper) for every row of ``df``.
+    """(key, id, fp, fingerprint, component_id, keeper, head) for every row of ``df``.
 
     ``component_id`` is the smallest id that links reach; ``keeper`` marks the one row
-    of the component that stays.  ``key`` numbers rows as ``with_row_key`` does.
+    of the component that stays, ``head`` is its key.  ``key`` numbers rows as ``with_row_key`` does.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
     rows = cut(df.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), fingerprints(text).alias("fp")))
@@ -166,4 +166,5 @@ def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", ra
         F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"),
         F.col("head.id").alias("component_id"),
         (F.col("head.key") == F.col("key")).alias("keeper"),
+        F.col("head.key").alias("head"),
     )
