@@ -64,7 +64,7 @@ def element_key(tag: str, attributes: str) -> str:
             words += re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())
         if len(KEYS) >= 4096:
             KEYS.clear()
-        key = KEYS[tag, attributes] = " ".join([tag, *words[:12]])
+        key = KEYS[tag, attributes] = " ".join([tag, *words])
     return key
 
 

@@ -136,3 +136,9 @@ def test_odd_rows_and_clashing_columns(spark):
     assert [(r["page_id"], r["text"][:9], r["n_chars"]) for r in got][:3] == [(1, "", 0), (2, "", 0), (2, "x", 1)]
     assert got[3]["n_chars"] in (0, 999_999)
     assert h.extract_pages(df.limit(0)).collect() == []
+
+
+def test_all_attribute_words_count():
+    utilities = " ".join(f"mt-{i} flex-col" for i in range(12))
+    key = h.element_key("div", f' class="{utilities}" id="comments" role="navigation"').split()
+    assert "comments" in key and "navigation" in key
