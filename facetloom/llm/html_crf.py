@@ -37,7 +37,7 @@ BLOCK_TAGS = frozenset(
     "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript template textarea iframe svg title math object".split())
+RAW_TAGS = frozenset("script style noscript title textarea iframe".split())
 #: An opening tag of the second kind ends an open element of the first.
 ENDS = {"p": BLOCK_TAGS - {"br", "button", "label"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words that speak for boilerplate wherever they stand.

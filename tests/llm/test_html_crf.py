@@ -142,3 +142,10 @@ def test_all_attribute_words_count():
     utilities = " ".join(f"mt-{i} flex-col" for i in range(12))
     key = h.element_key("div", f' class="{utilities}" id="comments" role="navigation"').split()
     assert "comments" in key and "navigation" in key
+
+
+def test_embedded_elements_keep_their_text():
+    page = "<article><p>so <math><mi>formula</mi></math> holds</p><object>fallback</object><template>plain</template><svg><text>label</text><p>and the rest</p></article>"
+    text = " ".join(b[0] for b in h.blocks(page))
+    assert all(w in text for w in ("formula", "holds", "fallback", "plain", "label", "and the rest"))
+    assert h.blocks("<script>a</script><style>b</style>") == []
