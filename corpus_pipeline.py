@@ -3,23 +3,38 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame that is written as
 Parquet and read again as the next stage's ``docs``.  All but the last return the
 columns of ``documents``.
+
+Defined results: null texts count as empty; they and empty texts are scored like any
+other, and of those that pass one stays, the rest being copies of it.  Rows with the
+same id stay apart until a stage finds them equal, null ids are the smallest in exact
+dedup and the last in near-dedup, and of rows equal in all that decides one stays.  Null
+sources are a source.  Extra columns travel along; a table without rows stays empty.
 """
 
 from __future__ import annotations
 
-import uuid
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from facetloom.llm import decontam, exact_dedup, mixing, overlap, quality, simhash
-from facetloom.llm.common import checkpoint_dir, cut, free_name, read, with_row_key
+from facetloom.llm.common import cut, free_name, new_folder, read, remove_folder, with_row_key
 from facetloom.llm.components import connected_components
 
 
-def keep_rows(docs: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose key is in ``dropped`` (key); neither side is assumed small."""
-    return with_row_key(docs, key).join(dropped, key, "left_anti").select(docs.columns)
+def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a stored number for each row, and that column's name.
+
+    The numbers are written with the rows, so that every later scan finds them again
+    however it is split, after lost executors too.
+    """
+    key, folder = free_name(docs, "row_key"), new_folder(spark, "rows")
+    with_row_key(docs, key).write.parquet(folder)
+    return spark.read.parquet(folder), key
+
+
+def keep_rows(rows: DataFrame, key: str, dropped: DataFrame) -> DataFrame:
+    """``rows`` without those whose key is in ``dropped``, and without the key; neither side is assumed small."""
+    return rows.join(dropped, key, "left_anti").drop(key)
 
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,9 +45,9 @@ def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def exact_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of equal texts: the one with the largest id."""
-    key = free_name(docs, "row_key")
-    found = exact_dedup.exact_dedup(docs)
-    return keep_rows(docs, key, found.filter("NOT kept").select(F.col("key").alias(key)))
+    rows, key = numbered(spark, docs)
+    found = exact_dedup.exact_dedup(rows, key_col=key)
+    return keep_rows(rows, key, found.filter("NOT kept").select(F.col("key").alias(key)))
 
 
 def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -41,15 +56,15 @@ def near_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     Near copies are texts with close fingerprints, as op3 finds them, and those whose
     five-word shingles overlap by 0.8 or more, which fingerprints alone mostly miss.
     """
-    key = free_name(docs, "row_key")
-    found = cut(simhash.near_dedup(docs).select("key", "id", "head"))
-    texts = docs.select(F.monotonically_increasing_id().alias("key"), F.col("text"))
+    rows, key = numbered(spark, docs)
+    found = cut(simhash.near_dedup(rows, key_col=key).select("key", "id", "head"))
+    texts = rows.select(F.col(key).alias("key"), F.col("text"))
     edges = found.filter("key <> head").select(F.col("key").alias("a"), F.col("head").alias("b")).union(overlap.links(texts))
     grouped = found.join(connected_components(edges).withColumnRenamed("node", "key"), "key")
     # Nulls last, then the first row of the smallest id.
     heads = grouped.groupBy("root").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     dropped = grouped.join(heads, "root").filter("key <> first.key")
-    return keep_rows(docs, key, dropped.select(F.col("key").alias(key)))
+    return keep_rows(rows, key, dropped.select(F.col("key").alias(key)))
 
 
 def decontamination_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -75,10 +90,17 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The stages applied to ``documents``."""
-    docs = read(spark, sf_dir, "documents")
-    folder = f"{checkpoint_dir(spark)}/pipeline-{uuid.uuid4().hex}"
-    for at, (_, stage) in enumerate(STAGES):
-        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{at}")
-        docs = spark.read.parquet(f"{folder}/{at}")
+    """The stages applied to ``documents``.
+
+    A stage's table is removed once the next is written; the last one's stays until the
+    session ends, as the result is read from it.
+    """
+    docs, before = read(spark, sf_dir, "documents"), None
+    for _, stage in STAGES:
+        folder = new_folder(spark, "pipeline")
+        stage(spark, docs, sf_dir).write.parquet(folder)
+        docs = spark.read.parquet(folder)
+        if before:
+            remove_folder(spark, before)
+        before = folder
     return docs
