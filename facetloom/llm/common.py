@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -20,12 +21,14 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 
 
 def checkpoint_dir(spark: SparkSession) -> str:
-    """The shared checkpoint folder; a temporary one only where none is configured."""
+    """The shared checkpoint folder; a temporary one only where none is configured and all runs on this machine."""
     sc = spark.sparkContext
     current = sc._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
     configured = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir")
+    if not configured and not sc.master.startswith("local"):
+        raise RuntimeError("spark.checkpoint.dir must name a folder that the driver and all executors share")
     sc.setCheckpointDir(configured or tempfile.mkdtemp(prefix="facetloom-checkpoint-"))
     return sc._jsc.sc().getCheckpointDir().get()
 
@@ -36,6 +39,19 @@ def cut(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def new_folder(spark: SparkSession, kind: str) -> str:
+    """A new name in the shared folder; what is written there goes when the session ends, if not before."""
+    folder = f"{checkpoint_dir(spark)}/{kind}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return folder
+
+
+def remove_folder(spark: SparkSession, folder: str) -> None:
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def ascii_lower(text: Column) -> Column:
     """Lower-case A-Z only.  Texts that are all ASCII take the byte-wise built-in."""
     return F.when(F.octet_length(text) == F.char_length(text), F.lower(text)).otherwise(
@@ -44,10 +60,10 @@ def ascii_lower(text: Column) -> Column:
 
 
 def with_row_key(df: DataFrame, name: str) -> DataFrame:
-    """Number the rows of a stored table, so that repeated or null ids stay apart.
+    """Number rows, so that repeated or null ids stay apart.
 
-    The numbers follow partitions and positions of the scan, so reading the same
-    files again in the same session gives the same numbers.
+    The numbers follow partitions and positions of one scan.  Another scan may be split
+    in another way, so store the numbers before they are used more than once.
     """
     return df.withColumn(name, F.monotonically_increasing_id())
 

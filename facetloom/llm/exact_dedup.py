@@ -8,7 +8,8 @@ collision-free identity: no step takes equal hashes for equal texts.
 
 Texts cross the network once, to the partition where equal blocks meet and are
 sorted; after that only integers move.  Distinct blocks and pairs are pre-aggregated before each
-shuffle, and the joins back to documents leave a hot name to adaptive skew splitting.
+shuffle.  A text's rows are dealt over as many tasks as a shuffle has before they
+learn of their group, so a third of all rows may share one text.
 
 Defined results: a null text counts as empty; equal texts form one group in which
 the row with the largest id stays (null ids are the smallest; of rows with the same
@@ -20,7 +21,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import ascii_lower, cut
+from .common import ascii_lower, cut, shuffle_width
 
 BLOCK_BYTES = 4096
 
@@ -77,19 +78,22 @@ def identify(rows: DataFrame, size: int = BLOCK_BYTES) -> DataFrame:
     return small.drop("last", "addresses").join(done, "key")
 
 
-def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES) -> DataFrame:
+def exact_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = BLOCK_BYTES, key_col: str | None = None) -> DataFrame:
     """(key, id, keep_id, group_size, kept, text_sha256) for every row of ``df``.
 
-    ``key`` numbers the rows of ``df`` as ``with_row_key`` does.
+    ``key`` is the long column ``key_col``, in which no two rows are equal; without
+    one, rows are numbered.
     """
+    key = F.col(f"`{key_col}`") if key_col else F.monotonically_increasing_id()
     norm = ascii_lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
-    rows = df.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), norm.alias("norm"))
+    rows = df.select(key.alias("key"), F.col(f"`{id_col}`").alias("id"), norm.alias("norm"))
     facts = {"n_bytes": F.octet_length("norm"), "text_sha256": F.sha2(F.col("norm"), 256)}
-    found = cut(identify(rows.withColumns(facts), size))
-    groups = found.groupBy("n_bytes", "name").agg(
-        F.max(F.struct("id", "key")).alias("stays"), F.count(F.lit(1)).alias("group_size")
-    )
-    return found.join(groups, ["n_bytes", "name"]).select(
+    found = cut(identify(rows.withColumns(facts), size)).withColumn("deal", F.pmod(F.xxhash64("key"), F.lit(shuffle_width(df.sparkSession))))
+    # Each task's share of a group first, then the shares of a group, then back the same way.
+    shares = found.groupBy("n_bytes", "name", "deal").agg(F.max(F.struct("id", "key")).alias("most"), F.count(F.lit(1)).alias("n"))
+    groups = shares.groupBy("n_bytes", "name").agg(F.max("most").alias("stays"), F.sum("n").alias("group_size"))
+    told = shares.select("n_bytes", "name", "deal").join(groups, ["n_bytes", "name"])
+    return found.join(told, ["n_bytes", "name", "deal"]).select(
         "key",
         "id",
         F.col("stays.id").alias("keep_id"),

@@ -3,11 +3,17 @@
 Two texts are linked if the Jaccard similarity of their sets of ``SHINGLE``-word
 shingles is ``SIMILAR`` or more.  Candidates share one of ``BANDS`` bands of ``DEPTH``
 MinHash values; a pair at 0.8 shares none with a probability of 5e-8.  Groups of
-candidates with the same members count once.  A task gets a group's texts and compares
-them exactly; only a spanning forest of the links it finds is sent on.
+candidates with the same members count once.
+
+A group is compared with its centre first, the member that shares most bands with most
+others; members like the centre are joined by it.  Only the rest are compared with all
+members, a block of them at a time while the members stream past, so a task holds one
+centre or one block however large the group.  Distances to the centre, which obey the
+triangle inequality, spare most of these comparisons.  The rest is quadratic only in
+members unlike the centre of a group.  Only links that join something are sent on.
 
 Defined results: words are those of ``simhash``; a text shorter than a shingle is one
-shingle, and texts without words are linked to nothing.
+shingle, and texts without words are linked to nothing.  An empty table has no links.
 """
 
 from __future__ import annotations
@@ -28,7 +34,9 @@ from .common import cut, shuffle_width
 SHINGLE, SIMILAR, SEED = 5, 0.8, 42
 BANDS, DEPTH = 32, 4
 #: Shingles whose values are made at once.
-AT_ONCE = 1 << 12
+AT_ONCE = 1 << 11
+#: Members of a group compared with its centre in one task, and in one block of those unlike it.
+SPREAD, BLOCK = 4096, 256
 
 
 def shingles(text: str | None) -> np.ndarray:
@@ -45,12 +53,15 @@ def bands(hashes: np.ndarray) -> list[int]:
     if not len(hashes):
         return []
     rng = np.random.default_rng(SEED)
-    odd, shift = (rng.integers(0, 1 << 63, (2, BANDS * DEPTH), dtype=np.uint64) << np.uint64(1)) | np.uint64(1)
-    least = np.full(BANDS * DEPTH, np.iinfo(np.uint64).max)
-    for at in range(0, len(hashes), AT_ONCE):
-        mixed = hashes[at : at + AT_ONCE, None] * odd + shift
-        mixed ^= mixed >> np.uint64(32)
-        least = np.minimum(least, (mixed * odd).min(axis=0))
+    flip, odd = rng.integers(0, 1 << 32, (2, BANDS * DEPTH), dtype=np.uint32) | np.uint32(1)
+    folded = (hashes ^ (hashes >> np.uint64(32))).astype(np.uint32)
+    least = np.full(BANDS * DEPTH, np.iinfo(np.uint32).max, np.uint32)
+    for at in range(0, len(folded), AT_ONCE):
+        mixed = folded[None, at : at + AT_ONCE] ^ flip[:, None]
+        mixed *= odd[:, None]
+        mixed ^= mixed >> np.uint32(15)
+        mixed *= np.uint32(0x9E3779B1)
+        least = np.minimum(least, mixed.min(axis=1))
     rows = least.reshape(BANDS, DEPTH)
     return [xxhash.xxh64_intdigest(r.tobytes(), k) - (1 << 63) for k, r in enumerate(rows)]
 
@@ -60,42 +71,100 @@ def band_names(texts: pd.Series) -> pd.Series:
     return pd.Series([bands(shingles(t)) for t in texts])
 
 
+@F.pandas_udf(T.BinaryType())
+def packed_shingles(texts: pd.Series) -> pd.Series:
+    return pd.Series([shingles(t).tobytes() for t in texts])
+
+
+def likeness(a: np.ndarray, b: np.ndarray) -> float:
+    both = len(np.intersect1d(a, b, assume_unique=True))
+    return both / (len(a) + len(b) - both)
+
+
 def similar(a: np.ndarray, b: np.ndarray) -> bool:
-    if min(len(a), len(b)) < SIMILAR * max(len(a), len(b)):
-        return False
+    return min(len(a), len(b)) >= SIMILAR * max(len(a), len(b)) and alike(a, b)
+
+
+def alike(a: np.ndarray, b: np.ndarray) -> bool:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both >= SIMILAR * (len(a) + len(b) - both)
 
 
-def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Links inside the groups; rows (band, key, text) come by band."""
-    band, groups = None, []
+def by_centre(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(band, key, centre, near, distance) of the members; rows (band, part, role, key, hashes) come by band and part, the centre first."""
+    centre, own = None, np.zeros(0, np.uint64)
+    for batch in batches:
+        out = []
+        for band, role, key, data in zip(*(batch.column(c).to_pylist() for c in ("band", "role", "key", "hashes")), strict=True):
+            hashes = np.frombuffer(data, np.uint64)
+            if not role:
+                centre, own = key, hashes
+            else:
+                out.append((band, key, centre, similar(own, hashes), 1 - likeness(own, hashes)))
+        if out:
+            columns = list(zip(*out, strict=True))
+            kinds = [pa.int64(), pa.int64(), pa.int64(), pa.bool_(), pa.float64()]
+            yield pa.record_batch([pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], names=["band", "key", "centre", "near", "distance"])
+
+
+def by_block(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(a, b): links of a block's members with all others; rows (band, part, role, key, root, distance, hashes) come by band and part, the block first."""
+    at, homes, joined = None, [], {}
+
+    def root(x: int) -> int:
+        while (up := joined.setdefault(x, x)) != x:
+            joined[x] = x = joined[up]
+        return x
+
     for batch in batches:
         found = []
-        for name, key, text in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-            if name != band:
-                band, groups = name, []
-            own = shingles(text)
-            # Groups are what links have joined; one similar member joins a text to the whole group.
-            joined, apart = [(key, own)], []
-            for group in groups:
-                near = next((k for k, other in group if similar(own, other)), None)
-                if near is None:
-                    apart.append(group)
-                else:
-                    found.append((near, key))
-                    joined = group + joined
-            groups = [*apart, joined]
+        names = ("band", "part", "role", "key", "root", "distance", "hashes")
+        for band, part, role, key, own_root, distance, data in zip(*(batch.column(c).to_pylist() for c in names), strict=True):
+            if (band, part) != at:
+                at, homes, joined = (band, part), [], {}
+            hashes = np.frombuffer(data, np.uint64)
+            if not role:
+                homes.append((key, distance, hashes))
+                continue
+            for home, other, theirs in homes:
+                # Two texts that far apart as seen from the centre are no closer to each other.
+                if home == key or abs(distance - other) > 1 - SIMILAR + 1e-9 or root(home) == root(own_root):
+                    continue
+                if similar(theirs, hashes):
+                    joined[root(home)] = root(own_root)
+                    found.append((home, key))
         if found:
             pairs = np.array(found, np.int64)
             yield pa.record_batch([pa.array(pairs[:, 0]), pa.array(pairs[:, 1])], names=["a", "b"])
 
 
 def links(rows: DataFrame) -> DataFrame:
-    """(a, b): keys that join all rows of ``rows`` (key, text) whose texts are similar."""
+    """(a, b): keys that join all rows of ``rows`` (key, text) whose texts are similar; no two rows have the same key."""
+    width = shuffle_width(rows.sparkSession)
     named = cut(rows.select("key", F.explode(band_names("text")).alias("band")))
-    groups = named.groupBy("band").agg(F.count(F.lit(1)).alias("n"), F.sum(F.xxhash64("key").cast("decimal(38,0)")).alias("s")).filter("n > 1")
-    once = groups.groupBy("n", "s").agg(F.min("band").alias("band")).select("band")
-    members = named.join(once, "band").join(rows, "key").select("band", "key", "text")
-    dealt = members.repartition(shuffle_width(rows.sparkSession), "band").sortWithinPartitions("band", "key")
-    return dealt.mapInArrow(compare, "a long, b long")
+    total = lambda seed: F.sum(F.xxhash64("key", F.lit(seed)).cast("decimal(38,0)"))
+    groups = named.groupBy("band").agg(F.count(F.lit(1)).alias("n"), total(1).alias("s"), total(2).alias("t")).filter("n > 1")
+    once = groups.groupBy("n", "s", "t").agg(F.min("band").alias("band")).select("band", "n")
+    members = cut(named.join(once, "band"))
+    sociable = members.groupBy("key").agg(F.sum("n").alias("seen"))
+    hashes = cut(rows.join(sociable, "key").select("key", "seen", packed_shingles("text").alias("hashes")))
+    centres = members.join(hashes.select("key", "seen"), "key").groupBy("band").agg(F.max(F.struct("seen", "key")).alias("c"), F.first("n").alias("n"))
+    centres = centres.select("band", F.col("c.key").alias("centre"), F.ceil(F.col("n") / SPREAD).cast("int").alias("parts"))
+
+    part = F.pmod(F.xxhash64("key"), "parts").cast("int").alias("part")
+    heads = centres.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(0).alias("role"), F.col("centre").alias("key"))
+    others = members.join(centres, "band").filter("key <> centre").select("band", part, F.lit(1).alias("role"), "key")
+    first = heads.unionByName(others).join(hashes.select("key", "hashes"), "key")
+    dealt = first.repartition(width, "band", "part").sortWithinPartitions("band", "part", "role", "key")
+    seen = cut(dealt.mapInArrow(by_centre, "band long, key long, centre long, near boolean, distance double"))
+
+    # Where only one member but the centre is left, there is nothing more to compare.
+    left = seen.groupBy("band").agg(F.count_if(~F.col("near")).alias("far"), F.count(F.lit(1)).alias("n")).filter("far > 0 AND n > 1")
+    left = left.select("band", F.ceil(F.col("far") / BLOCK).cast("int").alias("parts"))
+    rest = seen.join(left, "band").withColumn("root", F.when(F.col("near"), F.col("centre")).otherwise(F.col("key")))
+    homes = rest.filter(~F.col("near")).select("band", part, F.lit(0).alias("role"), "key", "root", "distance")
+    visits = rest.select("band", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"), F.lit(1).alias("role"), "key", "root", "distance")
+    second = homes.unionByName(visits).join(hashes.select("key", "hashes"), "key")
+    again = second.repartition(width, "band", "part").sortWithinPartitions("band", "part", "role", "key")
+    near = seen.filter("near").select(F.col("centre").alias("a"), F.col("key").alias("b"))
+    return near.unionByName(again.mapInArrow(by_block, "a long, b long"))

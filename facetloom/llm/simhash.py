@@ -144,14 +144,16 @@ def links(distinct: DataFrame, radius: int = RADIUS, tile: int = TILE) -> DataFr
     return dealt.mapInArrow(lambda it: compare_tiles(it, radius), "a long, b long")
 
 
-def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS) -> DataFrame:
+def near_dedup(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", radius: int = RADIUS, key_col: str | None = None) -> DataFrame:
     """(key, id, fp, fingerprint, component_id, keeper, head) for every row of ``df``.
 
     ``component_id`` is the smallest id that links reach; ``keeper`` marks the one row
-    of the component that stays, ``head`` is its key.  ``key`` numbers rows as ``with_row_key`` does.
+    of the component that stays, ``head`` is its key.  ``key`` is the long column
+    ``key_col``, in which no two rows are equal; without one, rows are numbered.
     """
     text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-    rows = cut(df.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), fingerprints(text).alias("fp")))
+    key = F.col(f"`{key_col}`") if key_col else F.monotonically_increasing_id()
+    rows = cut(df.select(key.alias("key"), F.col(f"`{id_col}`").alias("id"), fingerprints(text).alias("fp")))
     # Nulls last, then the first row of the smallest id.
     own = rows.groupBy("fp").agg(F.min(F.struct(F.col("id").isNull().alias("none"), "id", "key")).alias("first"))
     own = cut(own)

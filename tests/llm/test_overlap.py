@@ -1,6 +1,8 @@
 import itertools
 import random
 
+import pytest
+
 import corpus_pipeline
 from facetloom.llm import overlap
 from facetloom.llm.components import connected_components
@@ -29,7 +31,10 @@ def texts():
     return out
 
 
-def test_links_join_what_all_pairs_join(spark):
+@pytest.mark.parametrize(("spread", "block"), [(4096, 256), (2, 1)])
+def test_links_join_what_all_pairs_join(spark, monkeypatch, spread, block):
+    monkeypatch.setattr(overlap, "SPREAD", spread)
+    monkeypatch.setattr(overlap, "BLOCK", block)
     rows = list(enumerate(texts()))
     edges = [(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if naive_similar(a or "", b or "")]
     roots = lambda df: {r["node"]: r["root"] for r in connected_components(df).collect()}
@@ -42,3 +47,27 @@ def test_the_near_stage_leaves_no_near_copy(spark, data):
     left = corpus_pipeline.near_stage(spark, spark.createDataFrame(rows, "doc_id long, text string"), data).collect()
     assert not [1 for a, b in itertools.combinations(left, 2) if naive_similar(a["text"], b["text"])]
     assert len(left) > 25
+
+
+def test_a_large_group_and_a_chain(spark, monkeypatch):
+    """Many copies of one text with a word changed each, and texts of which each is like the next only."""
+    monkeypatch.setattr(overlap, "SPREAD", 50)
+    monkeypatch.setattr(overlap, "BLOCK", 8)
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(300)]
+    rows = []
+    for k in range(150):
+        other = base[:]
+        other[rng.randrange(300)] = f"x{k}"
+        rows.append(" ".join(other))
+    chain = [f"c{i}" for i in range(200)]
+    for k in range(20):
+        rows.append(" ".join(chain))
+        chain[k * 3] = f"d{k}"
+        chain[k * 3 + 100] = f"e{k}"
+    rows = list(enumerate(rows))
+    edges = [(i, j) for (i, a), (j, b) in itertools.combinations(rows, 2) if naive_similar(a, b)]
+    roots = lambda df: {r["node"]: r["root"] for r in connected_components(df).collect()}
+    got = roots(overlap.links(spark.createDataFrame(rows, "key long, text string")))
+    assert got == roots(spark.createDataFrame(edges, "a long, b long"))
+    assert overlap.links(spark.createDataFrame([], "key long, text string")).collect() == []
