@@ -6,8 +6,8 @@ the other sources by weight until none is above its cap.  ``target / size`` is t
 repetition rate: each document is emitted ``floor(rate)`` times, and once more if a
 hash of the seed, its source and its id falls below the fraction.
 
-The shuffle carries one partial sum per source and task; a counted, small table of
-targets is broadcast, a larger one joined.  Targets come from a
+The shuffle carries one partial sum per source and task; a table of targets that was
+measured and found small is broadcast, a larger one joined.  Targets come from a
 few passes over the table of sources that return single numbers; sources themselves
 are never collected.
 
@@ -30,8 +30,8 @@ WEIGHTS = (5, 2, 1)
 SHARE = 1.5
 MOST = 2.0
 SEED = 17
-#: Sources whose targets may be broadcast; the targets of more are joined by shuffle.
-MAX_BROADCAST = 100_000
+#: Bytes of a table of targets that may be broadcast; a larger one is joined by shuffle.
+MAX_BROADCAST = 16 << 20
 
 
 def n_words(text: Column) -> Column:
@@ -90,7 +90,8 @@ def mix(
     sized = df.select(row, F.col(f"`{source_col}`").alias("source"), F.col(f"`{id_col}`").alias("id"), n_words(F.col(f"`{text_col}`")).alias("size"))
     targets = source_targets(sized.select("source", "size"), weights, share, most)
     targets = targets.withColumnRenamed("source", "of")
-    if targets.count() <= MAX_BROADCAST:  # then texts stay where they are
+    n_bytes = targets.agg(F.sum(F.coalesce(F.octet_length(F.col("of").cast("string")), F.lit(0)) + 64)).first()[0] or 0
+    if n_bytes <= MAX_BROADCAST:  # then texts stay where they are
         targets = F.broadcast(targets)
     joined = sized.join(targets, F.col("source").eqNullSafe(F.col("of")), "left")
     rate = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
