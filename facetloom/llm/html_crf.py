@@ -12,7 +12,9 @@ Training is small and runs on the driver; extraction is one narrow pass.
 
 Defined results: a null or empty page has empty text; a page without content blocks
 too.  Unclosed and mismatched tags are tolerated, comments, scripts, styles and the
-head never count.  An empty table gives an empty table.
+head never count; the text of other embedded elements is for the chain to judge.  Any
+page costs time and memory in proportion to its length, however deep or broken.  An
+empty table gives an empty table.
 """
 
 from __future__ import annotations
@@ -21,9 +23,8 @@ import html
 import math
 import random
 import re
-from collections.abc import Callable, Iterable
+from collections.abc import Callable
 from functools import lru_cache
-from itertools import takewhile
 
 import numpy as np
 import pandas as pd
@@ -34,21 +35,44 @@ N_PAGES, EPOCHS, RATE, RIDGE, SEED = 1000, 12, 0.25, 1e-5, 11
 
 #: Elements whose boundaries end a block, elements without content, and elements whose text is no text of the page.
 BLOCK_TAGS = frozenset(
-    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
+    "address article aside blockquote body br button caption center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html label legend li main menu nav noscript ol optgroup option p pre section select summary table tbody td tfoot th thead title tr ul".split()
 )
 VOID_TAGS = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW_TAGS = frozenset("script style noscript title textarea iframe".split())
+RAW_TAGS = frozenset("script style title textarea iframe".split())
 #: An opening tag of the second kind ends an open element of the first.
 ENDS = {"p": BLOCK_TAGS - {"br", "button", "label"}, "li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"tr"}, "td": {"td", "th", "tr"}, "th": {"td", "th", "tr"}, "option": {"option"}}
 #: Words that speak for boilerplate wherever they stand.
 CUES = frozenset("cookie cookies copyright subscribe newsletter login password comment comments reply share advertisement sponsored menu rights reserved privacy terms sign search".split())
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']++|\"[^\"]*\"|'[^']*')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*)>", re.S)
-ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
+#: A comment, a declaration, or the beginning of a tag.
+MARK = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/>]*)", re.S)
+#: What a tag's attributes are made of up to its end: an unquoted value or the opening of a quoted one.
+VALUE = re.compile(r">|=\s*(?:([\"'])|([^\s>]*))")
+ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
 
-#: A block: its text, the keys of the elements around it, outermost first, and the share of its text inside links.
-Block = tuple[str, tuple[str, ...], float]
+
+class Element:
+    """An open element; those around it are its parents."""
+
+    __slots__ = ("parent", "key", "tag", "inner", "depth")
+
+    def __init__(self, parent: Element | None, tag: str, key: str):
+        self.parent, self.tag, self.key = parent, tag, key
+        self.depth = parent.depth + 1 if parent else 0
+        self.inner = tag if tag in BLOCK_TAGS else parent.inner if parent else "none"
+
+    def path(self) -> list[str]:
+        """The keys of the elements around a block, outermost first."""
+        out, at = [], self
+        while at:
+            out.append(at.key)
+            at = at.parent
+        return out[::-1]
+
+
+#: A block: its text, the innermost element around it, and the share of its text inside links.
+Block = tuple[str, Element | None, float]
 
 
 #: Keys of elements seen, so that a task reads each combination of attributes once.
@@ -64,18 +88,52 @@ def element_key(tag: str, attributes: str) -> str:
             words += re.findall(r"[a-z]+", (m[2] or m[3] or m[4] or "").lower())
         if len(KEYS) >= 4096:
             KEYS.clear()
-        key = KEYS[tag, attributes] = " ".join([tag, *words])
+        key = " ".join([tag, *words])
+        if len(attributes) < 1024:
+            KEYS[tag, attributes] = key
     return key
 
 
+def tag_end(page: str, at: int) -> tuple[int, bool]:
+    """Where a tag's ``>`` is (-1 if it has none), and whether a slash that is no part of a value stands before it."""
+    value = at
+    while m := VALUE.search(page, at):
+        if m[0] == ">":
+            return m.start(), m.start() > value and page[m.start() - 1] == "/"
+        at = m.end()
+        if m[1]:
+            close = page.find(m[1], at)
+            if close < 0:  # a quote that is never closed opens nothing
+                return page.find(">", at), False
+            at = close + 1
+        value = at
+    return -1, False
+
+
 def blocks(page: str | None) -> list[Block]:
-    """The leaf blocks of a page in order."""
+    """The leaf blocks of a page in order.
+
+    One pass: each character is read a bounded number of times, and elements are kept
+    by their parents, so neither depth nor broken markup makes a page cost more than
+    its length.
+    """
     page = page or ""
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack: list[Element] = []
+    places: dict[str, list[int]] = {}  # of the open elements of each tag
+    outer: list[int] = []  # places of the open block elements
     texts: list[str] = []
-    linked = at = links = 0
-    opened: list[tuple[str, str]] = []  # the elements around the block's first text
+    linked = at = 0
+    low = 0  # the elements around the block since its first text
+
+    def cut_to(depth: int) -> None:
+        nonlocal low
+        while len(stack) > depth:
+            gone = stack.pop()
+            places[gone.tag].pop()
+            if gone.tag in BLOCK_TAGS:
+                outer.pop()
+        low = min(low, depth)
 
     def flush() -> None:
         nonlocal linked
@@ -84,72 +142,71 @@ def blocks(page: str | None) -> list[Block]:
             text = SPACE.sub(" ", html.unescape(joined) if "&" in joined else joined).strip()
             if text:
                 # Elements that end or begin inside the block are not around it.
-                path = tuple([a[1] for a, b in takewhile(same, zip(opened, stack, strict=False))])
-                out.append((text, path, min(1.0, linked / max(1, len(joined)))))
+                out.append((text, stack[low - 1] if low else None, min(1.0, linked / max(1, len(joined)))))
             texts.clear()
         linked = 0
 
     while True:
-        m = TOKEN.search(page, at)
+        m = MARK.search(page, at)
         piece = page[at : m.start()] if m else page[at:]
         if piece and (texts or not piece.isspace()):
             if not texts:
-                opened = stack.copy()
+                low = len(stack)
             texts.append(piece)
-            if links:
+            if places.get("a"):
                 linked += len(piece)
         if not m:
             break
         at = m.end()
-        tag = m[2] or m[5]
-        if not tag:
+        if not m[2]:
             continue
-        tag, closing = tag.lower(), m[1] or m[4]
+        tag, closing = m[2].lower(), m[1]
+        end, slash = tag_end(page, at)
+        if end < 0:
+            break  # a tag that never ends takes the rest
+        attributes, at = page[at:end], end + 1
+        own = places.get(tag)
         if closing:
             if tag in BLOCK_TAGS:
                 flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if stack[i][0] == tag:
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if tag not in BLOCK_TAGS and stack[i][0] in BLOCK_TAGS:
-                    break  # a stray inline end tag closes nothing outside its block
+                if own:
+                    cut_to(own[-1])
+            elif own and (not outer or own[-1] > outer[-1]):
+                cut_to(own[-1])  # a stray inline end tag closes nothing outside its block
             continue
         if tag in BLOCK_TAGS:
             flush()
-            for i in range(len(stack) - 1, -1, -1):
-                if tag in ENDS.get(stack[i][0], ()):
-                    links -= sum(t == "a" for t, _ in stack[i:])
-                    del stack[i:]
-                    break
-                if stack[i][0] in BLOCK_TAGS:
-                    break
-        attributes = m[3] or m[6] or ""
-        if tag in RAW_TAGS and not attributes.endswith("/"):
-            end = re.compile(rf"</{tag}\s*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            if outer and tag in ENDS.get(stack[outer[-1]].tag, ()):
+                cut_to(outer[-1])
+        if tag in RAW_TAGS:
+            close = raw_end(tag).search(page, at)
+            if not close:
+                break
+            at = close.end()
             continue
-        if tag not in VOID_TAGS and not attributes.endswith("/"):
-            stack.append((tag, element_key(tag, attributes)))
-            links += tag == "a"
+        if tag not in VOID_TAGS and not slash:
+            stack.append(Element(stack[-1] if stack else None, tag, element_key(tag, attributes)))
+            places.setdefault(tag, []).append(len(stack) - 1)
+            if tag in BLOCK_TAGS:
+                outer.append(len(stack) - 1)
     flush()
     return out
 
 
-def same(pair: tuple) -> bool:
-    return pair[0] is pair[1]
+@lru_cache
+def raw_end(tag: str) -> re.Pattern:
+    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
 
 
-def path_features(path: Iterable[str]) -> set[str]:
+def key_features(key: str) -> list[str]:
+    tag, *words = key.split()
+    return [f"in:{tag}", *[f"word:{w}" for w in words]]
+
+
+def path_features(around: Element | None) -> set[str]:
     """What the elements around a block say: every tag, every class word, and the innermost block tag."""
-    out, inner = set(), "none"
-    for key in path:
-        tag, *words = key.split()
-        out.add(f"in:{tag}")
-        out.update(f"word:{w}" for w in words)
-        inner = tag if tag in BLOCK_TAGS else inner
-    return out | {f"at:{inner}"}
+    own = {f for key in (around.path() if around else []) for f in key_features(key)}
+    return own | {f"at:{around.inner if around else 'none'}"}
 
 
 def text_features(block: Block, place: int, total: int) -> list[str]:
@@ -170,20 +227,49 @@ class ChainModel:
 
     def __init__(self, weights: dict[str, float], same: np.ndarray):
         self.weights, self.same = weights, same
-        self.paths: dict[tuple[str, ...], float] = {}
-
-    def path_score(self, path: tuple[str, ...]) -> float:
-        score = self.paths.get(path)
-        if score is None:
-            if len(self.paths) > 50_000:
-                self.paths.clear()
-            get = self.weights.get
-            score = self.paths[path] = sum(get(f, 0.0) for f in path_features(path)) + get("bias", 0.0)
-        return score
+        self.keys: dict[str, list[tuple[str, float]]] = {}
+
+    def key_weights(self, key: str) -> list[tuple[str, float]]:
+        """The features of an element that have weight; unknown words have none."""
+        found = self.keys.get(key)
+        if found is None:
+            if len(self.keys) > 50_000:
+                self.keys.clear()
+            found = [(f, w) for f in sorted(set(key_features(key))) if (w := self.weights.get(f, 0.0))]
+            if len(key) < 1024:
+                self.keys[key] = found
+        return found
+
+    def path_scores(self, page: list[Block]) -> list[float]:
+        """What the elements around each block say; a feature counts once, however many of them have it.
+
+        Blocks come in page order, so each element is entered and left once.
+        """
+        chain: list[tuple[Element, float, list[str]]] = []  # elements, their scores so far, features they were first to have
+        had: set[str] = set()
+        out = []
+        for _, around, _ in page:
+            ahead, at = [], around
+            while at and not (at.depth < len(chain) and chain[at.depth][0] is at):
+                ahead.append(at)
+                at = at.parent
+            while len(chain) > (at.depth + 1 if at else 0):
+                had.difference_update(chain.pop()[2])
+            for e in reversed(ahead):
+                score, first = chain[-1][1] if chain else 0.0, []
+                for f, w in self.key_weights(e.key):
+                    if f not in had:
+                        had.add(f)
+                        first.append(f)
+                        score += w
+                chain.append((e, score, first))
+            inner = around.inner if around else "none"
+            out.append((chain[-1][1] if chain else 0.0) + self.weights.get(f"at:{inner}", 0.0) + self.weights.get("bias", 0.0))
+        return out
 
     def emissions(self, page: list[Block]) -> list[float]:
         get = self.weights.get
-        return [self.path_score(b[1]) + sum(get(f, 0.0) for f in text_features(b, i, len(page))) for i, b in enumerate(page)]
+        return [s + sum(get(f, 0.0) for f in text_features(b, i, len(page))) for i, (b, s) in enumerate(zip(page, self.path_scores(page), strict=True))]
 
     def decode(self, page: list[Block]) -> list[int]:
         """Viterbi: the most likely labels."""
@@ -251,7 +337,7 @@ CHROME_BOXES = (
     "<header>", '<header class="top">', '<div class="site-header">', '<div class="header">', '<div id="header">', '<div role="banner">', "<footer>", '<footer class="site">', '<div id="footer">', '<div class="footer">', '<div class="site-footer">', '<div role="contentinfo">',
     "<aside>", '<div class="sidebar">', '<div id="sidebar">', '<div class="widget">', '<div role="complementary">', '<div class="related">', '<div class="related-posts">',
     '<div class="ad">', '<div id="google-ads">', '<div class="ads banner">', '<div class="advert">', '<div class="sponsored promo">', '<div class="advertisement">', '<section class="advertisement">',
-    '<div class="cookie-notice">', '<div class="cookie-banner">', '<div class="notice">', '<div id="consent">', '<div class="popup modal">', '<div class="alert">', '<div role="alert">', '<div role="dialog">', "<dialog>", '<div class="gdpr">',
+    '<div class="cookie-notice">', '<div class="cookie-banner">', '<div class="notice">', '<div id="consent">', '<div class="popup modal">', '<div class="alert">', '<div role="alert">', '<div role="dialog">', "<dialog>", '<div class="gdpr">', "<noscript>", '<noscript><div class="warning">',
     "<form>", '<form class="search">', '<form class="newsletter subscribe">', '<div class="newsletter">', '<div class="login">', '<div role="search">',
     '<section class="comments">', '<div id="comments">', '<div class="comment">', '<article class="comment">', '<ol class="comment-list">', '<div class="replies">', '<div class="disqus">', '<div class="share social">', '<div class="social-share">', '<div class="pagination">', '<div class="tags">',
 )

@@ -1,4 +1,6 @@
 import re
+import time
+from html.parser import HTMLParser
 
 import numpy as np
 import pytest
@@ -24,6 +26,11 @@ def texts(page):
         ("<script>never closed <p>x</p>", []),
         ("<div title='a > b'>x</div><a href=\"x>y\">z</a>", ["x", "z"]),
         ("<div title='unclosed>x</div>", ["x"]),
+        ("<!--><p>x</p><!---><p>y</p><!-- a --!><p>z</p>", ["x", "y", "z"]),
+        ("<script src=/js/>code</script><p>x</p><style/>p{}</style ><p>y</p>", ["x", "y"]),
+        ('<p class=a"b>x<a href=http://e.com/>y</a></p>', ["xy"]),
+        ("<p/>x<div />y<br/>z<p", ["x", "y", "z"]),
+        ("<p>x</p><noscript>plain</noscript>", ["x", "plain"]),
         ("</p></div>a<li>b<li>c</ul>d", ["a", "b", "c", "d"]),
         ("1 < 2 and 3 > 2", ["1 < 2 and 3 > 2"]),
         ("<p>&nbsp;</p><p>a&nbsp;b</p>", ["a b"]),
@@ -37,14 +44,15 @@ def test_blocks(page, expected):
 def test_ancestors():
     (text, path, linked), = [b for b in h.blocks('<div class="Side-bar" id=nav role="menu"><ul><li><a href=x>one</a></li></ul></div>')]
     assert text == "one" and linked == 1.0
-    assert path == ("div side bar nav menu", "ul", "li")
-    assert [b[1] for b in h.blocks("<p><b>x</b> y<p><i>z<br>w")] == [("p",), ("p", "i"), ("p", "i")]
+    assert path.path() == ["div side bar nav menu", "ul", "li"]
+    assert [b[1].path() for b in h.blocks("<p><b>x</b> y<p><i>z<br>w")] == [["p"], ["p", "i"], ["p", "i"]]
+    assert h.blocks('<p>a <a href=http://e.com/>b</a></p>')[0][2] > 0
     assert {"in:div", "word:side", "word:menu", "at:li"} <= h.path_features(path)
 
 
 def test_viterbi_finds_the_best_labels():
     rng = np.random.default_rng(1)
-    page = [(f"w{i} x", ("div",), 0.0) for i in range(7)]
+    page = [(f"w{i} x", h.Element(None, "div", "div"), 0.0) for i in range(7)]
     model = h.ChainModel({}, rng.normal(size=(2, 2)))
     scores = rng.normal(size=7).tolist()
     model.emissions = lambda p: scores
@@ -130,6 +138,42 @@ def test_pages_of_the_table(spark, data):
         assert r["text"] == " ".join(texts(body)) and r["n_chars"] == len(r["text"])
 
 
+class Plain(HTMLParser):
+    """The article's text by rules, from another parser: what is in <article> and in no element of boilerplate."""
+
+    BOILERPLATE = {"nav", "header", "footer", "aside", "form", "script", "style"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.open, self.out = [], []
+
+    def handle_starttag(self, tag, attrs):
+        if tag not in h.VOID_TAGS:
+            self.open.append((tag, tag in self.BOILERPLATE or "ad" in (dict(attrs).get("class") or "").split()))
+        if tag in h.BLOCK_TAGS:
+            self.out.append("\0")
+
+    def handle_endtag(self, tag):
+        while self.open and any(t == tag for t, _ in self.open):
+            if self.open.pop()[0] == tag:
+                break
+        if tag in h.BLOCK_TAGS:
+            self.out.append("\0")
+
+    def handle_data(self, data):
+        if any(t == "article" for t, _ in self.open) and not any(b for _, b in self.open):
+            self.out.append(data)
+
+
+def test_pages_of_the_table_by_another_parser(spark, data):
+    rows = {r["page_id"]: r["html"] for r in spark.read.parquet(f"{data}/pages.parquet").collect()}
+    for r in registry.op2_html_crf(spark, data).collect():
+        plain = Plain()
+        plain.feed(rows[r["page_id"]])
+        plain.close()
+        assert r["text"] == " ".join(t for t in (re.sub(r"\s+", " ", part).strip() for part in "".join(plain.out).split("\0")) if t)
+
+
 def test_odd_rows_and_clashing_columns(spark):
     df = spark.createDataFrame([(1, None, "keep"), (2, "", None), (2, "<article><p>x</p></article>", "k"), (3, "<p>" + "long text " * 100_000, "k")], "page_id long, html string, text string").selectExpr("*", "1 AS n_chars", "html AS url")
     got = h.extract_pages(df).collect()
@@ -149,3 +193,39 @@ def test_embedded_elements_keep_their_text():
     text = " ".join(b[0] for b in h.blocks(page))
     assert all(w in text for w in ("formula", "holds", "fallback", "plain", "label", "and the rest"))
     assert h.blocks("<script>a</script><style>b</style>") == []
+
+
+def test_path_scores_are_those_of_the_features():
+    model = h.default_model()
+    for page, _ in h.labelled_pages(60, seed=5):
+        found = h.blocks(page)
+        for b, score in zip(found, model.path_scores(found), strict=True):
+            assert np.isclose(score, sum(model.weights.get(f, 0.0) for f in h.path_features(b[1])) + model.weights["bias"])
+
+
+HOSTILE = {
+    "deep": "<div>x" * 150_000,
+    "deep and classy": "".join(f'<div class="{chr(97 + i % 26) * (1 + i // 26 % 9)} w">x' for i in range(40_000)),
+    "open quotes": '<a "' * 250_000,
+    "open tags": '<a href="x" ' * 90_000,
+    "unclosed quotes": "<a href='x" + "<b c=\"y>" * 100_000,
+    "equal signs": "<a " + "=" * 1_000_000,
+    "stray ends": "<div>" * 80_000 + "</section>" * 80_000 + "x",
+    "inline ends": "<b><div>" + "<i>" * 150_000 + "</b>" * 150_000 + "x",
+    "less than": "<" * 1_000_000,
+    "comments": "<!--" * 250_000,
+    "declarations": "<!" * 500_000,
+    "scripts": "<script>" * 120_000,
+    "list items": "<li>x" * 200_000,
+    "one word": "<p>" + "x" * 1_000_000,
+    "spaces": "<p>x" + " " * 1_000_000 + "<p " + " " * 1_000_000,
+    "references": "<p>" + "&amp" * 250_000,
+}
+
+
+@pytest.mark.parametrize("name", list(HOSTILE))
+def test_hostile_pages_cost_no_more_than_their_length(name):
+    model, page = h.default_model(), HOSTILE[name]
+    began = time.perf_counter()
+    model.extract(page)
+    assert time.perf_counter() - began < 20, name
