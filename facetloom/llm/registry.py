@@ -54,7 +54,7 @@ def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     chats = read(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
-    return chat_format.digests(chat_format.format_chats(chats.unionByName(spark.sql(chat_format.PLANTED))))
+    return chat_format.digests(chat_format.format_chats(chats.unionByName(spark.sql(chat_format.PLANTED)), together=True))
 
 
 def op9_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,4 +71,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op9_url_filter": url_filter.oracle()}
+    return {"op4_mixing": mixing.ORACLE, "op5_exact_dedup": exact_dedup.ORACLE, "op8_chat_format": chat_format.ORACLE, "op9_url_filter": url_filter.oracle()}

@@ -59,6 +59,8 @@ def test_round_trip(spark):
         rows = [(conv, at, role, text) for at, (conv, role, text) in enumerate(turns)]
         df = spark.createDataFrame(rows, SCHEMA)
         assert digests(df, budget=budget, history=history) == expected(rows)
+        shown = lambda together: sorted(map(str, c.format_chats(df, budget=budget, history=history, together=together).collect()))
+        assert shown(True) == shown(False)
 
     run()
 
@@ -108,16 +110,23 @@ def test_odd_rows(spark):
     rows = [(None, 0, "user", "hi"), (None, 1, "assistant", None), (7, None, None, "x"), (7, 3, "assistant", "a"), (7, 3, "assistant", "a"), (7, 3, "user", "b"), (8, -5, "assistant", "é" * 3000), (9, 1 << 61, "assistant", "late")]
     df = spark.createDataFrame(rows, SCHEMA)
     extra = df.selectExpr("*", "'x' AS window", "1 AS start", "2 AS n_turns", "3 AS segment")
-    assert digests(extra) == expected(rows)
-    assert c.format_chats(df.limit(0)).collect() == []
+    assert digests(extra) == digests(extra, together=True) == expected(rows)
+    assert c.format_chats(df.limit(0)).collect() == c.format_chats(df.limit(0), together=True).collect() == []
 
 
 def test_one_long_conversation_is_spread(spark):
     rows = long_chat(1500, tokens=3)
     df = spark.createDataFrame(rows, SCHEMA)
     assert digests(df) == expected(rows)
-    sums = c.prefix_sums(df.withColumnsRenamed({"conv_id": "conv"}).withColumn("tokens", c.n_tokens(F.col("text"))))
-    assert "hashpartitioning(conv" in sums._jdf.queryExecution().executedPlan().toString() and sums.select("start").distinct().count() == len(rows)
+    turns = df.selectExpr("concat('=', conv_id) AS key", "*").withColumn("tokens", c.n_tokens(F.col("text")))
+    sums = c.place(turns, together=False)
+    assert "hashpartitioning(key" in sums._jdf.queryExecution().executedPlan().toString() and sums.select("start").distinct().count() == len(rows)
+    assert sorted(map(str, sums.select("start", "total", "lead", "system").collect())) == sorted(map(str, c.place(turns, together=True).select("start", "total", "lead", "system").collect()))
+
+
+def test_texts_move_once_when_conversations_stay_together(spark, data):
+    plan = registry.op8_chat_format(spark, data)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange") == 1
 
 
 def test_query(spark, data):
