@@ -2,24 +2,29 @@
 
 A small network predicts each word of a text from the words on both sides: the
 vectors of the ``SIDE`` words before and after go through one hidden layer, which
-predicts the word in two steps, its group and then its place in the group.  A
-document's score is the sum of the log-probabilities of its words, each given the
-others around it.
-
-The vocabulary comes from counts of all words of all documents.  Training takes the
-same share of places from every document, so it grows with the corpus; the examples
-are dealt to learners, as many as the table has partitions, each of which runs through
-its own as a stream, and their weights are averaged after each round.  The averages
-are summed up by tasks; one set of weights returns to the driver.  Scoring reads each
-text once and whole.
+predicts the word in three steps, its group, its place in the group and, for words
+that share a place, its share of the corpus's count of that place.  A document's score
+is the sum of the log-probabilities of its words, each given the others around it.
+
+All words of all documents are counted.  The most frequent ones have places of their
+own, all others share places by hash, and each has its own counted share there, so the
+vocabulary grows with the corpus and the probabilities of all counted words add up to
+one.  Texts are read once more and become names, two bytes a word, which training and
+scoring use.  Every word of every document is a training example: documents are dealt
+to learners by a hash of id and text, whatever the table's files, the learners grow in
+number with the corpus, and each runs through its own documents as a stream.  After
+every ``SYNCS``-th of its documents the learners' weights are averaged by tasks; one
+set of weights returns to the driver.
 
 Defined results: null and empty texts have no words, log-probability 0 and mean 0;
-equal texts score alike.  An empty table gives an empty table.
+equal texts score alike; words are in lower case; a word that was never counted has
+the share of one occurrence more.  An empty table gives an empty table.
 """
 
 from __future__ import annotations
 
 import itertools
+import math
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -27,24 +32,27 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import cut
+from .common import cut, new_folder
 from .sums import PART_SCHEMA, packed_rows, summed
 
 #: Words are named in groups; the last groups are for words outside the vocabulary, by hash.
 GROUPS, PLACES, RARE_GROUPS = 64, 64, 16
 #: Words on each side, sizes of word vectors and of the hidden layer.
 SIDE, VECTOR, HIDDEN = 2, 12, 32
-#: One place in ``EVERY`` is an example; rounds, examples in a step, rate and seed.
-EVERY, ROUNDS, STEP, RATE, SEED = 16, 2, 256, 0.08, 3
-#: Fewest learners; a larger table has one for each of its partitions.
-LEARNERS = 24
+#: Averages of the learners in one run through the corpus, runs, examples in a step, rate and seed.
+SYNCS, ROUNDS, STEP, RATE, SEED = 4, 1, 256, 0.2, 3
+#: Words for each learner, and the most learners there are.
+LEARNER_WORDS, MOST_LEARNERS = 1 << 20, 8192
 #: Places scored at once, and weights in one part of a sum.
 AT_ONCE, PART = 1 << 14, 1 << 11
 #: Partitions that the most frequent words are gathered in.
 FEW = 8
+#: Log-shares are added up as whole numbers, so that their order does not matter.
+SCALE = 1e9
 
 N_WORDS = GROUPS * PLACES
 N_KNOWN = (GROUPS - RARE_GROUPS) * PLACES
@@ -58,13 +66,17 @@ class Vocabulary(dict):
         return N_KNOWN + zlib.crc32(word) % (N_WORDS - N_KNOWN)
 
 
-def names_of(text: str | None, vocabulary: Vocabulary) -> np.ndarray:
-    words = (text or "").lower().encode("utf-8", "replace").split()
+def split_words(text: str | None) -> list[bytes]:
+    return (text or "").encode("utf-8", "replace").split()
+
+
+def names_of(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
     return np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
 
 
 def padded(names: np.ndarray) -> np.ndarray:
-    return np.concatenate([np.full(SIDE, EDGE, np.int32), names, np.full(SIDE, EDGE, np.int32)])
+    edge = np.full(SIDE, EDGE, np.int32)
+    return np.concatenate([edge, names, edge])
 
 
 def contexts(row: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -126,16 +138,17 @@ class Network:
         before = x @ self.hidden + self.hidden_bias
         group, place = names // PLACES, names % PLACES
         h1, h2 = np.tanh(before), np.tanh(before + self.given[group])
-        l1, l2 = log_softmax(h1 @ self.group + self.group_bias), log_softmax(h2 @ self.place + self.place_bias)
-        total = float((l1[rows, group] + l2[rows, place]).sum())
-        d1, d2 = -np.exp(l1), -np.exp(l2)
+        d1, d2 = softmax(h1 @ self.group + self.group_bias), softmax(h2 @ self.place + self.place_bias)
+        total = float(np.log(d1[rows, group]).sum() + np.log(d2[rows, place]).sum())
+        np.negative(d1, out=d1)
+        np.negative(d2, out=d2)
         d1[rows, group] += 1
         d2[rows, place] += 1
         b1, b2 = (d1 @ self.group.T) * (1 - h1 * h1), (d2 @ self.place.T) * (1 - h2 * h2)
         both = b1 + b2
-        given = np.zeros_like(self.given)
-        np.add.at(given, group, b2)
-        return total, [x.T @ both, both.sum(0), h1.T @ d1, d1.sum(0), given, h2.T @ d2, d2.sum(0)], (both @ self.hidden.T).reshape(n, 2 * SIDE, VECTOR)
+        of_group = np.zeros((n, GROUPS), b2.dtype)
+        of_group[rows, group] = 1
+        return total, [x.T @ both, both.sum(0), h1.T @ d1, d1.sum(0), of_group.T @ b2, h2.T @ d2, d2.sum(0)], (both @ self.hidden.T).reshape(n, 2 * SIDE, VECTOR)
 
     def learn(self, examples: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> int:
         """One run through a stream of examples, with steps scaled by the size of past ones."""
@@ -150,28 +163,65 @@ class Network:
                 g /= len(names)
                 s += g * g
                 p += rate * g / np.sqrt(s)
-            used, which = np.unique(around, return_inverse=True)
-            ones = np.zeros((len(used), around.size), np.float32)
-            ones[which.ravel(), np.arange(around.size)] = 1
-            g = ones @ of_vectors.reshape(-1, VECTOR) / len(names)
+            flat = around.ravel()
+            order = np.argsort(flat.astype(np.uint16), kind="stable")
+            flat = flat[order]
+            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
+            used = flat[first]
+            g = np.add.reduceat(of_vectors.reshape(-1, VECTOR)[order], first, axis=0) / len(names)
             past_vectors[used] += (g * g).mean(1)
             self.vectors[used] += rate * g / np.sqrt(past_vectors[used])[:, None]
         return seen
 
 
+def softmax(z: np.ndarray) -> np.ndarray:
+    z -= z.max(axis=1, keepdims=True)
+    np.exp(z, out=z)
+    z /= z.sum(axis=1, keepdims=True)
+    return z
+
+
 def log_softmax(z: np.ndarray) -> np.ndarray:
     z = z - z.max(axis=1, keepdims=True)
     return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
 
 
-def build_vocabulary(docs: DataFrame, text_col: str = "text") -> Vocabulary:
-    """The most frequent words of all documents; their number is fixed."""
-    words = docs.select(F.explode(F.split(F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit(""))), r"[\x09-\x0D\x20]+")).alias("word")).filter("word <> ''")
-    counted = words.groupBy("word").count().sortWithinPartitions(F.desc("count"), "word")
+@dataclass
+class Model:
+    """What a corpus teaches: names, weights, the words and their counts (word, h, bucket, n), and the counts of shared places."""
+
+    vocabulary: Vocabulary
+    network: Network
+    counted: DataFrame
+    buckets: list[int]
+
+
+def lowered(docs: DataFrame, text_col: str):
+    return F.lower(F.coalesce(F.col(f"`{text_col}`"), F.lit("")))
+
+
+def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
+    """(word, h, bucket, n): all words of all documents, the hash they are looked up by, and their count."""
+    words = docs.select(F.explode(F.split(lowered(docs, text_col), r"[\x09-\x0D\x20]+")).alias("word")).filter("word <> ''")
+    raw = F.encode("word", "UTF-8")
+    bucket = (F.crc32(raw) % (N_WORDS - N_KNOWN)).cast("int")
+    return cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", F.xxhash64("word").alias("h"), bucket.alias("bucket"), "n"))
+
+
+def build_vocabulary(counted: DataFrame) -> tuple[Vocabulary, list[int]]:
+    """Names for the most frequent words, and the counts of the places that all others share."""
+    ordered = counted.select("word", "n").sortWithinPartitions(F.desc("n"), "word")
     # A few partitions' heads come to the driver, not those of all partitions.
-    heads = counted.mapInArrow(lambda it: first_rows(it, N_KNOWN), counted.schema).repartition(FEW)
-    known = heads.orderBy(F.desc("count"), "word").limit(N_KNOWN).collect()
-    return Vocabulary({r["word"].encode("utf-8", "replace"): i for i, r in enumerate(known)})
+    heads = ordered.mapInArrow(lambda it: first_rows(it, N_KNOWN), ordered.schema).repartition(FEW)
+    known = heads.orderBy(F.desc("n"), "word").limit(N_KNOWN).collect()
+    vocabulary = Vocabulary({r["word"].encode("utf-8", "replace"): i for i, r in enumerate(known)})
+    buckets = [0] * (N_WORDS - N_KNOWN)
+    if len(known) == N_KNOWN:
+        last = known[-1]
+        rest = counted.filter((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
+        for r in rest.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each shared place
+            buckets[r["bucket"]] = r["n"]
+    return vocabulary, buckets
 
 
 def first_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
@@ -180,41 +230,66 @@ def first_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordB
         n -= min(n, batch.num_rows)
 
 
-def take_examples(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary, every: int, learners: int) -> Iterator[pa.RecordBatch]:
-    """(learner, examples): the examples of a batch, dealt out by a hash of their document."""
+def name_texts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
+    """(key, id, n_words, names, rare): texts as names of words, and the hashes of the words that share places."""
     for batch in batches:
-        held: dict[int, list[np.ndarray]] = {}
-        for text in batch.column(0).to_pylist():
-            names = names_of(text, vocabulary)
-            if not len(names):
-                continue
-            mark = zlib.crc32(names.tobytes())
-            at = np.arange(mark % every, len(names), every)
-            if not len(at):
-                at = np.array([mark % len(names)])
-            row = padded(names)
-            held.setdefault((mark >> 8) % learners, []).append(np.column_stack([contexts(row, at), names[at]]).astype(np.uint16))
-        yield pa.record_batch([pa.array(list(held), pa.int32()), pa.array([np.concatenate(x).tobytes() for x in held.values()], pa.binary())], names=["learner", "examples"])
-
-
-def steps(parts: Iterator[bytes], size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Examples a step at a time; the last of a part go with the next."""
-    width, rest = 2 * SIDE + 1, np.zeros((0, 2 * SIDE + 1), np.uint16)
-    for data in parts:
-        rows = np.concatenate([rest, np.frombuffer(data, np.uint16).reshape(-1, width)])
-        whole = len(rows) - len(rows) % size
-        for at in range(0, whole, size):
-            some = rows[at : at + size].astype(np.int32)
-            yield some[:, :-1], some[:, -1]
-        rest = rows[whole:]
-    if len(rest):
-        some = rest.astype(np.int32)
-        yield some[:, :-1], some[:, -1]
+        n_words, names, rare, ends = [], [], [], [0]
+        for text in batch.column(2).to_pylist():
+            words = split_words(text)
+            own = names_of(words, vocabulary)
+            n_words.append(len(own))
+            names.append(own.astype(np.uint16).tobytes())
+            at = np.flatnonzero(own >= N_KNOWN).tolist()
+            rare.append(np.fromiter((xxhash.xxh64_intdigest(words[i], 42) for i in at), np.uint64, len(at)))
+            ends.append(ends[-1] + len(at))
+        flat = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
+        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
+        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(names, pa.binary()), lists], names=["key", "id", "n_words", "names", "rare"])
+
+
+def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """The texts as names, stored: training and scoring read them, and a row keeps its key."""
+    rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), lowered(docs, text_col).alias("text"))
+    known = dict(vocabulary)
+    kind = rows.schema["id"].dataType.simpleString()
+    named = rows.mapInArrow(lambda it: name_texts(it, Vocabulary(known)), f"key long, id {kind}, n_words long, names binary, rare array<long>")
+    folder = new_folder(docs.sparkSession, "names")
+    named.write.option("compression", "zstd").parquet(folder)
+    return docs.sparkSession.read.parquet(folder)
+
+
+def steps(texts: Iterator[bytes], size: int = STEP) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Examples a step at a time: every word of every text, with the words around it."""
+    held: list[np.ndarray] = []
+    n = 0
+    for data in texts:
+        names = np.frombuffer(data, np.uint16)
+        row = padded(names)
+        for lo in range(0, len(names), AT_ONCE):
+            at = np.arange(lo, min(lo + AT_ONCE, len(names)))
+            held.append(np.column_stack([contexts(row, at), names[at]]))
+            n += len(at)
+            if n >= 32 * size:
+                yield from whole_steps(held, size)
+                n = len(held[0])
+    if n:
+        some = np.concatenate(held)
+        for at in range(0, len(some), size):
+            yield some[at : at + size, :-1], some[at : at + size, -1]
+
+
+def whole_steps(held: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """The full steps of the examples held; what is left of them stays held."""
+    some = np.concatenate(held)
+    whole = len(some) - len(some) % size
+    for at in range(0, whole, size):
+        yield some[at : at + size, :-1], some[at : at + size, -1]
+    held[:] = [some[whole:]]
 
 
 def run_learners(batches: Iterator[pa.RecordBatch], weights: bytes, rate: float) -> Iterator[pa.RecordBatch]:
     """The weights of a task's learners times the examples they saw, and last that number, as parts of a sum."""
-    parts = ((k, e) for b in batches for k, e in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True))
+    parts = ((k, e) for b in batches for k, e in zip(b.column("learner").to_pylist(), b.column("names").to_pylist(), strict=True))
     for learner, own in itertools.groupby(parts, lambda p: p[0]):
         network = Network.unpacked(weights)
         seen = network.learn(steps(e for _, e in own), rate)
@@ -222,26 +297,36 @@ def run_learners(batches: Iterator[pa.RecordBatch], weights: bytes, rate: float)
         yield packed_rows(np.append(held * seen, seen)[:, None], PART, learner)
 
 
-def train(docs: DataFrame, text_col: str = "text", every: int = EVERY, learners: int | None = None, rounds: int = ROUNDS, rate: float = RATE) -> tuple[Vocabulary, Network]:
-    vocabulary = build_vocabulary(docs, text_col)
-    texts = docs.select(F.col(f"`{text_col}`").alias("text"))
-    n = learners or max(LEARNERS, texts.rdd.getNumPartitions())
-    examples = texts.mapInArrow(lambda it: take_examples(it, vocabulary, every, n), "learner int, examples binary")
-    # Which batch comes first would change the weights, so each learner's parts are put in order.
-    dealt = cut(examples.repartition(n, "learner").sortWithinPartitions("learner", F.xxhash64("examples")))
+def train_network(texts: DataFrame, learners: int | None = None, rounds: int = ROUNDS, rate: float = RATE) -> Network:
+    """Weights from encoded texts; the number of learners follows the number of words."""
     network = Network.start()
-    for turn in range(rounds):
-        weights, step = network.packed(), rate / (1 + turn)
-        total = summed(dealt.mapInArrow(lambda it: run_learners(it, weights, step), PART_SCHEMA), 1)  # noqa: B023
-        if total is None:
-            break
-        network = Network.unpacked((total[:-1, 0] / total[-1, 0]).astype("<f4").tobytes())
-    return vocabulary, network
-
-
-def score_texts(texts: list[str | None], vocabulary: Vocabulary, network: Network) -> tuple[list[int], list[float]]:
-    """Words and summed log-probabilities, many short texts or part of a long one at a time."""
-    counts = [0] * len(texts)
+    n_words = texts.agg(F.sum("n_words")).first()[0] or 0
+    if not n_words:
+        return network
+    n = learners or min(MOST_LEARNERS, max(1, math.ceil(n_words / LEARNER_WORDS)))
+    mark = F.xxhash64("id", "names")
+    turn = F.pmod(F.shiftright(mark, 32), F.lit(SYNCS)).alias("turn")
+    some = texts.filter("n_words > 0").select(F.pmod(mark, F.lit(n)).cast("int").alias("learner"), turn, mark.alias("mark"), "names")
+    # The order of texts changes the weights, so it is that of their hashes.
+    dealt = cut(some.repartition(n, "learner").sortWithinPartitions("learner", "mark").drop("mark"))
+    for at in range(rounds * SYNCS):
+        weights, step = network.packed(), rate / (1 + at / SYNCS)
+        own = dealt.filter(F.col("turn") == at % SYNCS)
+        total = summed(own.mapInArrow(lambda it: run_learners(it, weights, step), PART_SCHEMA), 1)  # noqa: B023
+        if total is not None:
+            network = Network.unpacked((total[:-1, 0] / total[-1, 0]).astype("<f4").tobytes())
+    return network
+
+
+def train(docs: DataFrame, text_col: str = "text", learners: int | None = None, rounds: int = ROUNDS, rate: float = RATE, id_col: str = "doc_id") -> Model:
+    """A model of all words of ``docs``."""
+    counted = count_words(docs, text_col)
+    vocabulary, buckets = build_vocabulary(counted)
+    return Model(vocabulary, train_network(encode(docs, vocabulary, id_col, text_col), learners, rounds, rate), counted, buckets)
+
+
+def score_names(texts: list[bytes], network: Network) -> list[float]:
+    """Summed log-probabilities of the names, many short texts or part of a long one at a time."""
     sums = np.zeros(len(texts))
     held: list[tuple[int, np.ndarray, np.ndarray]] = []
     size = 0
@@ -256,9 +341,8 @@ def score_texts(texts: list[str | None], vocabulary: Vocabulary, network: Networ
         held.clear()
         size = 0
 
-    for i, text in enumerate(texts):
-        names = names_of(text, vocabulary)
-        counts[i] = len(names)
+    for i, data in enumerate(texts):
+        names = np.frombuffer(data, np.uint16).astype(np.int32)
         row = padded(names)
         for at in range(0, len(names), AT_ONCE):
             places = np.arange(at, min(at + AT_ONCE, len(names)))
@@ -267,20 +351,38 @@ def score_texts(texts: list[str | None], vocabulary: Vocabulary, network: Networ
             if size >= AT_ONCE:
                 flush()
     flush()
-    return counts, sums.tolist()
+    return sums.tolist()
+
 
+def shares(texts: DataFrame, model: Model) -> DataFrame:
+    """(key, share): for each text with words that share places, the sum of their log-shares, as whole numbers."""
+    words = texts.select("key", F.explode("rare").alias("h"))
+    total = F.array(*[F.lit(max(1, n)).cast("double") for n in model.buckets])
+    known = model.counted.select("h", (F.log(F.col("n").cast("double")) - F.log(F.element_at(total, F.col("bucket") + 1))).alias("share"))
+    unheard = F.lit(-math.log(1 + max(model.buckets)))
+    found = words.join(known, "h", "left").withColumn("share", F.coalesce("share", unheard))
+    return found.groupBy("key").agg(F.sum(F.round(F.col("share") * SCALE).cast("long")).alias("share"))
+
+
+def scored(texts: DataFrame, model: Model) -> DataFrame:
+    """(id, n_words, log_probability, mean_log_probability) for every row of ``texts``, as ``encode`` makes them."""
+    weights = model.network.packed()
+
+    @F.pandas_udf("double")
+    def score(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+        network = Network.unpacked(weights)
+        for names in parts:
+            yield pd.Series(score_names(names.tolist(), network), dtype="float64")
 
-def scored(docs: DataFrame, vocabulary: Vocabulary, network: Network, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """(id, n_words, log_probability, mean) for every row."""
-    known, weights = dict(vocabulary), network.packed()
+    found = texts.select("key", "id", "n_words", score("names").alias("network")).join(shares(texts, model), "key", "left")
+    total = F.col("network") + F.coalesce(F.col("share"), F.lit(0)) / F.lit(SCALE)
+    mean = F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(F.lit(0.0))
+    return found.select("id", "n_words", total.alias("log_probability"), mean.alias("mean_log_probability"))
 
-    @F.pandas_udf("n_words long, log_probability double")
-    def score(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        own, model = Vocabulary(known), Network.unpacked(weights)
-        for texts in parts:
-            counts, sums = score_texts(texts.tolist(), own, model)
-            yield pd.DataFrame({"n_words": counts, "log_probability": sums})
 
-    found = docs.select(F.col(f"`{id_col}`").alias("id"), score(F.col(f"`{text_col}`")).alias("s"))
-    mean = F.when(F.col("s.n_words") > 0, F.col("s.log_probability") / F.col("s.n_words")).otherwise(F.lit(0.0))
-    return found.select("id", "s.n_words", "s.log_probability", mean.alias("mean_log_probability"))
+def score_corpus(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """``docs`` scored by a model of ``docs``."""
+    counted = count_words(docs, text_col)
+    vocabulary, buckets = build_vocabulary(counted)
+    texts = encode(docs, vocabulary, id_col, text_col)
+    return scored(texts, Model(vocabulary, train_network(texts), counted, buckets))

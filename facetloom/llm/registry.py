@@ -37,8 +37,7 @@ def op5_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op6_lm_score(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents").select("doc_id", "text")
-    vocabulary, network = lm_score.train(docs)
-    return lm_score.scored(docs, vocabulary, network).withColumnRenamed("id", "doc_id")
+    return lm_score.score_corpus(docs).withColumnRenamed("id", "doc_id")
 
 
 def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,3 +1,8 @@
+import math
+import random
+import zlib
+from collections import Counter
+
 import numpy as np
 
 from facetloom.llm import lm_score as lm
@@ -29,21 +34,35 @@ def test_probabilities_add_up():
 
 def test_context_is_on_both_sides():
     vocabulary = lm.Vocabulary({b"a": 1, b"b": 2, b"c": 3})
-    names = lm.names_of("A b\nc", vocabulary)
+    names = lm.names_of(lm.split_words("a b\nc"), vocabulary)
     assert names.tolist() == [1, 2, 3]
     assert lm.contexts(lm.padded(names), np.array([1])).tolist() == [[lm.EDGE, 1, 3, lm.EDGE]]
-    rare = lm.names_of("unheard", vocabulary)[0]
+    rare = lm.names_of([b"unheard"], vocabulary)[0]
     assert lm.N_KNOWN <= rare < lm.N_WORDS
 
 
+def coded(text, vocabulary):
+    return lm.names_of(lm.split_words((text or "").lower()), vocabulary).astype(np.uint16).tobytes()
+
+
+def test_every_word_is_an_example():
+    rng = np.random.default_rng(1)
+    texts = [rng.integers(0, lm.N_WORDS, n).astype(np.uint16) for n in [3, 0, 1, 700, lm.AT_ONCE + 300, 20, 5000]]
+    got = [np.concatenate(x) for x in zip(*lm.steps(t.tobytes() for t in texts), strict=True)]
+    rows = [lm.padded(t) for t in texts]
+    assert np.array_equal(got[1], np.concatenate(texts))
+    assert np.array_equal(got[0], np.concatenate([lm.contexts(r, np.arange(len(t))) for r, t in zip(rows, texts, strict=True)]))
+    assert all(len(n) <= lm.STEP for _, n in lm.steps(t.tobytes() for t in texts))
+
+
 def test_scores_by_place_and_packing():
     net = lm.Network.unpacked(lm.Network.start(2).packed())
     vocabulary = lm.Vocabulary({w.encode(): i for i, w in enumerate("the of and to in".split())})
     texts = ["the of and", None, "", "to in " * (lm.AT_ONCE // 2 + 50), "the of and", "x"]
-    counts, sums = lm.score_texts(texts, vocabulary, net)
-    assert counts == [3, 0, 0, lm.AT_ONCE + 100, 3, 1]
-    for text, n, s in zip(texts, counts, sums, strict=True):
-        names = lm.names_of(text, vocabulary)
+    sums = lm.score_names([coded(t, vocabulary) for t in texts], net)
+    for text, s in zip(texts, sums, strict=True):
+        names = np.frombuffer(coded(text, vocabulary), np.uint16).astype(np.int32)
+        n = len(names)
         alone = net.log_probabilities(lm.contexts(lm.padded(names), np.arange(n)), names).sum() if n else 0.0
         assert np.isclose(s, alone, rtol=1e-4)
     assert sums[0] == sums[4]
@@ -61,22 +80,70 @@ def test_learning_a_pattern(spark):
         return " ".join(out)
 
     docs = spark.createDataFrame([(i, text()) for i in range(120)], "doc_id long, text string").repartition(3)
-    vocabulary, net = lm.train(docs, every=2, learners=3, rounds=3)
+    model = lm.train(docs, learners=3, rounds=3)
+    vocabulary, net = model.vocabulary, model.network
     plain, mixed = text(), " ".join(rng.choice(words, 200))
-    _, sums = lm.score_texts([plain, mixed], vocabulary, net)
+    sums = lm.score_names([coded(plain, vocabulary), coded(mixed, vocabulary)], net)
     assert sums[0] / 200 > sums[1] / 200 + 0.5
     assert sums[0] / 200 > -np.log(30)
-    again = lm.train(docs.repartition(3), every=2, learners=3, rounds=3)[1]
+    again = lm.train(docs.repartition(5), learners=3, rounds=3).network  # other files, same weights
     assert all(np.allclose(a, b, atol=1e-5) for a, b in zip(net.parts(), again.parts(), strict=True))
 
 
 def test_rows(spark):
     rows = [(1, "the cat sat"), (None, "the cat sat"), (2, None), (2, ""), (3, "a " * 30_000)]
     docs = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS n_words", "'x' AS id")
-    got = lm.scored(docs, *lm.train(docs)).collect()
-    assert [(r["id"], r["n_words"]) for r in got] == [(1, 3), (None, 3), (2, 0), (2, 0), (3, 30_000)]
-    assert got[0]["log_probability"] == got[1]["log_probability"] < 0
-    assert got[2]["log_probability"] == 0.0 == got[2]["mean_log_probability"]
+    got = sorted(lm.score_corpus(docs).collect(), key=lambda r: (r["id"] is None, r["id"] or 0))
+    assert [(r["id"], r["n_words"]) for r in got] == [(1, 3), (2, 0), (2, 0), (3, 30_000), (None, 3)]
+    assert np.isclose(got[0]["log_probability"], got[4]["log_probability"], rtol=1e-6) and got[0]["log_probability"] < 0
+    assert got[1]["log_probability"] == 0.0 == got[1]["mean_log_probability"]
     empty = docs.limit(0)
-    assert lm.scored(empty, *lm.train(empty)).collect() == []
-    assert lm.scored(docs, *lm.train(empty)).count() == 5
+    assert lm.score_corpus(empty).collect() == []
+    model = lm.train(empty)
+    assert lm.scored(lm.encode(docs, model.vocabulary), model).count() == 5
+    named = docs.selectExpr("cast(doc_id AS string) AS doc_id", "text")
+    assert {r["id"] for r in lm.score_corpus(named).collect()} == {"1", "2", "3", None}
+
+
+def test_words_that_share_a_place_have_their_own_probability(spark, monkeypatch):
+    """The query against sums made word by word; the vocabulary is cut to a few words."""
+    monkeypatch.setattr(lm, "N_KNOWN", lm.N_WORDS - 40)
+    rng = random.Random(2)
+    words = [f"w{i}" for i in range(6000)]
+    weights = [1 / (1 + i) for i in range(6000)]
+    texts = [" ".join(rng.choices(words, weights, k=rng.randint(0, 300))) for _ in range(300)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    model = lm.train(docs, learners=2)
+    counts = Counter(w for t in texts for w in t.split())
+    known = sorted(counts, key=lambda w: (-counts[w], w))[: lm.N_KNOWN]
+    assert {w.encode() for w in known} == set(model.vocabulary)
+    place = lambda w: zlib.crc32(w.encode()) % 40
+    shared = Counter()
+    for w in set(counts) - set(known):
+        shared[place(w)] += counts[w]
+    assert shared and len(counts) > lm.N_KNOWN
+    got = {r["id"]: r["log_probability"] for r in lm.scored(lm.encode(docs, model.vocabulary), model).collect()}
+    for i, t in enumerate(texts):
+        own = lm.score_names([coded(t, model.vocabulary)], model.network)[0]
+        own += sum(math.log(counts[w] / shared[place(w)]) for w in t.split() if w.encode() not in model.vocabulary)
+        assert np.isclose(got[i], own, rtol=1e-4, atol=1e-3)
+
+
+def test_better_than_word_frequencies_on_held_out_text(spark, data):
+    """Trained on four fifths of the documents, the rest is likelier than by the frequencies of words."""
+    docs = spark.read.parquet(f"{data.replace("sf0.001", "sf0.01")}/documents.parquet").select("doc_id", "text").dropDuplicates(["text"])
+    train, rest = docs.filter("crc32(text) % 5 > 0"), docs.filter("crc32(text) % 5 = 0")
+    model = lm.train(train, learners=1, rounds=4)
+    counts = Counter(w for r in train.collect() for w in (r["text"] or "").lower().split())
+    total = sum(counts.values()) + 1
+    unheard = 0.5 / total
+    frequencies = n = 0
+    for r in rest.collect():
+        for w in (r["text"] or "").lower().split():
+            frequencies += math.log(counts[w] / total) if w in counts else math.log(unheard)
+            n += 1
+    got = lm.scored(lm.encode(rest, model.vocabulary), model).agg({"log_probability": "sum", "n_words": "sum"}).first()
+    assert got["sum(n_words)"] == n
+
+    print(got["sum(log_probability)"] / n, frequencies / n)
+    assert got["sum(log_probability)"] / n > frequencies / n + 0.1
