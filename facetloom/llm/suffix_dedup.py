@@ -10,10 +10,11 @@ with a smaller id.  Four steps find those strings exactly:
    repeat if its anchor's hash does.  Shards send the hashes, 5 bytes for each distinct
    one, and get back whether it occurs elsewhere and whether it is hot.
 3. Runs of strings with a repeated anchor become fragments: the text they span, once
-   for each shard, with the smallest id that has it.  Fragments meet by anchor; those of
-   a hot anchor are split into single strings that meet by their own hash, so the many
-   surroundings of one frequent passage are spread over all buckets.  Equal fragments
-   become one.  The fragments of some shards at a time get a suffix array and a
+   for each shard, with the smallest id that has it there.  Fragments meet by anchor;
+   those of a hot anchor are split into single strings that meet by their own hash, so
+   the many surroundings of one frequent passage are spread over all buckets.  Of equal
+   fragments one stands for the smallest id and one for all others; that they are equal,
+   and which id the others learn of, comes from the merged transforms alone.  The fragments of some shards at a time get a suffix array and a
    Burrows-Wheeler transform, and the transforms are merged by refining their
    interleave, two symbols at a time: a stable sort of the interleaved preceding symbols
    orders the suffixes by two symbols more.  No suffix is compared or sorted again.
@@ -24,7 +25,7 @@ with a smaller id.  Four steps find those strings exactly:
 
 Defined results: a null text is empty; rows with the same id do not count as smaller
 than each other; null ids count as larger than all others and never remove anything
-from each other.  An empty table gives an empty table.
+from each other.  Ids may have any type that sorts.  An empty table gives an empty table.
 
 A task holds one shard, or the fragments of one bucket.
 """
@@ -43,6 +44,7 @@ import pyarrow as pa
 from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import cut
 
@@ -51,6 +53,8 @@ LENGTH = 50
 ANCHOR = 24
 #: Bytes of text in a shard and behind a bucket of anchors; a longer document is a shard of its own.
 SHARD_BYTES, BUCKET_BYTES = 4 << 20, 4 << 20
+#: Tasks that buckets, or shards, are dealt to; there may be more of either.
+MOST_TASKS = 1 << 15
 #: Runs with the same anchor from which on it is hot.
 HOT_RUNS = 1000
 #: Starts whose anchors are sought at once.
@@ -193,11 +197,16 @@ class Shard:
         kind = np.searchsorted(heads, stands)
         least = np.full(len(heads), NO_ID, np.int64)
         np.minimum.at(least, kind, self.ids[doc])
-        return Fragments(first, doc, kind, values[heads], first[heads], last[heads] + self.length, least)
+        more = np.zeros(len(heads), bool)
+        more[kind[self.ids[doc] > least[kind]]] = True
+        return Fragments(first, doc, kind, values[heads], first[heads], last[heads] + self.length, least, more)
 
 
 class Fragments(NamedTuple):
-    """Where a shard's fragments stand (start, document, number of the fragment), and what they are (value, span, smallest id)."""
+    """Where a shard's fragments stand (start, document, number of the fragment), and what they are.
+
+    That is their value, span and smallest id, and whether the shard has them with larger ids too.
+    """
 
     first: np.ndarray
     doc: np.ndarray
@@ -206,6 +215,7 @@ class Fragments(NamedTuple):
     begin: np.ndarray
     end: np.ndarray
     least: np.ndarray
+    more: np.ndarray
 
 
 def send_hashes(batches: Iterator[pa.RecordBatch], bucket_bits: int) -> Iterator[pa.RecordBatch]:
@@ -271,7 +281,7 @@ def answers_of(table: pa.Table, kind: str) -> dict[int, bytes]:
 
 
 def send_fragments(shards: pa.Table, answers: pa.Table, bucket_bits: int) -> pa.Table:
-    """(bucket, shard, ids, lens, text): a shard's fragments."""
+    """(bucket, shard, ids, more, lens, text): a shard's fragments."""
     out = []
     for shard, own in shards_of(shards.to_batches()):
         found = own.fragments(bucket_bits, answers_of(answers, "anchor"))
@@ -279,14 +289,14 @@ def send_fragments(shards: pa.Table, answers: pa.Table, bucket_bits: int) -> pa.
         def payload(lo: int, hi: int, text: bytes = own.text, found: Fragments = found) -> tuple:
             begin, end = found.begin[lo:hi], found.end[lo:hi]
             pieces = b"".join([text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
-            return (found.least[lo:hi].tobytes(), (end - begin).astype(np.uint8).tobytes(), pa.compress(pieces, "zstd", asbytes=True))
+            return (found.least[lo:hi].tobytes(), found.more[lo:hi].tobytes(), (end - begin).astype(np.uint8).tobytes(), pa.compress(pieces, "zstd", asbytes=True))
 
-        out.append(dealt(shard, found.values, payload, ["ids", "lens", "text"]))
+        out.append(dealt(shard, found.values, payload, ["ids", "more", "lens", "text"]))
     return pa.Table.from_batches(out, FRAGMENTS) if out else FRAGMENTS.empty_table()
 
 
-FRAGMENTS = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), *[(n, pa.binary()) for n in ("ids", "lens", "text")]])
-FRAGMENT_SCHEMA = "bucket int, shard long, ids binary, lens binary, text binary"
+FRAGMENTS = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), *[(n, pa.binary()) for n in ("ids", "more", "lens", "text")]])
+FRAGMENT_SCHEMA = "bucket int, shard long, ids binary, more binary, lens binary, text binary"
 
 
 class Transform:
@@ -402,8 +412,8 @@ def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
     for bucket, rows in by_bucket(batches):
         places: dict[bytes, int] = {}
         pieces: list[bytes] = []
-        wheres, ids_of = [], []
-        for _, ids, lens, text in rows:
+        wheres, ids_of, more_of = [], [], []
+        for _, ids, more, lens, text in rows:
             edges = np.cumsum(np.r_[0, np.frombuffer(lens, np.uint8)].astype(np.int64)).tolist()
             text = pa.decompress(text, edges[-1], "zstd", asbytes=True)
             where = []
@@ -415,17 +425,24 @@ def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
                 where.append(at)
             wheres.append(np.array(where, np.int64))
             ids_of.append(np.frombuffer(ids, np.int64))
-        least = np.full(len(pieces), NO_ID, np.int64)
-        for where, ids in zip(wheres, ids_of, strict=True):
+            more_of.append(np.frombuffer(more, bool))
+        least, holders = np.full(len(pieces), NO_ID, np.int64), np.zeros(len(pieces), np.int64)
+        for where, ids, more in zip(wheres, ids_of, more_of, strict=True):
             np.minimum.at(least, where, ids)
-        merged = smallest_ids(pieces, least, length)
+            np.add.at(holders, where, 1 + more)
+        # A second copy stands for those that do not have the smallest id; the merge tells them of it.
+        others = np.flatnonzero(holders > 1)
+        stands = np.arange(len(pieces))
+        stands[others] = len(pieces) + np.arange(len(others))
+        merged = smallest_ids(pieces + [pieces[i] for i in others.tolist()], np.concatenate([least, np.full(len(others), NO_ID, np.int64)]), length)
         first, n_runs = merged.first[:-1], np.diff(merged.first)
         least = merged.ids[first]  # that of a fragment's first start, and of all if it has one run
         data = []
-        for where, ids in zip(wheres, ids_of, strict=True):
-            # Fragments whose own smallest id holds for all their strings need no reply.
+        for where, ids, more in zip(wheres, ids_of, more_of, strict=True):
+            where = stands[where]
+            # Fragments that no larger id has need no reply.
             split = n_runs[where] > 1
-            simple = np.flatnonzero((least[where] < ids) & ~split)
+            simple = np.flatnonzero(((least[where] < ids) | more) & ~split)
             several = np.flatnonzero(split)
             n = n_runs[where[several]]
             along = np.repeat(first[where[several]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
@@ -464,7 +481,7 @@ def cover(own: Shard, found: Fragments, replies: dict[int, bytes], length: int)
     """Which bytes of a shard a string covers that also starts in a document with a smaller id."""
     starts_of = found.end - found.begin - length + 1
     offsets = np.r_[0, np.cumsum(starts_of)]
-    least = np.repeat(found.least, starts_of)
+    least = np.full(int(starts_of.sum()), NO_ID, np.int64)  # until a reply names a smaller one
     buckets = (found.values >> np.uint64(32)).astype(np.int64)
     for bucket, data in replies.items():
         n = len(data) // 13
@@ -509,9 +526,30 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     the rows have been used.
     """
     spark = df.sparkSession
-    docs = df.select(F.col(f"`{id_col}`").cast("long").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    docs = df.select(F.col(f"`{id_col}`").alias("id"), F.col(f"`{text_col}`").cast("binary").alias("text"))
+    numbers = None if isinstance(docs.schema["id"].dataType, T.IntegralType) else numbered(docs)
+    if numbers is not None:
+        docs = docs.join(numbers, "id", "left").select(F.col("number").alias("id"), "text")
     name = f"shards_{uuid.uuid4().hex}"
-    buckets_of_shards = max(1, docs.rdd.getNumPartitions())
+    try:
+        rows = from_shards(docs.withColumn("id", F.col("id").cast("long")), name)
+    except BaseException:
+        spark.sql(f"DROP TABLE IF EXISTS {name}")
+        raise
+    if numbers is not None:
+        rows = rows.withColumnRenamed("id", "number").join(numbers, "number", "left").select("id", "n_bytes", "n_removed", "n_spans", "kept")
+    return Found(rows, name)
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """(id, number): the distinct ids, numbered in their order."""
+    return cut(docs.select("id").filter("id IS NOT NULL").distinct().sort("id").withColumn("number", F.monotonically_increasing_id()))
+
+
+def from_shards(docs: DataFrame, name: str) -> DataFrame:
+    """The rows of ``repeated_spans``, whose shards are the table ``name``."""
+    spark = docs.sparkSession
+    buckets_of_shards = min(MOST_TASKS, max(1, docs.rdd.getNumPartitions()))
     packed = docs.mapInArrow(pack, SHARD_SCHEMA)
     packed.write.bucketBy(buckets_of_shards, "shard").option("compression", "zstd").saveAsTable(name)
     shards = spark.table(name)
@@ -524,20 +562,20 @@ def repeated_spans(df: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     keyed, replies = shards.groupBy("shard"), anchors.groupBy("shard")
     fragments = keyed.cogroup(replies).applyInArrow(lambda s, a: send_fragments(s, a, bits), FRAGMENT_SCHEMA)
     found = cut(by_bucket_rows(fragments, bits).mapInArrow(answer_fragments, ANSWER_SCHEMA))
-    out = keyed.cogroup(anchors.unionByName(found).groupBy("shard")).applyInArrow(lambda s, a: cut_shards(s, a, bits), CUT_SCHEMA)
-    return Found(out, name)
+    return keyed.cogroup(anchors.unionByName(found).groupBy("shard")).applyInArrow(lambda s, a: cut_shards(s, a, bits), CUT_SCHEMA)
 
 
 def by_bucket_rows(rows: DataFrame, bits: int) -> DataFrame:
-    return rows.repartition(1 << bits, "bucket").sortWithinPartitions("bucket")
+    return rows.repartition(min(MOST_TASKS, 1 << bits), "bucket").sortWithinPartitions("bucket")
 
 
 def dedup_digests(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """(doc_id, n_bytes, n_removed, n_spans, kept_sha256), kept in the checkpoint folder."""
     found = repeated_spans(df, id_col, text_col)
-    out = cut(found.rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
-    found.drop()
-    return out
+    try:
+        return cut(found.rows.select(F.col("id").alias("doc_id"), "n_bytes", "n_removed", "n_spans", F.sha2("kept", 256).alias("kept_sha256")))
+    finally:
+        found.drop()
 
 
 def brute_force(rows: list[tuple], length: int = LENGTH) -> list[tuple]:

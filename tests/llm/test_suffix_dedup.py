@@ -51,6 +51,26 @@ def test_a_passage_in_every_document(spark):
     assert got[0][2] == 0 and all(r[2] >= len(passage) and r[3] == 1 for r in got[1:])
 
 
+def test_the_merged_transforms_decide(spark, data, monkeypatch):
+    """Without the interleave nothing is found to be repeated, copies inside a shard and whole documents included."""
+    monkeypatch.setattr(s, "interleave", lambda parts, rows, length: (rows[:0], rows[:0]))
+    got = s.dedup_digests(spark.read.parquet(f"{data}/documents.parquet")).collect()
+    assert got and all(r["n_removed"] == 0 for r in got)
+
+
+def test_ids_of_any_type(spark):
+    rows = [("b", "x" * 60), ("a", "y" + "x" * 60), (None, "x" * 60), ("c", "clean")]
+    got = {r[0]: r[2] for r in s.dedup_digests(spark.createDataFrame(rows, "doc_id string, text string")).collect()}
+    assert got == {"a": 0, "b": 60, None: 60, "c": 0}
+
+
+def test_a_failed_run_leaves_no_table(spark, monkeypatch):
+    monkeypatch.setattr(s, "send_hashes", lambda batches, bits: 1 / 0)
+    with pytest.raises(Exception):  # noqa: B017
+        s.dedup_digests(spark.createDataFrame([(1, "x" * 60)], "doc_id long, text string"))
+    assert not [t for t in spark.catalog.listTables() if t.name.startswith("shards_")]
+
+
 def test_kept_text_can_be_read(spark):
     rows = [(1, "é" * 60), (2, "start " + "é" * 60 + " end")]
     found = s.repeated_spans(spark.createDataFrame(rows, "doc_id long, text string").coalesce(1))
