@@ -9,18 +9,23 @@ the number of items, so no item lies outside the space.  Passages whose latent v
 has a high cosine to an item's are candidates.  So is, whatever its cosine, all text
 that has enough of an item's words to be a leak (``Cover``), so none is lost to words
 that are frequent because the item itself is.  For each, the longest common
-subsequence of words with the text around the passage is measured: nearly the whole
-item is a leak, and a looser paraphrase is one if it has the answer (the item's answer
-column, else its last words) in one piece.
+subsequence of words with the text around the passage is measured.  The words in
+common must not be just the frequent ones, that is they must also make up enough of the
+item's inverse document frequencies: less if they are nearly the whole item, or half of
+it with the answer (the item's answer column, else its last words) in one piece, and
+more if they are a looser paraphrase.
 
 Three scans of the texts, no shuffle of them: document frequencies, the product, the
 search.  What tasks send on is of fixed size (frequencies) or as large as the
-benchmark's vocabulary.  The benchmark is the stated query set; its items go through
-in blocks of ``BLOCK_ITEMS``, and tasks get one block's model at a time.
-
-Defined results: null and empty texts are clean; items of fewer than ``MIN_WORDS``
-words are passed over, as are null items; repeated items are reported under each id.
-An empty benchmark leaves every document clean; an empty table gives an empty table.
+benchmark's vocabulary.  The benchmark is the stated query set; its items make models
+in blocks of ``BLOCK_ITEMS``, and ``AT_A_TIME`` blocks go through one product and one
+search of texts that are split into words once.
+
+Defined results: null and empty texts are clean; an item of fewer than ``MIN_WORDS``
+words is a leak where it stands in one piece; null items and items without words are
+passed over; repeated items are reported under each id.  Item ids that are no integers
+are reported as text.  An empty benchmark leaves every document clean; an empty table
+gives an empty table.
 """
 
 from __future__ import annotations
@@ -31,12 +36,12 @@ from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .sums import PART_SCHEMA, ROWS, packed_rows, summed, task_number
+from .sums import PART_SCHEMA, ROWS, packed_rows, summed, summed_parts, task_number
 
 #: Words in a block; a passage is two adjacent blocks.
 BLOCK_WORDS = 32
@@ -46,11 +51,13 @@ DF_BITS, LUT_BITS = 18, 22
 MAX_DF, FEW, MIN_TERMS = 0.01, 5, 8
 #: Latent dimensions besides one for each item, weight of the items' rows, seed.
 EXTRA_RANK, ITEM_WEIGHT, SEED = 56, 4.0, 5
-BLOCK_ITEMS = 256
+BLOCK_ITEMS, AT_A_TIME = 256, 4
+#: Bits of a part's number inside its block's product.
+PART_BITS = 20
 #: Cells of a table of stretches and words.
 CELLS = 1 << 22
-#: Cosine of a candidate; shares of an item in common that make a leak, alone or with the answer.
-COSINE, LEAK, PARAPHRASE = 0.2, 0.7, 0.5
+#: Cosine of a candidate; shares of an item in common that make a leak: by number and by weight, by both alike, by number with the answer.
+COSINE, LEAK, LIGHT, LOOSE, PARAPHRASE = 0.2, 0.7, 0.35, 0.55, 0.5
 MIN_WORDS, ANSWER_WORDS = 5, 5
 
 #: ASCII punctuation, read as white space.
@@ -83,7 +90,10 @@ def count_terms(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 @dataclass
 class Terms:
-    """The terms that describe the items of a block: hashed words to columns, and their weights."""
+    """The terms that describe the items of a block: hashed words to columns, and their weights.
+
+    Words whose hashes meet in the table of ``LUT_BITS`` are one term.
+    """
 
     columns: dict[int, int]
     idf: np.ndarray
@@ -93,8 +103,7 @@ class Terms:
     def table(self) -> np.ndarray:
         if self.lut is None:
             self.lut = np.full(1 << LUT_BITS, -1, np.int32)
-            for h, c in self.columns.items():
-                self.lut[h & ((1 << LUT_BITS) - 1)] = c
+            self.lut[list(self.columns)] = list(self.columns.values())
         return self.lut
 
     def __getstate__(self):
@@ -161,29 +170,49 @@ def passages(blocks: np.ndarray, vectors: np.ndarray, length: np.ndarray, doc: n
     return firsts, padded[a] + padded[b], np.sqrt(size)
 
 
-def product(batches: Iterator[pa.RecordBatch], terms: Terms, seed: int, rank: int) -> Iterator[pa.RecordBatch]:
-    """This task's share of ``A' A G`` for its passages ``A`` and a Gaussian ``G``."""
-    gauss = np.random.default_rng(seed).standard_normal((len(terms.idf), rank)).astype(np.float32)
-    weighted = gauss * terms.idf[:, None].astype(np.float32)
-    total = np.zeros((len(terms.idf), rank), np.float64)
-    seen = False
+def rank_of(terms: Terms, n_items: int) -> int:
+    return min(len(terms.idf), n_items + EXTRA_RANK)
+
+
+def gaussian(terms: Terms, rank: int) -> np.ndarray:
+    return np.random.default_rng(SEED).standard_normal((len(terms.idf), rank))
+
+
+class Product:
+    """A task's share of ``A' A G`` for its passages ``A`` and a Gaussian ``G``."""
+
+    def __init__(self, terms: Terms, rank: int):
+        self.terms, self.rank = terms, rank
+        self.weighted = gaussian(terms, rank).astype(np.float32) * terms.idf[:, None].astype(np.float32)
+        self.total = np.zeros((len(terms.idf), rank), np.float64)
+        self.seen = False
+
+    def add(self, texts: list[list[bytes]], hashes: np.ndarray) -> None:
+        block, column, length, doc = self.terms.entries(texts, hashes)
+        if not len(block):
+            return
+        self.seen = True
+        blocks, y = latent(block, column, self.weighted)
+        firsts, vectors, size = passages(blocks, y, length, doc)
+        # Passages count by their direction, so long and loud ones do not drown the rest.
+        vectors /= np.maximum(size * size, 1e-9)[:, None].astype(np.float32)
+        joined = np.concatenate([vectors, np.zeros((1, self.rank), np.float32)])
+        ahead = np.where((blocks > 0) & (doc[np.maximum(blocks - 1, 0)] == doc[blocks]), place_of(blocks - 1, firsts), -1)
+        back = joined[place_of(blocks, firsts)] + joined[ahead]
+        add_by_column(self.total, column, np.searchsorted(blocks, block), back)
+
+
+def products(batches: Iterator[pa.RecordBatch], models: list[tuple[Terms, int]]) -> Iterator[pa.RecordBatch]:
+    """The products of several blocks of items, from texts that are split once; each has its own numbers of parts."""
+    made = [Product(terms, rank) for terms, rank in models]
     for batch in batches:
         for texts in portions(batch):
-            block, column, length, doc = terms.entries(texts)
-            if not len(block):
-                continue
-            seen = True
-            blocks, y = latent(block, column, weighted)
-            firsts, vectors, size = passages(blocks, y, length, doc)
-            # Passages count by their direction, so long and loud ones do not drown the rest.
-            vectors /= np.maximum(size * size, 1e-9)[:, None].astype(np.float32)
-            joined = np.concatenate([vectors, np.zeros((1, rank), np.float32)])
-            ahead = np.where((blocks > 0) & (doc[np.maximum(blocks - 1, 0)] == doc[blocks]), place_of(blocks - 1, firsts), -1)
-            back = joined[place_of(blocks, firsts)] + joined[ahead]
-            row = np.searchsorted(blocks, block)
-            add_by_column(total, column, row, back)
-    if seen:
-        yield packed_rows(total * terms.idf[:, None], giver=task_number())
+            hashes = all_hashes(texts)
+            for one in made:
+                one.add(texts, hashes)
+    for at, one in enumerate(made):
+        if one.seen:
+            yield packed_rows(one.total * one.terms.idf[:, None], giver=task_number(), first=at << PART_BITS)
 
 
 def portions(batch: pa.RecordBatch, words: int = 200_000) -> Iterator[list[list[bytes]]]:
@@ -217,9 +246,12 @@ def singular_vectors(z: np.ndarray, gauss: np.ndarray) -> np.ndarray:
 
 @dataclass
 class Item:
-    item_id: int
+    """An item of the benchmark; ``weights`` are the inverse document frequencies of its words."""
+
+    item_id: int | str
     words: list[bytes]
     answer: list[bytes]
+    weights: np.ndarray | None = None
 
 
 class Cover:
@@ -242,10 +274,15 @@ class Cover:
         self.counts = np.zeros((len(buckets), len(items)), np.float32)
         for i, h in enumerate(own):
             np.add.at(self.counts[:, i], self.lut[h], 1)
+        weights = [x.weights if x.weights is not None else np.ones(len(x.words)) for x in items]
+        self.weights = np.zeros_like(self.counts)
+        for i, (h, w) in enumerate(zip(own, weights, strict=True)):
+            np.add.at(self.weights[:, i], self.lut[h], w)
         self.answers = [np.unique(self.lut[h]) for h in answers]
         sizes = np.array([len(x.words) for x in items])
         # Half a word less, so that no rounding excludes a share that ``shared`` accepts.
-        self.leak, self.paraphrase = (sizes * LEAK - 0.5).astype(np.float32), (sizes * PARAPHRASE - 0.5).astype(np.float32)
+        self.leak, self.loose, self.paraphrase = ((sizes * share - 0.5).astype(np.float32) for share in (LEAK, LOOSE, PARAPHRASE))
+        self.light, self.heavy = (np.array([w.sum() * share * 0.999 for w in weights], np.float32) for share in (LIGHT, LOOSE))
 
     def pairs(self, texts: list[list[bytes]], hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
         """(text, block of the text, item) of the passages in stretches that may have a leak."""
@@ -273,8 +310,14 @@ class Cover:
             has[row[a:b] - at, column[a:b]] = 1
             shared = has @ self.counts
             rows, found = np.nonzero(shared >= self.paraphrase)
+            weigh = np.unique(rows[shared[rows, found] >= self.loose[found]])
+            weight = np.zeros((len(has), 0), np.float32)
+            if len(weigh):
+                weight = np.zeros(shared.shape, np.float32)
+                weight[weigh] = has[weigh] @ self.weights
             for r, i in zip(rows.tolist(), found.tolist(), strict=True):
-                if shared[r, i] >= self.leak[i] or (len(self.answers[i]) and has[r, self.answers[i]].all()):
+                enough = shared[r, i] >= self.loose[i] and weight[r, i] >= (self.light if shared[r, i] >= self.leak[i] else self.heavy)[i]
+                if enough or (len(self.answers[i]) and has[r, self.answers[i]].all()):
                     d = int(np.searchsorted(first, at + r, "right")) - 1
                     start = (at + r - int(first[d])) * self.step
                     for k in range(start, min(start + 2 * self.step, int(n_blocks[d]))):
@@ -294,19 +337,13 @@ class Search:
     def __getstate__(self):
         return self.__dict__ | {"cover": None}
 
-    def leaks(self, batches: Iterator[pa.RecordBatch]) -> Iterator[pd.Series]:
-        for batch in batches:
-            out: list[list[dict]] = []
-            for texts in portions(batch):
-                found: list[dict[int, float]] = [{} for _ in texts]
-                hashes = all_hashes(texts)
-                self.cover = self.cover or Cover(self.items)
-                for doc, first, item in sorted({*self.candidates(texts, hashes), *self.cover.pairs(texts, hashes)}):
-                    share = self.shared(texts[doc], first, self.items[item])
-                    if share > found[doc].get(self.items[item].item_id, 0.0):
-                        found[doc][self.items[item].item_id] = share
-                out += [[{"item_id": i, "share": s} for i, s in sorted(f.items())] for f in found]
-            yield out
+    def leaks(self, texts: list[list[bytes]], hashes: np.ndarray, found: list[dict[int | str, float]]) -> None:
+        """Adds to ``found`` the share of each item that leaked into each text."""
+        self.cover = self.cover or Cover(self.items)
+        for doc, first, item in sorted({*self.candidates(texts, hashes), *self.cover.pairs(texts, hashes)}):
+            share = self.shared(texts[doc], first, self.items[item])
+            if share > found[doc].get(self.items[item].item_id, 0.0):
+                found[doc][self.items[item].item_id] = share
 
     def candidates(self, texts: list[list[bytes]], hashes: np.ndarray | None = None) -> list[tuple[int, int, int]]:
         """(text, block of the text, item) of the passages near an item."""
@@ -332,9 +369,12 @@ class Search:
         n = len(item.words)
         region = words[max(0, first * BLOCK_WORDS - n) : (first + 2) * BLOCK_WORDS + n]
         share = common_length(item.words, region) / n
-        if share >= LEAK or (share >= PARAPHRASE and contains(region, item.answer)):
-            return share
-        return 0.0
+        if n < MIN_WORDS:
+            return 1.0 if contains(region, item.words) else 0.0
+        if share < PARAPHRASE:
+            return 0.0
+        told = share >= LEAK or contains(region, item.answer)
+        return share if (told or share >= LOOSE) and common_weight(item, region) >= (LIGHT if told else LOOSE) else 0.0
 
 
 def common_length(a: list[bytes], b: list[bytes]) -> int:
@@ -350,6 +390,22 @@ def common_length(a: list[bytes], b: list[bytes]) -> int:
     return len(a) - free.bit_count()
 
 
+def common_weight(item: Item, region: list[bytes]) -> float:
+    """The heaviest common subsequence's share of the item's weight."""
+    weights = np.ones(len(item.words)) if item.weights is None else item.weights
+    best = np.zeros(len(region) + 1)
+    at: dict[bytes, list[int]] = {}
+    for i, w in enumerate(region):
+        at.setdefault(w, []).append(i)
+    for word, weight in zip(item.words, weights.tolist(), strict=True):
+        if word in at:
+            places = np.array(at[word])
+            new = best.copy()
+            new[places + 1] = np.maximum(new[places + 1], best[places] + weight)
+            best = np.maximum.accumulate(new)
+    return float(best[-1] / max(weights.sum(), 1e-12))
+
+
 def contains(region: list[bytes], part: list[bytes]) -> bool:
     n = len(part)
     return any(region[i] == part[0] and region[i : i + n] == part for i in range(len(region) - n + 1)) if n else False
@@ -358,14 +414,18 @@ def contains(region: list[bytes], part: list[bytes]) -> bool:
 def read_items(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> list[Item]:
     """The query set, which is the driver's by statement; block by block it goes to the tasks."""
     answer = F.col(f"`{answer_col}`") if answer_col else F.lit(None).cast("string")
-    rows = benchmark.select(F.col(f"`{item_col}`").cast("long").alias("i"), F.col(f"`{text_col}`").alias("t"), answer.alias("a")).filter("i IS NOT NULL AND t IS NOT NULL")
+    rows = benchmark.select(F.col(f"`{item_col}`").cast(id_type(benchmark, item_col)).alias("i"), F.col(f"`{text_col}`").alias("t"), answer.alias("a")).filter("i IS NOT NULL AND t IS NOT NULL")
     items = []
     for r in rows.toLocalIterator():
-        if len(w := words_of(r["t"])) >= MIN_WORDS:
+        if w := words_of(r["t"]):
             items.append(Item(r["i"], w, words_of(r["a"]) if r["a"] else w[-ANSWER_WORDS:]))
     return sorted(items, key=lambda x: (x.item_id, x.words))
 
 
+def id_type(benchmark: DataFrame, item_col: str) -> str:
+    return "long" if isinstance(benchmark.schema[item_col].dataType, T.IntegralType) else "string"
+
+
 def describe(items: list[Item], df: np.ndarray, n_docs: float) -> Terms:
     """Each item's terms: those rare enough, or its rarest ones if they are few."""
     idf_of = lambda count: math.log((1 + n_docs) / (1 + count)) + 0.1
@@ -375,8 +435,9 @@ def describe(items: list[Item], df: np.ndarray, n_docs: float) -> Terms:
         own = sorted({zlib.crc32(w) for w in item.words}, key=lambda h: (df[h & ((1 << DF_BITS) - 1)], h))
         for i, h in enumerate(own):
             count = df[h & ((1 << DF_BITS) - 1)]
-            if (i < MIN_TERMS or count <= max(FEW, MAX_DF * n_docs)) and h not in columns:
-                columns[h] = len(columns)
+            at = h & ((1 << LUT_BITS) - 1)
+            if (i < MIN_TERMS or count <= max(FEW, MAX_DF * n_docs)) and at not in columns:
+                columns[at] = len(columns)
                 counts.append(count)
     return Terms(columns, np.array([idf_of(c) for c in counts]), (np.log((1 + n_docs) / (1 + df)) + 0.1).astype(np.float32))
 
@@ -385,7 +446,7 @@ def item_rows(items: list[Item], terms: Terms) -> np.ndarray:
     out = np.zeros((len(items), len(terms.idf)))
     for i, item in enumerate(items):
         for w in item.words:
-            c = terms.columns.get(zlib.crc32(w))
+            c = terms.columns.get(zlib.crc32(w) & ((1 << LUT_BITS) - 1))
             if c is not None:
                 out[i, c] = terms.idf[c]
     return out
@@ -395,41 +456,62 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
     """(row, leaks): each row of ``docs`` as a struct, and the items leaked into it with the share found."""
     row = F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("row")
     text = F.col(f"`{text_col}`").alias("text")
-    leak_type = "array<struct<item_id:long,share:double>>"
+    kind = id_type(benchmark, item_col)
+    leak_type = f"array<struct<item_id:{kind},share:double>>"
     items = read_items(benchmark, item_col, bench_text_col, answer_col)
     out = docs.select(row, text, F.array().cast(leak_type).alias("leaks"))
     if items:
         counted = summed(docs.select(text).mapInArrow(count_terms, PART_SCHEMA), 1)
         if counted is not None:
             df, n_docs = counted[:-1, 0], counted[-1, 0]
-            for at in range(0, len(items), BLOCK_ITEMS):
-                search = prepare(docs.select(text), items[at : at + BLOCK_ITEMS], df, n_docs)
-                out = out.select("row", "text", F.concat("leaks", search_udf(search)("text")).alias("leaks"))
+            blocks = [items[at : at + BLOCK_ITEMS] for at in range(0, len(items), BLOCK_ITEMS)]
+            for at in range(0, len(blocks), AT_A_TIME):
+                searches = prepare(docs.select(text), blocks[at : at + AT_A_TIME], df, n_docs)
+                out = out.select("row", "text", F.concat("leaks", search_udf(searches, kind)("text")).alias("leaks"))
     return out.select("row", "leaks")
 
 
-def prepare(texts: DataFrame, items: list[Item], df: np.ndarray, n_docs: float) -> Search:
-    """The latent space of a block of items."""
-    terms = describe(items, df, n_docs)
-    own = item_rows(items, terms)
-    own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
-    rank = min(len(terms.idf), len(items) + EXTRA_RANK)
-    gauss = np.random.default_rng(SEED).standard_normal((len(terms.idf), rank))
-    z = summed(texts.mapInArrow(lambda it: product(it, terms, SEED, rank), PART_SCHEMA), rank)
-    z = np.zeros((len(terms.idf), rank)) if z is None else z
-    scale = max(1.0, np.linalg.norm(z, axis=0).mean() / math.sqrt(rank))
-    z = z + ITEM_WEIGHT * scale * (own.T @ (own @ gauss))
-    vectors = singular_vectors(z, gauss)
-    queries = own @ vectors
-    queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
-    return Search(items, terms, (vectors * terms.idf[:, None]).astype(np.float32), queries.astype(np.float32))
-
-
-def search_udf(search: Search):
-    @F.arrow_udf("array<struct<item_id:long,share:double>>")
+def prepare(texts: DataFrame, blocks: list[list[Item]], df: np.ndarray, n_docs: float) -> list[Search]:
+    """The latent space of each block of items, from one scan."""
+    models = []
+    for items in blocks:
+        terms = describe(items, df, n_docs)
+        for x in items:
+            x.weights = terms.df_idf[hashes_of(x.words) & np.uint32((1 << DF_BITS) - 1)].astype(float)
+        models.append((terms, rank_of(terms, len(items))))
+    sums = summed_parts(texts.mapInArrow(lambda it: products(it, models), PART_SCHEMA))
+    out = []
+    for at, (items, (terms, rank)) in enumerate(zip(blocks, models, strict=True)):
+        own = item_rows(items, terms)
+        own /= np.maximum(np.linalg.norm(own, axis=1, keepdims=True), 1e-12)
+        gauss = gaussian(terms, rank)
+        mine = [sums[p].reshape(-1, rank) for p in sorted(sums) if p >> PART_BITS == at]
+        z = np.concatenate(mine) if mine else np.zeros((len(terms.idf), rank))
+        scale = max(1.0, np.linalg.norm(z, axis=0).mean() / math.sqrt(rank))
+        z = z + ITEM_WEIGHT * scale * (own.T @ (own @ gauss))
+        vectors = singular_vectors(z, gauss)
+        queries = own @ vectors
+        queries /= np.maximum(np.linalg.norm(queries, axis=1, keepdims=True), 1e-12)
+        out.append(Search(items, terms, (vectors * terms.idf[:, None]).astype(np.float32), queries.astype(np.float32)))
+    return out
+
+
+def search_texts(batch: pa.RecordBatch, searches: list[Search]) -> list[list[dict]]:
+    """The items leaked into each text of a batch, with their shares."""
+    out: list[list[dict]] = []
+    for texts in portions(batch):
+        found: list[dict[int | str, float]] = [{} for _ in texts]
+        hashes = all_hashes(texts)
+        for search in searches:
+            search.leaks(texts, hashes, found)
+        out += [[{"item_id": i, "share": s} for i, s in sorted(f.items())] for f in found]
+    return out
+
+
+def search_udf(searches: list[Search], kind: str):
+    @F.arrow_udf(f"array<struct<item_id:{kind},share:double>>")
     def leaks(texts: pa.Array) -> pa.Array:
-        batch = pa.record_batch([texts], names=["text"])
-        out = next(iter(search.leaks(iter([batch]))))
-        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64()), ("share", pa.float64())])))
+        out = search_texts(pa.record_batch([texts], names=["text"]), searches)
+        return pa.array(out, pa.list_(pa.struct([("item_id", pa.int64() if kind == "long" else pa.string()), ("share", pa.float64())])))
 
     return leaks

@@ -1,4 +1,8 @@
+import itertools
+import math
 import random
+import zlib
+from collections import Counter
 
 import numpy as np
 import pyarrow as pa
@@ -53,7 +57,8 @@ def test_product_is_of_passages():
     terms = d.describe([item], df, 10.0)
     rank = 7
     batch = pa.record_batch([pa.array(texts)], names=["text"])
-    (packed,) = d.product(iter([batch]), terms, 3, rank)
+    packed, again = d.products(iter([batch]), [(terms, rank), (terms, rank)])
+    assert again.column("data") == packed.column("data") and again.column("part")[0].as_py() == 1 << d.PART_BITS
     got = np.concatenate([np.frombuffer(x, np.float32).reshape(-1, rank) for x in packed.column("data").to_pylist()])
     rows = []
     for text in texts:
@@ -68,16 +73,21 @@ def test_product_is_of_passages():
         for w in both:
             h = int(d.hashes_of([w])[0])
             size += float(terms.df_idf[h & ((1 << d.DF_BITS) - 1)]) ** 2
-            if h in terms.columns:
-                dense[k, terms.columns[h]] += terms.idf[terms.columns[h]]
+            c = terms.columns.get(h & ((1 << d.LUT_BITS) - 1))
+            if c is not None:
+                dense[k, c] += terms.idf[c]
         dense[k] /= max(size, 1e-9) ** 0.5
-    gauss = np.random.default_rng(3).standard_normal((len(terms.idf), rank))
+    gauss = d.gaussian(terms, rank)
     assert np.allclose(got, dense.T @ (dense @ gauss), rtol=1e-2, atol=1e-2)
 
 
 def brute(docs, items):
     """Every block of every document against every item, without a candidate search."""
     search = d.Search(items, None, None, None)
+    mask = (1 << d.DF_BITS) - 1
+    held = Counter(h for _, text in docs for h in {zlib.crc32(w) & mask for w in d.words_of(text)})
+    for it in items:
+        it.weights = np.array([math.log((1 + len(docs)) / (1 + held[zlib.crc32(w) & mask])) + 0.1 for w in it.words])
     out = set()
     for i, text in docs:
         words = d.words_of(text)
@@ -87,7 +97,7 @@ def brute(docs, items):
 
 
 def items_of(rows):
-    return [d.Item(i, w, w[-d.ANSWER_WORDS :]) for i, t in rows if len(w := d.words_of(t)) >= d.MIN_WORDS]
+    return [d.Item(i, w, w[-d.ANSWER_WORDS :]) for i, t in rows if (w := d.words_of(t))]
 
 
 def found(df):
@@ -135,8 +145,44 @@ def test_paraphrases_and_distractors(spark, corpus):
     assert got == brute(docs, items_of(bench))
 
 
+def test_common_weight():
+    rng = random.Random(4)
+    for _ in range(200):
+        a, b = ([rng.choice([b"a", b"b", b"c", b"d"]) for _ in range(rng.randint(1, 9))] for _ in range(2))
+        weight = dict(zip(b"abcd", [1.0, 0.5, 3.0, 2.0], strict=True))
+        item = d.Item(1, a, [], np.array([weight[w[0]] for w in a]))
+        best = max(sum(item.weights[list(some)]) for n in range(len(a) + 1) for some in itertools.combinations(range(len(a)), n) if naive_common([a[i] for i in some], b) == n)
+        assert np.isclose(d.common_weight(item, b), best / item.weights.sum())
+
+
+def test_loose_paraphrases_are_found_and_common_words_are_not(spark, corpus):
+    """Items with a third of their words replaced, against documents that have just their frequent words in order."""
+    rng, text = corpus
+    common = [text(1) for _ in range(12)]
+    mixed = lambda n, share: [rng.choice(common) if rng.random() < share else text(1) + text(1) for _ in range(n)]
+    bench = [(i, " ".join(mixed(rng.randint(20, 50), 0.6))) for i in range(40)]
+    docs, loose = [(k, " ".join(mixed(300, 0.6))) for k in range(200)], set()
+    for i, t in bench:
+        words = t.split()
+        changed = set(rng.sample(range(len(words)), round(len(words) * 0.3)))
+        host = mixed(120, 0.6)
+        docs.append((1000 + i, " ".join([*host[:50], *(text(1) + text(2) if k in changed else w for k, w in enumerate(words)), *host[50:]])))
+        docs.append((2000 + i, " ".join([*host[:50], *(w for w in words if w in common), *host[50:]])))
+        loose.add((1000 + i, i))
+    got = found(d.find_leaks(spark.createDataFrame(docs, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")))
+    assert len(loose & got) >= 36 and not got - loose
+    assert got == brute(docs, items_of(bench))
+
+
+def test_short_items_and_ids_that_are_no_numbers(spark):
+    bench = spark.createDataFrame([("a", "silver lenka"), ("b", "moon"), ("c", "?!")], "item_id string, text string")
+    df = spark.createDataFrame([(1, "the Silver, Lenka flows"), (2, "silver moons and lenka"), (3, "a moon")], "doc_id long, text string")
+    assert found(d.find_leaks(df, bench)) == {(1, "a"), (3, "b")}
+
+
 def test_many_items_go_in_blocks(spark, corpus, monkeypatch):
-    monkeypatch.setattr(d, "BLOCK_ITEMS", 7)
+    monkeypatch.setattr(d, "BLOCK_ITEMS", 4)
+    monkeypatch.setattr(d, "AT_A_TIME", 3)
     rng, text = corpus
     bench = [(i, text(20)) for i in range(20)]
     df = spark.createDataFrame([(i, text(30) + " " + t + " " + text(30)) for i, t in bench], "doc_id long, text string")
@@ -158,7 +204,7 @@ def test_odd_rows(spark):
     rows = [(1, "x " * 50 + "The quick brown fox jumps over the lazy dog."), (None, "the quick brown fox jumps over the lazy dog"), (2, None), (2, ""), (2, "too short"), (3, "w " * 40_000)]
     df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "1 AS leaks", "2 AS row")
     out = d.find_leaks(df, bench).collect()
-    assert [[x["item_id"] for x in r["leaks"]] for r in out] == [[1, 2], [1, 2], [], [], [], []]
+    assert [[x["item_id"] for x in r["leaks"]] for r in out] == [[1, 2], [1, 2], [], [], [3], []]
     assert out[0]["row"].asDict().keys() == {"doc_id", "text", "leaks", "row"}
     assert [r["leaks"] for r in d.find_leaks(df, bench.limit(0)).collect()] == [[]] * 6
     assert d.find_leaks(df.limit(0), bench).collect() == []
