@@ -49,8 +49,8 @@ SYNCS, ROUNDS, STEP, RATE, SEED = 4, 1, 256, 0.2, 3
 LEARNER_WORDS, MOST_LEARNERS = 1 << 20, 8192
 #: Places scored at once, and weights in one part of a sum.
 AT_ONCE, PART = 1 << 14, 1 << 11
-#: Partitions that the most frequent words are gathered in.
-FEW = 8
+#: Words that tasks hold with their shares; rarer ones are looked up in a join, which gives the same.
+HELD = 1 << 16
 #: Log-shares are added up as whole numbers, so that their order does not matter.
 SCALE = 1e9
 
@@ -60,22 +60,49 @@ EDGE = N_WORDS  # the name of what lies beyond a text's ends
 
 
 class Vocabulary(dict):
-    """Names of words; those outside the vocabulary are named by hash."""
+    """Places in a list of words, most frequent first; a word that is not in it has minus one less its shared place.
+
+    Words from place ``N_KNOWN`` on share places too, but their log-shares, as whole
+    numbers, are at hand: only rarer words need be looked up in the full counts.
+    """
+
+    def __init__(self, words: list[bytes] = (), shares: np.ndarray | None = None):
+        super().__init__((w, i) for i, w in enumerate(words))
+        self.shares = np.zeros(len(words), np.int64) if shares is None else shares
+        own = np.arange(len(words))
+        self.names = np.where(own < N_KNOWN, own, [N_KNOWN + shared_place(w) for w in words])
 
     def __missing__(self, word: bytes) -> int:
-        return N_KNOWN + zlib.crc32(word) % (N_WORDS - N_KNOWN)
+        return -1 - shared_place(word)
+
+    def __reduce__(self):
+        return Vocabulary, (list(self), self.shares)
+
+    def names_of(self, places: np.ndarray) -> np.ndarray:
+        """The names, as the network knows them, of words by place."""
+        if not len(self.names):
+            return N_KNOWN - 1 - places
+        return np.where(places < 0, N_KNOWN - 1 - places, self.names[np.maximum(places, 0)])
+
+
+def shared_place(word: bytes) -> int:
+    return zlib.crc32(word) % (N_WORDS - N_KNOWN)
 
 
 def split_words(text: str | None) -> list[bytes]:
     return (text or "").encode("utf-8", "replace").split()
 
 
+def places_of(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
+    return np.fromiter(map(vocabulary.__getitem__, words), np.int64, len(words))
+
+
 def names_of(words: list[bytes], vocabulary: Vocabulary) -> np.ndarray:
-    return np.fromiter(map(vocabulary.__getitem__, words), np.int32, len(words))
+    return vocabulary.names_of(places_of(words, vocabulary))
 
 
 def padded(names: np.ndarray) -> np.ndarray:
-    edge = np.full(SIDE, EDGE, np.int32)
+    edge = np.full(SIDE, EDGE, names.dtype)
     return np.concatenate([edge, names, edge])
 
 
@@ -124,31 +151,42 @@ class Network:
     def log_probabilities(self, around: np.ndarray, names: np.ndarray) -> np.ndarray:
         """Of each word given the words around it."""
         x = self.vectors[around].reshape(len(names), -1)
-        before = x @ self.hidden + self.hidden_bias
+        before = x @ self.hidden
+        before += self.hidden_bias
         group, place = names // PLACES, names % PLACES
-        first = log_softmax(np.tanh(before) @ self.group + self.group_bias)
-        second = log_softmax(np.tanh(before + self.given[group]) @ self.place + self.place_bias)
+        h2 = before + self.given[group]
+        np.tanh(h2, out=h2)
+        np.tanh(before, out=before)
         rows = np.arange(len(names))
-        return first[rows, group] + second[rows, place]
-
-    def gradients(self, around: np.ndarray, names: np.ndarray) -> tuple[float, list[np.ndarray], np.ndarray]:
-        """The log-likelihood's sum, its gradients for all but the vectors, and for the vectors of each example."""
+        first, second = logits(before, self.group, self.group_bias), logits(h2, self.place, self.place_bias)
+        own = first[rows, group] + second[rows, place]
+        np.exp(first, out=first)
+        np.exp(second, out=second)
+        return own - np.log(first.sum(axis=1)) - np.log(second.sum(axis=1))
+
+    def descents(self, around: np.ndarray, names: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
+        """Gradients of the negative log-likelihood's sum for all but the vectors, and for the vectors of each example."""
         n, rows = len(names), np.arange(len(names))
         x = self.vectors[around].reshape(n, -1)
-        before = x @ self.hidden + self.hidden_bias
+        before = x @ self.hidden
+        before += self.hidden_bias
         group, place = names // PLACES, names % PLACES
-        h1, h2 = np.tanh(before), np.tanh(before + self.given[group])
-        d1, d2 = softmax(h1 @ self.group + self.group_bias), softmax(h2 @ self.place + self.place_bias)
-        total = float(np.log(d1[rows, group]).sum() + np.log(d2[rows, place]).sum())
-        np.negative(d1, out=d1)
-        np.negative(d2, out=d2)
-        d1[rows, group] += 1
-        d2[rows, place] += 1
-        b1, b2 = (d1 @ self.group.T) * (1 - h1 * h1), (d2 @ self.place.T) * (1 - h2 * h2)
-        both = b1 + b2
+        h2 = before + self.given[group]
+        np.tanh(h2, out=h2)
+        h1 = np.tanh(before, out=before)
+        d1, d2 = logits(h1, self.group, self.group_bias), logits(h2, self.place, self.place_bias)
+        for d, at in ((d1, group), (d2, place)):
+            np.exp(d, out=d)
+            d /= d.sum(axis=1, keepdims=True)
+            d[rows, at] -= 1
+        both, b2 = d1 @ self.group.T, d2 @ self.place.T
+        both *= 1 - h1 * h1
+        b2 *= 1 - h2 * h2
         of_group = np.zeros((n, GROUPS), b2.dtype)
         of_group[rows, group] = 1
-        return total, [x.T @ both, both.sum(0), h1.T @ d1, d1.sum(0), of_group.T @ b2, h2.T @ d2, d2.sum(0)], (both @ self.hidden.T).reshape(n, 2 * SIDE, VECTOR)
+        given = of_group.T @ b2
+        both += b2
+        return [x.T @ both, both.sum(0), h1.T @ d1, d1.sum(0), given, h2.T @ d2, d2.sum(0)], (both @ self.hidden.T).reshape(n, 2 * SIDE, VECTOR)
 
     def learn(self, examples: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> int:
         """One run through a stream of examples, with steps scaled by the size of past ones."""
@@ -158,32 +196,29 @@ class Network:
         seen = 0
         for around, names in examples:
             seen += len(names)
-            _, gradients, of_vectors = self.gradients(around, names)
-            for p, g, s in zip(parts[1:], gradients, past, strict=True):
+            descents, of_vectors = self.descents(around, names)
+            for p, g, s in zip(parts[1:], descents, past, strict=True):
                 g /= len(names)
                 s += g * g
-                p += rate * g / np.sqrt(s)
+                g /= np.sqrt(s)
+                g *= rate
+                p -= g
             flat = around.ravel()
-            order = np.argsort(flat.astype(np.uint16), kind="stable")
+            order = np.argsort(flat, kind="stable")
             flat = flat[order]
             first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
             used = flat[first]
             g = np.add.reduceat(of_vectors.reshape(-1, VECTOR)[order], first, axis=0) / len(names)
             past_vectors[used] += (g * g).mean(1)
-            self.vectors[used] += rate * g / np.sqrt(past_vectors[used])[:, None]
+            self.vectors[used] -= rate * g / np.sqrt(past_vectors[used])[:, None]
         return seen
 
 
-def softmax(z: np.ndarray) -> np.ndarray:
-    z -= z.max(axis=1, keepdims=True)
-    np.exp(z, out=z)
-    z /= z.sum(axis=1, keepdims=True)
-    return z
-
-
-def log_softmax(z: np.ndarray) -> np.ndarray:
-    z = z - z.max(axis=1, keepdims=True)
-    return z - np.log(np.exp(z).sum(axis=1, keepdims=True))
+def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+    """Bounded, so that their exponentials are finite."""
+    z = h @ weights
+    z += bias
+    return np.minimum(z, 60, out=z)
 
 
 @dataclass
@@ -209,50 +244,48 @@ def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
 
 def build_vocabulary(counted: DataFrame) -> tuple[Vocabulary, list[int]]:
-    """Names for the most frequent words, and the counts of the places that all others share."""
-    ordered = counted.select("word", "n").sortWithinPartitions(F.desc("n"), "word")
-    # A few partitions' heads come to the driver, not those of all partitions.
-    heads = ordered.mapInArrow(lambda it: first_rows(it, N_KNOWN), ordered.schema).repartition(FEW)
-    known = heads.orderBy(F.desc("n"), "word").limit(N_KNOWN).collect()
-    vocabulary = Vocabulary({r["word"].encode("utf-8", "replace"): i for i, r in enumerate(known)})
+    """The most frequent words, and the counts of the places that all but the first of them share."""
+    step = F.floor(F.log2("n") * 16).cast("int")
+    sizes = dict(counted.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("n")).collect())  # some hundred rows
+    least, total = max(sizes, default=0) + 1, 0
+    for at in sorted(sizes, reverse=True):
+        if total >= N_KNOWN and total + sizes[at] > HELD:
+            break
+        least, total = at, total + sizes[at]
+    held = counted.filter(step >= least).orderBy(F.desc("n"), "word").limit(HELD).collect()
     buckets = [0] * (N_WORDS - N_KNOWN)
-    if len(known) == N_KNOWN:
-        last = known[-1]
+    if len(held) > N_KNOWN:
+        last = held[N_KNOWN - 1]
         rest = counted.filter((F.col("n") < last["n"]) | ((F.col("n") == last["n"]) & (F.col("word") > last["word"])))
         for r in rest.groupBy("bucket").agg(F.sum("n").alias("n")).collect():  # a row for each shared place
             buckets[r["bucket"]] = r["n"]
-    return vocabulary, buckets
-
-
-def first_rows(batches: Iterator[pa.RecordBatch], n: int) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        yield batch.slice(0, n)
-        n -= min(n, batch.num_rows)
+    own = [round(math.log(r["n"] / buckets[r["bucket"]]) * SCALE) if i >= N_KNOWN else 0 for i, r in enumerate(held)]
+    return Vocabulary([r["word"].encode("utf-8", "replace") for r in held], np.array(own, np.int64)), buckets
 
 
 def name_texts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """(key, id, n_words, names, rare): texts as names of words, and the hashes of the words that share places."""
+    """(key, id, n_words, names, share, rare): texts as names, the log-shares at hand, and the hashes of the words to look up."""
     for batch in batches:
-        n_words, names, rare, ends = [], [], [], [0]
+        n_words, names, shares, rare, ends = [], [], [], [], [0]
         for text in batch.column(2).to_pylist():
             words = split_words(text)
-            own = names_of(words, vocabulary)
-            n_words.append(len(own))
-            names.append(own.astype(np.uint16).tobytes())
-            at = np.flatnonzero(own >= N_KNOWN).tolist()
-            rare.append(np.fromiter((xxhash.xxh64_intdigest(words[i], 42) for i in at), np.uint64, len(at)))
-            ends.append(ends[-1] + len(at))
-        flat = np.concatenate(rare).view(np.int64) if rare else np.zeros(0, np.int64)
+            places = places_of(words, vocabulary)
+            n_words.append(len(words))
+            names.append(vocabulary.names_of(places).astype(np.uint16).tobytes())
+            shares.append(int(vocabulary.shares[places[places >= N_KNOWN]].sum()))
+            rare += [xxhash.xxh64_intdigest(words[i], 42) for i in np.flatnonzero(places < 0).tolist()]
+            ends.append(len(rare))
+        flat = np.array(rare, np.uint64).view(np.int64)
         lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-        yield pa.record_batch([batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(names, pa.binary()), lists], names=["key", "id", "n_words", "names", "rare"])
+        columns = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(names, pa.binary()), pa.array(shares, pa.int64()), lists]
+        yield pa.record_batch(columns, names=["key", "id", "n_words", "names", "share", "rare"])
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The texts as names, stored: training and scoring read them, and a row keeps its key."""
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), lowered(docs, text_col).alias("text"))
-    known = dict(vocabulary)
     kind = rows.schema["id"].dataType.simpleString()
-    named = rows.mapInArrow(lambda it: name_texts(it, Vocabulary(known)), f"key long, id {kind}, n_words long, names binary, rare array<long>")
+    named = rows.mapInArrow(lambda it: name_texts(it, vocabulary), f"key long, id {kind}, n_words long, names binary, share long, rare array<long>")
     folder = new_folder(docs.sparkSession, "names")
     named.write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder)
@@ -263,19 +296,22 @@ def steps(texts: Iterator[bytes], size: int = STEP) -> Iterator[tuple[np.ndarray
     held: list[np.ndarray] = []
     n = 0
     for data in texts:
-        names = np.frombuffer(data, np.uint16)
-        row = padded(names)
-        for lo in range(0, len(names), AT_ONCE):
-            at = np.arange(lo, min(lo + AT_ONCE, len(names)))
-            held.append(np.column_stack([contexts(row, at), names[at]]))
-            n += len(at)
+        row = padded(np.frombuffer(data, np.uint16))
+        own = len(row) - 2 * SIDE
+        for lo in range(0, own, AT_ONCE):
+            m = min(AT_ONCE, own - lo)
+            examples = np.empty((m, 2 * SIDE + 1), np.uint16)
+            for column, offset in enumerate([*range(SIDE), *range(SIDE + 1, 2 * SIDE + 1), SIDE]):
+                examples[:, column] = row[lo + offset : lo + offset + m]
+            held.append(examples)
+            n += m
             if n >= 32 * size:
                 yield from whole_steps(held, size)
                 n = len(held[0])
     if n:
         some = np.concatenate(held)
         for at in range(0, len(some), size):
-            yield some[at : at + size, :-1], some[at : at + size, -1]
+            yield some[at : at + size, :-1], some[at : at + size, -1].astype(np.int32)
 
 
 def whole_steps(held: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -283,7 +319,7 @@ def whole_steps(held: list[np.ndarray], size: int) -> Iterator[tuple[np.ndarray,
     some = np.concatenate(held)
     whole = len(some) - len(some) % size
     for at in range(0, whole, size):
-        yield some[at : at + size, :-1], some[at : at + size, -1]
+        yield some[at : at + size, :-1], some[at : at + size, -1].astype(np.int32)
     held[:] = [some[whole:]]
 
 
@@ -355,13 +391,14 @@ def score_names(texts: list[bytes], network: Network) -> list[float]:
 
 
 def shares(texts: DataFrame, model: Model) -> DataFrame:
-    """(key, share): for each text with words that share places, the sum of their log-shares, as whole numbers."""
+    """(key, looked): for each text with words that tasks do not hold, the sum of their log-shares, as whole numbers."""
     words = texts.select("key", F.explode("rare").alias("h"))
     total = F.array(*[F.lit(max(1, n)).cast("double") for n in model.buckets])
     known = model.counted.select("h", (F.log(F.col("n").cast("double")) - F.log(F.element_at(total, F.col("bucket") + 1))).alias("share"))
     unheard = F.lit(-math.log(1 + max(model.buckets)))
-    found = words.join(known, "h", "left").withColumn("share", F.coalesce("share", unheard))
-    return found.groupBy("key").agg(F.sum(F.round(F.col("share") * SCALE).cast("long")).alias("share"))
+    # The counts are the smaller side: a hash table of a partition of them spares the words a sort.
+    found = words.join(known.hint("shuffle_hash"), "h", "left").withColumn("share", F.coalesce("share", unheard))
+    return found.groupBy("key").agg(F.sum(F.round(F.col("share") * SCALE).cast("long")).alias("looked"))
 
 
 def scored(texts: DataFrame, model: Model) -> DataFrame:
@@ -374,8 +411,8 @@ def scored(texts: DataFrame, model: Model) -> DataFrame:
         for names in parts:
             yield pd.Series(score_names(names.tolist(), network), dtype="float64")
 
-    found = texts.select("key", "id", "n_words", score("names").alias("network")).join(shares(texts, model), "key", "left")
-    total = F.col("network") + F.coalesce(F.col("share"), F.lit(0)) / F.lit(SCALE)
+    found = texts.select("key", "id", "n_words", "share", score("names").alias("network")).join(shares(texts, model), "key", "left")
+    total = F.col("network") + (F.col("share") + F.coalesce(F.col("looked"), F.lit(0))) / F.lit(SCALE)
     mean = F.when(F.col("n_words") > 0, total / F.col("n_words")).otherwise(F.lit(0.0))
     return found.select("id", "n_words", total.alias("log_probability"), mean.alias("mean_log_probability"))
 
