@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import json
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
-from . import FacetDataset
+from . import FacetDataset, function_tool, load, save
 from .functions.keys import key_text
+from .streaming.counts import windowed_facet_counts
+
+Query = Callable[[SparkSession, str], DataFrame]
 
 #: Configurations of the datasets that the queries run on.
 CONFIGS = {
@@ -18,6 +24,8 @@ CONFIGS = {
     "part": {"dataset_id": "part", "id": "p_partkey", "facets": ["p_brand", "p_type", "words"], "ranges": ["p_retailprice", "p_size"]},
     "documents": {"dataset_id": "documents", "id": "doc_id", "facets": ["lang", "source", "quality", "toxic"], "ranges": ["n_chars"]},
     "customer": {"dataset_id": "customer", "id": "c_custkey", "facets": ["c_nationkey", "c_mktsegment"], "ranges": ["c_acctbal"], "aliases": {"n_name": "c_nationkey", "r_name": "c_nationkey"}},
+    "part_sizes": {"dataset_id": "part", "id": "p_partkey", "facets": ["p_size"], "aliases": {"shown": "p_size"}},
+    "supplier_plain": {"dataset_id": "supplier", "id": "s_suppkey", "facets": ["s_nationkey"], "ranges": ["s_acctbal"]},
     "supplier": {"dataset_id": "supplier", "id": "s_suppkey", "facets": ["s_nationkey"], "aliases": {"s_name": "s_nationkey"}},
     "events": {"dataset_id": "events", "id": "event_id", "facets": ["event_type", "user_id"], "ranges": ["ts", "value"]},
     "orders_derived": {"dataset_id": "orders", "id": "o_orderkey", "facets": ["is_final", "o_orderdate"]},
@@ -35,6 +43,8 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
         return read("documents").select("doc_id", "lang", "source", "n_chars").join(read("labels"), "doc_id", "left")
     if name == "part":
         return read("part").withColumn("words", F.split("p_name", " "))
+    if name == "part_sizes":
+        return read("part").withColumn("shown", F.when(F.col("p_size") <= 10, "tiny").when(F.col("p_size") <= 30, "middling"))
     if name == "customer":
         nation = read("nation").join(read("region"), F.col("n_regionkey") == F.col("r_regionkey")).select("n_nationkey", "n_name", "r_name")
         return read("customer").join(nation, F.col("c_nationkey") == F.col("n_nationkey")).drop("n_nationkey")
@@ -43,19 +53,136 @@ def rows_of(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return read(name.split("_")[0])
 
 
-def dataset(spark: SparkSession, sf_dir: str, name: str, compat: bool = False) -> FacetDataset:
+def dataset(spark: SparkSession, sf_dir: str, name: str, compat: bool = False, joined: bool = False) -> FacetDataset:
+    """The dataset of a configuration; ``joined`` takes alias filters through joins, however few ids they have."""
     config = {**CONFIGS[name], "auto_meta": name not in ("supplier", "customer")}
-    return FacetDataset.create(rows_of(spark, sf_dir, name), config, compat=compat)
+    out = FacetDataset.create(rows_of(spark, sf_dir, name), config, compat=compat)
+    if joined:
+        out.max_literals = 0
+    return out
 
 
-Query = Callable[[SparkSession, str], DataFrame]
+def new_folder(spark: SparkSession) -> str:
+    """A folder that all machines share, removed when the session ends."""
+    shared = spark.conf.get("spark.checkpoint.dir", None) or spark.conf.get("spark.sql.warehouse.dir")
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{shared}/saved-{uuid.uuid4().hex}")
+    path.getFileSystem(spark._jsc.hadoopConfiguration()).deleteOnExit(path)
+    return path.toString()
+
+
+def stored(spark: SparkSession, sf_dir: str, name: str, **layout) -> FacetDataset:
+    """The dataset after it was saved and loaded."""
+    folder = new_folder(spark)
+    save(dataset(spark, sf_dir, name), folder, **layout)
+    return load(spark, folder)
+
+
+def saved_items(name: str, columns: list[str] | None = None, layout: dict | None = None, **query) -> Query:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = stored(spark, sf_dir, name, **(layout or {})).query(**query).items
+        return found.select(*columns) if columns else found
+
+    return run
+
+
+def saved_totals(name: str, *queries: dict) -> Query:
+    """The totals that a loaded dataset answers, by the number of the query."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ds = stored(spark, sf_dir, name)
+        return numbers(spark, [(i, ds.total(**q)) for i, q in enumerate(queries)], "query int, total long")
+
+    return run
+
+
+def numbers(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    return spark.createDataFrame(rows, schema)
+
+
+def bundled(name: str, binary: bool, **query) -> Query:
+    """The rows of a dataset that went through an interchange bundle."""
 
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        from .sources.interchange import from_binary, from_json, to_binary, to_json
+
+        ds = dataset(spark, sf_dir, name)
+        back = from_binary(spark, to_binary(ds)) if binary else from_json(spark, json.loads(json.dumps(to_json(ds))))
+        return back.query(**query).items
+
+    return run
 
-def items(name: str, columns: list[str] | None = None, compat: bool = False, **query) -> Query:
+
+def placed(name: str, columns: list[str], **query) -> Query:
+    """A page with the place of each of its rows, so that a comparison sees their order."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        found = dataset(spark, sf_dir, name).query(**query).items.select(*columns, F.monotonically_increasing_id().alias("at"))
+        return found.select(*columns, F.row_number().over(Window.orderBy("at")).cast("long").alias("place"))  # a page is small
+
+    return run
+
+
+def field_table(name: str) -> Query:
+    """What a dataset says of its fields: kind, type, target and operators."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        fields = dataset(spark, sf_dir, name).describe().fields
+        return numbers(spark, [(f.name, f.kind, f.type, f.target, ",".join(f.ops)) for f in fields], "name string, kind string, type string, target string, ops string")
+
+    return run
+
+
+def tool_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The arguments of the function tool of a dataset, and the fields that each takes."""
+    shown = function_tool(dataset(spark, sf_dir, "customer").describe(), "query_customers")["function"]
+    parts = shown["parameters"]["properties"]
+    fields = {k: sorted(v.get("properties") or v.get("items", {}).get("enum") or []) for k, v in parts.items()}
+    return numbers(spark, [(shown["name"], k, ",".join(v)) for k, v in fields.items()], "tool string, argument string, fields string")
+
+
+def applied_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What an answer says of its query and its dataset, and the size of an answer that cannot match."""
+    found = dataset(spark, sf_dir, "orders").query(equal={"o_orderstatus": "O"}, isNull=["o_custkey"])
+    none = dataset(spark, sf_dir, "orders").query(equal={"nope": 1}, include_facet_counts=True)
+    return numbers(spark, [(json.dumps(found.applied, sort_keys=True), found.snapshot["datasetId"], none.total, none.items.count(), none.facets.count())], "applied string, dataset string, total long, items long, counts long")
+
+
+def text_ranges(**ranges) -> Query:
+    """Ranges over numbers and dates that are held as text."""
+
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = table(spark, sf_dir, "orders").select("o_orderkey", F.col("o_custkey").cast("string").alias("number"), F.date_format("o_orderdate", "yyyy-MM-dd").alias("day"))
+        fields = {"o_orderkey": {"kind": "id", "type": "number"}, "number": {"kind": "range", "type": "number"}, "day": {"kind": "range", "type": "date"}}
+        return FacetDataset.create(rows, {"dataset_id": "orders", "fields": fields}).query(ranges=ranges).items
+
+    return run
+
+
+def released(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A released dataset answers nothing but still describes itself."""
+    ds = dataset(spark, sf_dir, "supplier").persist()
+    ds.dispose()
+    try:
+        ds.query()
+        refused = False
+    except RuntimeError:
+        refused = True
+    return numbers(spark, [(ds.is_disposed, refused, len(ds.describe().fields))], "disposed boolean, refused boolean, fields long")
+
+
+def windowed(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Facet counts by day, from the stream's operator over a table that is all there."""
+    events = table(spark, sf_dir, "events")
+    ds = FacetDataset.create(events, {"dataset_id": "events", "facets": ["event_type"], "ranges": ["value"]})
+    found = windowed_facet_counts(events, ds.describe(), "ts", "1 day", "1 hour", ranges={"value": {"min": 10}})
+    return found.select(F.col("window.start").cast("date").alias("day"), "value", "count")
+
+
+def items(name: str, columns: list[str] | None = None, compat: bool = False, joined: bool = False, **query) -> Query:
     """The rows that a query returns."""
 
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = dataset(spark, sf_dir, name, compat).query(**query).items
+        found = dataset(spark, sf_dir, name, compat, joined).query(**query).items
         return found.select(*columns) if columns else found
 
     return run
@@ -198,6 +325,35 @@ CATALOG: dict[str, tuple[Query, str]] = {
         "SELECT c_custkey, n_name AS n_names, r_name AS r_names FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name='ASIA' ORDER BY c_custkey LIMIT 40 OFFSET 10",
     ),
     "alias_is_null_raw": (total("customer", is_not_null=["r_name"]), "SELECT count(*) AS total FROM customer JOIN nation ON c_nationkey = n_nationkey"),
+    "alias_eq_joined": (items("customer", ["c_custkey", "c_nationkey"], joined=True, equal={"r_name": "ASIA"}), "SELECT c.c_custkey, c.c_nationkey FROM customer c WHERE c.c_nationkey IN (SELECT n_nationkey FROM nation WHERE n_regionkey IN (SELECT r_regionkey FROM region WHERE r_name='ASIA'))"),
+    "alias_neq_joined": (items("customer", ["c_custkey"], joined=True, not_equal={"r_name": "ASIA"}), "SELECT c_custkey FROM customer WHERE c_nationkey NOT IN (SELECT n_nationkey FROM nation n JOIN region r ON n.n_regionkey=r.r_regionkey WHERE r_name='ASIA')"),
+    "alias_eq_or_null_joined": (items("part_sizes", ["p_partkey", "shown"], joined=True, equal={"shown": ["tiny", None]}), "SELECT p_partkey, CASE WHEN p_size <= 10 THEN 'tiny' WHEN p_size <= 30 THEN 'middling' END AS shown FROM part WHERE p_size <= 10 OR p_size > 30"),
+    "alias_two_of_one_target_joined": (items("customer", ["c_custkey"], joined=True, equal={"r_name": ["ASIA", "EUROPE"]}, not_equal={"n_name": ["CHINA", "FRANCE"]}), "SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name IN ('ASIA','EUROPE') AND n_name NOT IN ('CHINA','FRANCE')"),
+    "alias_enrich_page_order": (
+        placed("customer", ["c_custkey"], equal={"r_name": "ASIA"}, limit=40, offset=10, enrich_aliases=True),
+        "SELECT c_custkey, row_number() OVER (ORDER BY c_custkey) AS place FROM (SELECT c_custkey FROM customer JOIN nation ON c_nationkey = n_nationkey JOIN region ON n_regionkey = r_regionkey WHERE r_name='ASIA' ORDER BY c_custkey LIMIT 40 OFFSET 10)",
+    ),
+    "page_order": (placed("orders", ["o_orderkey"], equal={"o_orderstatus": "O"}, limit=50, offset=20), "SELECT o_orderkey, row_number() OVER (ORDER BY o_orderkey) AS place FROM (SELECT o_orderkey FROM orders WHERE o_orderstatus='O' ORDER BY o_orderkey LIMIT 50 OFFSET 20)"),
+    "saved_query": (saved_items("lineitem", layout={"cluster_by": ["l_shipdate"], "bloom": ["l_orderkey"]}, equal={"l_returnflag": "A"}, ranges={"l_shipdate": {"min": 725846400000}}), "SELECT * FROM lineitem WHERE l_returnflag = 'A' AND l_shipdate >= TIMESTAMP '1993-01-01'"),
+    "saved_page": (saved_items("orders", ["o_orderkey"], layout={"cluster_by": ["o_orderdate"]}, equal={"o_orderpriority": URGENT}, limit=30, offset=3), "SELECT o_orderkey FROM orders WHERE o_orderpriority IN ('1-URGENT','2-HIGH') ORDER BY o_orderkey LIMIT 30 OFFSET 3"),
+    "saved_alias_enrich": (
+        lambda spark, sf_dir: stored(spark, sf_dir, "supplier").query(equal={"s_name": "Supplier#000000001"}, enrich_aliases=True).items.select("s_suppkey", F.array_join("s_name", ",").alias("names")),
+        "SELECT s.s_suppkey, a.names FROM supplier s JOIN (SELECT s_nationkey, string_agg(s_name, ',' ORDER BY s_suppkey) AS names FROM supplier GROUP BY 1) a USING (s_nationkey) WHERE s_nationkey IN (SELECT s_nationkey FROM supplier WHERE s_name = 'Supplier#000000001')",
+    ),
+    "saved_totals": (
+        saved_totals("orders_derived", {}, {"equal": {"is_final": True}}, {"equal": {"o_orderdate": 820454400000}}, {"equal": {"o_orderdate": "1996-01-01T00:00:00.000Z"}}, {"equal": {"o_orderdate": ["1996-01-01", 820540800000]}}, {"not_equal": {"is_final": True}}),
+        "SELECT 0::INT AS query, count(*) AS total FROM orders UNION ALL SELECT 1, count(*) FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT 2, count(*) FROM orders WHERE o_orderdate = TIMESTAMP '1996-01-01' UNION ALL SELECT 3, count(*) FROM orders WHERE o_orderdate = TIMESTAMP '1996-01-01' UNION ALL SELECT 4, count(*) FROM orders WHERE o_orderdate = TIMESTAMP '1996-01-02' UNION ALL SELECT 5, count(*) FROM orders WHERE o_orderstatus <> 'F'",
+    ),
+    "bundle_json": (bundled("supplier_plain", False), "SELECT * FROM supplier"),
+    "bundle_binary": (bundled("supplier_plain", True, equal={"s_nationkey": [1, 2, 3]}, limit=40), "SELECT * FROM supplier WHERE s_nationkey IN (1, 2, 3) ORDER BY s_suppkey LIMIT 40"),
+    "describe_fields": (field_table("customer"), "SELECT * FROM (VALUES ('c_custkey','id','number',NULL,''), ('c_nationkey','facet','number',NULL,'eq,in'), ('c_mktsegment','facet','string',NULL,'eq,in'), ('c_acctbal','range','number',NULL,'between,gte,lte'), ('n_name','alias','string','c_nationkey','eq,in'), ('r_name','alias','string','c_nationkey','eq,in')) AS t(name, kind, type, target, ops)"),
+    "infer_types": (field_table("orders_derived"), "SELECT * FROM (VALUES ('o_orderkey','id','number',NULL,''), ('is_final','facet','boolean',NULL,'eq,in'), ('o_orderdate','facet','date',NULL,'eq,in'), ('o_custkey','meta','number',NULL,''), ('o_orderstatus','meta','string',NULL,''), ('o_totalprice','meta','number',NULL,''), ('o_orderpriority','meta','string',NULL,'')) AS t(name, kind, type, target, ops)"),
+    "function_tool": (tool_table, "SELECT 'query_customers' AS tool, * FROM (VALUES ('equal','c_mktsegment,c_nationkey,n_name,r_name'), ('notEqual','c_mktsegment,c_nationkey,n_name,r_name'), ('ranges','c_acctbal'), ('isNull','c_mktsegment,c_nationkey,n_name,r_name'), ('isNotNull','c_mktsegment,c_nationkey,n_name,r_name'), ('limit',''), ('offset',''), ('includeFacetCounts',''), ('enrichAliases','')) AS t(argument, fields)"),
+    "applied_and_snapshot": (applied_table, """SELECT '{"equal": {"o_orderstatus": "O"}, "isNull": ["o_custkey"]}' AS applied, 'orders' AS dataset, 0::BIGINT AS total, 0::BIGINT AS items, 0::BIGINT AS counts"""),
+    "range_text_numbers": (text_ranges(number={"min": 100, "max": 900.5}), "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS number, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_custkey >= 100 AND o_custkey <= 900"),
+    "range_text_dates": (text_ranges(day={"min": 820454400000, "max": 851990400000}), "SELECT o_orderkey, CAST(o_custkey AS VARCHAR) AS number, strftime(o_orderdate, '%Y-%m-%d') AS day FROM orders WHERE o_orderdate >= TIMESTAMP '1996-01-01' AND o_orderdate < TIMESTAMP '1997-01-01'"),
+    "released_dataset": (released, "SELECT true AS disposed, true AS refused, 3::BIGINT AS fields"),
+    "windowed_facet_counts": (windowed, "SELECT CAST(ts AS DATE) AS day, event_type AS value, count(*) AS count FROM events WHERE value >= 10 GROUP BY 1, 2"),
     "alias_values_for_id": (names_of_id, "SELECT s_name AS value FROM supplier WHERE s_nationkey = 15"),
 }
 

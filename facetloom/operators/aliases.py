@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import key_equals, key_text
-from ..plans.compiler import MAX_LITERALS, column
+from ..plans.compiler import MAX_LITERALS, column, free_name
 from ..plans.manifest import Field
 
 log = logging.getLogger(__name__)
@@ -40,11 +40,12 @@ def pair_counts(df: DataFrame, alias: Field) -> tuple[int, int, int]:
     return pairs, no_alias, no_target
 
 
-def resolve(lookup: DataFrame, keys: list[str]) -> tuple[list, list[str], DataFrame | None]:
-    """Ids of alias values, the values without one, and the ids as a table if they are too many for literals."""
+def resolve(lookup: DataFrame, keys: list[str], most: int | None = MAX_LITERALS) -> tuple[list, list[str], DataFrame | None]:
+    """Ids of alias values, the values without one, and the ids as a table if they are more than ``most``."""
     found = lookup.filter(column("alias_value").isin(keys)) if keys else lookup.limit(0)
-    rows = found.select("alias_value", "canonical_id").limit(MAX_LITERALS + 1).collect()
-    if len(rows) > MAX_LITERALS:
+    pairs = found.select("alias_value", "canonical_id")
+    rows = (pairs if most is None else pairs.limit(most + 1)).collect()
+    if most is not None and len(rows) > most:
         mapped = {r[0] for r in found.select("alias_value").distinct().collect()}  # at most the values asked for
         return [], [k for k in keys if k not in mapped], found.select("canonical_id").distinct()
     mapped = {r["alias_value"] for r in rows}
@@ -74,9 +75,10 @@ def enrich(page: DataFrame, aliases: list[Field], lookups: dict[str, DataFrame])
             out = enrich_arrays(out, alias, lookups[alias.name], own)
             continue
         wanted = page.select(column(alias.target).alias("canonical_id")).distinct()
-        names = named(lookups[alias.name].join(wanted, "canonical_id", "left_semi")).withColumnsRenamed({"canonical_id": "__id", "names": "__names"})
-        joined = out.join(names, column(alias.target) == F.col("__id"), "left")
-        out = joined.withColumn(alias.name, F.coalesce("__names", own)).drop("__id", "__names")
+        key, found = free_name(out.columns, "__id"), free_name(out.columns, "__names")
+        names = named(lookups[alias.name].join(wanted, "canonical_id", "left_semi")).withColumnsRenamed({"canonical_id": key, "names": found})
+        joined = out.join(names, column(alias.target) == column(key), "left")
+        out = joined.withColumn(alias.name, F.coalesce(column(found), own)).drop(key, found)
     return out
 
 
@@ -87,8 +89,10 @@ def named(lookup: DataFrame) -> DataFrame:
 
 
 def enrich_arrays(page: DataFrame, alias: Field, lookup: DataFrame, own: Column) -> DataFrame:
-    keyed = page.withColumn("__row", F.monotonically_increasing_id())
-    single = keyed.select("__row", F.posexplode(column(alias.target)).alias("__pos", "canonical_id"))
-    found = single.join(named(lookup), "canonical_id").groupBy("__row").agg(F.array_sort(F.collect_list(F.struct("__pos", "names"))).alias("__found"))
-    names = F.array_distinct(F.flatten(F.transform("__found", lambda p: p["names"])))
-    return keyed.join(found, "__row", "left").withColumn(alias.name, F.coalesce(names, own)).drop("__row", "__found")
+    # Rows with the same ids get the same names, so the distinct arrays are looked up.
+    key, got = free_name(page.columns, "__ids"), free_name(page.columns, "__names")
+    single = page.select(column(alias.target).alias("ids")).distinct().select("ids", F.posexplode("ids").alias("pos", "canonical_id"))
+    found = single.join(named(lookup), "canonical_id").groupBy("ids").agg(F.array_sort(F.collect_list(F.struct("pos", "names"))).alias("found"))
+    names = F.array_distinct(F.flatten(F.transform("found", lambda p: p["names"])))
+    found = found.select(F.col("ids").alias(key), names.alias(got))
+    return page.join(found, column(alias.target) == column(key), "left").withColumn(alias.name, F.coalesce(column(got), own)).drop(key, got)

@@ -7,12 +7,13 @@ from collections.abc import Mapping, Sequence
 from dataclasses import dataclass, field
 from functools import cached_property
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from ..functions.keys import canonical_text
-from ..plans.compiler import Compiler, Plan, column
+from ..plans.compiler import MAX_LITERALS, Compiler, Plan, column, free_name
 from ..plans.config import manifest_for
 from ..plans.manifest import Manifest
 from ..plans.query import FacetQuery, normalize
@@ -37,8 +38,8 @@ class FacetResult:
 
     @cached_property
     def total(self) -> int:
-        """Matches before the page is cut; taken from the facet counts if those were asked for."""
-        return self._counted[0] if self.facets is not None else self.matches.count()
+        """Matches before the page is cut; free once the facet counts have been collected."""
+        return self._counted[0] if "_counted" in self.__dict__ else self.matches.count()
 
     @cached_property
     def _counted(self) -> tuple[int, dict[str, dict[str, int]]]:
@@ -54,15 +55,23 @@ class FacetDataset:
     """Filters, pages, counts and describes an immutable table.
 
     ``order_by`` names the columns that give rows their order; by default the id
-    field, else the order of the scan.  With ``compat`` the odd corners of null lists
+    field, else the order of the scan: file and place in it for Parquet files, else the
+    order in which partitions come.  Pages come in that order, enriched or not; all
+    matches at once come as the scan and its joins give them.  With ``compat`` the odd corners of null lists
     and repeated targets follow the order in which filters apply (see README).
     """
 
     def __init__(self, df: DataFrame, manifest: Manifest, lookups: dict[str, DataFrame], order_by: Sequence[str] = (), compat: bool = False):
         self._df, self._manifest, self._lookups, self.compat = df, manifest, lookups, compat
         self._order_by = list(order_by)
+        self._row_id = free_name(df.columns, ROW_ID)
         self._disposed = False
 
+    #: A column that orders rows and does not show in results.
+    hidden: str | None = None
+    #: Ids of an alias that become literals; more are joined.
+    max_literals: int = MAX_LITERALS
+
     @staticmethod
     def create(df: DataFrame, config: Mapping, order_by: str | Sequence[str] | None = None, compat: bool = False, check: bool = False) -> FacetDataset:
         """Build from a table and a configuration.  ``check`` scans the alias columns for missing pairs and warns."""
@@ -93,10 +102,17 @@ class FacetDataset:
 
     def _ordered(self, df: DataFrame) -> DataFrame:
         """``df`` with the columns that order it; scan order needs a number for each row."""
-        return df if self._order_by else df.withColumn(ROW_ID, F.monotonically_increasing_id())
+        if self._order_by:
+            return df
+        if "_metadata" not in df.columns:
+            try:  # a place in a file does not depend on how the scan is split
+                return df.select("*", F.struct("_metadata.file_path", "_metadata.row_index").alias(self._row_id))
+            except AnalysisException:
+                pass
+        return df.withColumn(self._row_id, F.monotonically_increasing_id())
 
     def _order(self, df: DataFrame) -> list[Column]:
-        return [column(c) for c in self._order_by or [ROW_ID]]
+        return [column(c) for c in self._order_by or [self._row_id]]
 
     def _open(self) -> None:
         if self._disposed:
@@ -126,7 +142,8 @@ class FacetDataset:
     def _resolve(self, alias: str, keys: list[str]):
         if alias not in self._lookups:
             raise ValueError(f"Alias field '{alias}' has no lookup")
-        return al.resolve(self._lookups[alias], keys)
+        # The order in which filters apply (compat) is that of one predicate, so it takes any number of literals.
+        return al.resolve(self._lookups[alias], keys, None if self.compat else self.max_literals)
 
     def query(self, query: FacetQuery | Mapping | None = None, **parts) -> FacetResult:
         """Rows that meet every filter, one page of them, and on demand their number and facet counts."""
@@ -137,8 +154,13 @@ class FacetDataset:
         if q.select is not None:
             page = page.select(*[column(c) for c in dict.fromkeys(q.select) if c in page.columns])
         chosen = self._enrichable(q.enrich_aliases)
-        if chosen:
+        if chosen and (q.limit is not None or max(0, q.offset or 0)):
+            number = free_name([*page.columns, *(a.name for a in chosen)], "__number")
+            page = al.enrich(page.withColumn(number, F.monotonically_increasing_id()), chosen, self._lookups).orderBy(number).drop(number)
+        elif chosen:
             page = al.enrich(page, chosen, self._lookups)
+        if self.hidden:
+            page = page.drop(self.hidden)
         counted = [f for f in self._manifest.facets if f in self._df.columns]
         wants = q.include_facet_counts and not (self.compat and plan.empty)
         facets = fc.facet_counts(matches, counted) if wants else None
@@ -150,7 +172,7 @@ class FacetDataset:
         if self._order_by:
             rows = plan.apply(self._df).orderBy(*self._order(self._df))
         else:  # rows are numbered before the filter, which then stays above the scan
-            rows = plan.apply(self._ordered(self._df)).orderBy(ROW_ID)
+            rows = plan.apply(self._ordered(self._df)).orderBy(self._row_id)
         if q.offset:
             rows = rows.offset(max(0, int(q.offset)))
         if q.limit is not None:
@@ -212,7 +234,11 @@ class FacetDataset:
         return self._disposed
 
     def persist(self) -> FacetDataset:
+        """Cache the rows, with their numbers where scan order counts."""
         self._open()
+        if not self._order_by:
+            self._df, self.hidden = self._ordered(self._df), self._row_id
+            self._order_by = [self._row_id]
         self._df.persist()
         return self
 

@@ -42,6 +42,10 @@ def occurrences(name: str, kind: T.DataType) -> Column:
     return F.array(held(column(name), kind, F.lit(None).cast("string")))
 
 
+def no_occurrences() -> Column:
+    return F.array().cast("array<struct<field:string,s:string,d:double,l:bigint>>")
+
+
 def counted(pairs: DataFrame, kinds: dict[str, T.DataType], *by: str) -> DataFrame:
     """(by, field, value, count) of occurrences, in one partial and final aggregate."""
     some = F.col("field").isNull() | F.coalesce(F.col("s").isNotNull() | F.col("d").isNotNull() | F.col("l").isNotNull(), F.lit(False))
@@ -57,7 +61,7 @@ def counted(pairs: DataFrame, kinds: dict[str, T.DataType], *by: str) -> DataFra
 def exploded_counts(df: DataFrame, facets: list[str]) -> DataFrame:
     """(field, value, count) by exploding rows into values: for arrays, and for streams."""
     kinds = {f.name: f.dataType for f in df.schema.fields if f.name in facets}
-    parts = [occurrences(f, kinds[f]) for f in facets]
+    parts = [occurrences(f, kinds[f]) for f in facets] or [no_occurrences()]
     return counted(df.select(F.inline(F.concat(*parts) if len(parts) > 1 else parts[0])), kinds)
 
 

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import logging
-from collections.abc import Callable
+from collections.abc import Callable, Iterable
 from dataclasses import dataclass
 from functools import reduce
 
@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import canonical_text, in_range, key_equals
+from ..functions.keys import TIME_TYPES, canonical_text, in_range, key_equals, key_text
 from .manifest import Manifest
 from .query import NormalQuery
 
@@ -28,18 +28,53 @@ class Plan:
 
     empty: bool = False
     predicate: Column | None = None
-    #: (target, ids, how) for aliases with too many ids for literals.
-    joins: tuple[tuple[str, DataFrame, str], ...] = ()
+    #: (target, ids, whether they are wanted, field whose nulls are wanted too) for aliases with too many ids for literals.
+    joins: tuple[tuple[str, DataFrame, bool, str | None], ...] = ()
 
     def apply(self, df: DataFrame) -> DataFrame:
         if self.empty:
             return df.limit(0)
         out = df if self.predicate is None else df.where(self.predicate)
-        for target, ids, how in self.joins:
-            out = out.join(ids.withColumnRenamed(ids.columns[0], target), target, how).select(df.columns)
+        for target, ids, wanted, or_null in self.joins:
+            out = restricted(out, target, ids, wanted, or_null)
         return out
 
 
+def free_name(taken: Iterable[str], base: str) -> str:
+    """``base``, with underscores in front until no column has that name."""
+    lower = {c.lower() for c in taken}
+    while base.lower() in lower:
+        base = "_" + base
+    return base
+
+
+def same_value(kind: T.DataType, value: Column) -> Column:
+    """What is equal for equal values: times count by the millisecond."""
+    return key_text(value, kind) if isinstance(kind, TIME_TYPES) else value
+
+
+def restricted(df: DataFrame, target: str, ids: DataFrame, wanted: bool, or_null: str | None) -> DataFrame:
+    """The rows whose target (any element, for arrays) is among ``ids``, or is not, by joins; all columns stay."""
+    key, marker = free_name(df.columns, "__key"), free_name(df.columns, "__in")
+    kind = df.schema[target].dataType
+    inner = kind.elementType if isinstance(kind, T.ArrayType) else kind
+    held = ids.select(same_value(inner, F.col(ids.columns[0])).alias(key)).distinct()
+    if isinstance(kind, T.ArrayType):
+        # Few arrays are distinct, so those that have such an element are found first and then joined whole.
+        arrays = df.select(column(target).alias("a")).distinct()
+        each = arrays.select("a", F.explode("a").alias("e")).select("a", same_value(inner, F.col("e")).alias(key))
+        held = each.join(held, key, "left_semi").select(F.col("a").alias(key)).distinct()
+        test = column(target) == F.col(key)
+    else:
+        test = same_value(kind, column(target)) == F.col(key)
+    if not wanted:
+        return df.join(held, test, "left_anti")
+    if or_null is None:
+        return df.join(held, test, "left_semi")
+    found = df.join(held.withColumn(marker, F.lit(True)), test, "left")
+    return found.where(F.col(marker).isNotNull() | column(or_null).isNull()).select(*[column(c) for c in df.columns])
+
+
 #: ids of the values of an alias field: (alias, values) to (ids, values without a mapping, table of ids if there are too many)
 Resolver = Callable[[str, list[str]], tuple[list, list[str], DataFrame | None]]
 
@@ -72,8 +107,8 @@ class Compiler:
             return NEVER
         if any(name not in self.manifest.ranges for name in q.ranges):
             return NEVER
-        joins: list[tuple[str, DataFrame, str]] = []
-        equal = self.constraints(q.equal, "equal", joins)
+        joins: list[tuple[str, DataFrame, bool, str | None]] = []
+        equal = self.constraints(q.equal, "equal", joins, q.or_null)
         tests: list[Column] = []
         if self.compat:
             found = [self.equals(f, values) for f, values, _ in self.last_wins(equal)]
@@ -114,7 +149,7 @@ class Compiler:
             return None
         return key_equals(self.col(name), map(canonical_text, values), self.kind(name))
 
-    def constraints(self, filters: dict[str, list], operator: str, joins: list) -> list[tuple[str, list, str]]:
+    def constraints(self, filters: dict[str, list], operator: str, joins: list, or_null: Iterable[str] = ()) -> list[tuple[str, list, str]]:
         """(field, values, field asked for), with aliases resolved to their targets."""
         out = []
         for name, values in filters.items():
@@ -126,8 +161,12 @@ class Compiler:
             if unmapped:
                 more = f", +{len(unmapped) - PREVIEW} more" if len(unmapped) > PREVIEW else ""
                 log.warning("No mapping found for %s='%s'%s in %s; dropped", name, ", ".join(unmapped[:PREVIEW]), more, operator)
-            if table is not None and self.manifest.get(f.target).kind == "facet":
-                joins.append((f.target, table, "left_semi" if operator == "equal" else "left_anti"))
+            target = self.manifest.get(f.target)
+            if table is not None and operator == "equal" and (target.kind != "facet" or f.target not in self.kinds):
+                out.append((f.target, [], name))  # only facets are looked up by value
+            elif table is not None:
+                if f.target in self.kinds:
+                    joins.append((f.target, table, operator == "equal", name if name in or_null and name in self.kinds else None))
             elif ids or operator == "equal":
                 out.append((f.target, ids, name))
         return out

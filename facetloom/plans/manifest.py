@@ -78,17 +78,17 @@ class Manifest:
             if f.kind != "alias":
                 continue
             if not f.target:
-                raise ValueError(f'Alias field "{f.name}" has no target')
+                raise ValueError(f'"{f.name}" is an alias of nothing: name its target')
             target = self.get(f.target)
             if target is None:
-                raise ValueError(f'Alias field "{f.name}" targets non-existent field "{f.target}"')
+                raise ValueError(f'"{f.name}" is an alias of "{f.target}", but no field is called that')
             if target.kind not in ("facet", "range"):
-                raise ValueError(f'Alias field "{f.name}" must target a facet or range, not "{target.kind}"')
+                raise ValueError(f'"{f.name}" is an alias of "{f.target}", which is of kind {target.kind}; facets and ranges can have aliases')
         for kind, names in (self.capabilities or {}).items():
             one = kind.rstrip("s") if kind != "aliases" else "alias"
             for name in names:
                 if name not in seen:
-                    raise ValueError(f'Capability references non-existent {one} field "{name}"')
+                    raise ValueError(f'Capability {kind} lists "{name}", but no field is called that')
                 if self.get(name).kind != one:
                     raise ValueError(f'Capability {kind} lists "{name}", which is no {one} field')
             for name in self.of_kind(one):

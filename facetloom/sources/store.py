@@ -9,10 +9,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.keys import canonical_text
+from ..functions.keys import DAY_MS, TIME_TYPES, canonical_text, key_ms, ms_text
 from ..operators.dataset import ROW_ID, FacetDataset
 from ..operators.facets import facet_counts, split_facets
-from ..plans.compiler import column
+from ..plans.compiler import column, free_name
 from ..plans.manifest import Manifest
 from ..plans.query import FacetQuery, NormalQuery, normalize
 
@@ -30,9 +30,10 @@ def save(dataset: FacetDataset, path: str, cluster_by: Sequence[str] = (), bloom
     ``totals`` also counts the values of scalar facets, which later answers totals of
     one such facet without a scan.
     """
-    rows, order = dataset.df, dataset.order_by
+    rows, order, hidden = dataset.df, dataset.order_by, dataset.hidden
     if not order:
-        rows, order = rows.withColumn(ROW_ID, F.monotonically_increasing_id()), [ROW_ID]
+        hidden = free_name(rows.columns, ROW_ID)
+        rows, order = rows.withColumn(hidden, F.monotonically_increasing_id()), [hidden]
     if cluster_by:
         columns = [column(c) for c in cluster_by]
         rows = (rows.repartitionByRange(files, *columns) if files else rows.repartitionByRange(*columns)).sortWithinPartitions(*columns)
@@ -49,7 +50,7 @@ def save(dataset: FacetDataset, path: str, cluster_by: Sequence[str] = (), bloom
         (scalars, _), stored = split_facets(dataset.df, dataset.describe().facets), spark.read.parquet(f"{path}/items")
         flat = [f for some in scalars for f in some]
         facet_counts(stored, flat, with_total=True).write.mode(mode).parquet(f"{path}/totals")
-    held = json.dumps({"manifest": dataset.describe().to_dict(), "orderBy": order, "compat": dataset.compat, "totals": totals}, ensure_ascii=False)
+    held = json.dumps({"manifest": dataset.describe().to_dict(), "orderBy": order, "hidden": hidden, "compat": dataset.compat, "totals": totals}, ensure_ascii=False)
     spark.createDataFrame([(held,)], "value string").coalesce(1).write.mode(mode).text(f"{path}/manifest")
 
 
@@ -59,21 +60,27 @@ def load(spark: SparkSession, path: str) -> FacetDataset:
     manifest = Manifest.from_dict(held["manifest"])
     lookups: dict[str, DataFrame] = {a: spark.read.parquet(f"{path}/lookups/{a}") for a in manifest.aliases}
     out = Saved(spark.read.parquet(f"{path}/items"), manifest, lookups, held["orderBy"], held["compat"])
+    out.hidden = held.get("hidden")
     out.counts = spark.read.parquet(f"{path}/totals") if held.get("totals") else None
     return out
 
 
+def stored_key(key: str, kind: T.DataType) -> str | None:
+    """The key under which a value is counted: times may be asked for in more than one spelling."""
+    if not isinstance(kind, (*TIME_TYPES, T.DateType)):
+        return key
+    ms = key_ms(key)
+    if ms is None or (isinstance(kind, T.DateType) and ms % DAY_MS):
+        return None
+    return ms_text(ms)
+
+
 class Saved(FacetDataset):
-    """A dataset read back; its row numbers are a stored column that results do not show."""
+    """A dataset read back; its row numbers are a stored column."""
 
     counts: DataFrame | None = None
     _held: dict | None = None
 
-    def query(self, query=None, **parts):
-        result = super().query(query, **parts)
-        result.items = result.items.drop(ROW_ID)
-        return result
-
     def total(self, query=None, **parts) -> int:
         known = self.stored_total(normalize(FacetQuery.of(query, **parts)))
         return super().total(query, **parts) if known is None else known
@@ -87,7 +94,7 @@ class Saved(FacetDataset):
             kind = self.df.schema[name].dataType if name in self.df.columns else None
             if name not in self._manifest.facets or kind is None or isinstance(kind, T.ArrayType):
                 return None
-            return self._stored(name, {canonical_text(v) for v in values})
+            return self._stored(name, {stored_key(canonical_text(v), kind) for v in values} - {None})
         return self._stored(None, {""})
 
     def _stored(self, field: str | None, keys: set[str]) -> int:

@@ -7,7 +7,7 @@ from collections.abc import Mapping
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..operators.facets import counted, exploded_counts, occurrences
+from ..operators.facets import counted, exploded_counts, no_occurrences, occurrences
 from ..plans.compiler import Compiler, column
 from ..plans.manifest import Manifest
 from ..plans.query import FacetQuery, normalize
@@ -24,7 +24,7 @@ def matching(stream: DataFrame, manifest: Manifest, query: FacetQuery | Mapping
 
 
 def stream_facet_counts(stream: DataFrame, manifest: Manifest, query: FacetQuery | Mapping | None = None, **parts) -> DataFrame:
-    """(field, value, count) so far; for output modes update and complete."""
+    """(field, value, count) so far; for output modes update and complete.  Without facets there are no rows."""
     return exploded_counts(matching(stream, manifest, query, **parts), [f for f in manifest.facets if f in stream.columns])
 
 
@@ -33,6 +33,6 @@ def windowed_facet_counts(stream: DataFrame, manifest: Manifest, time: str, widt
     rows = matching(stream, manifest, query, **parts).withWatermark(time, late)
     facets = [f for f in manifest.facets if f in stream.columns]
     kinds = {f.name: f.dataType for f in stream.schema.fields if f.name in facets}
-    each = [occurrences(f, kinds[f]) for f in facets]
+    each = [occurrences(f, kinds[f]) for f in facets] or [no_occurrences()]
     timed = rows.select(F.window(column(time), width).alias("window"), *[column(f) for f in facets])
     return counted(timed.select("window", F.inline(F.concat(*each) if len(each) > 1 else each[0])), kinds, "window")

@@ -1,5 +1,6 @@
 import json
 import logging
+from datetime import UTC, date, datetime
 
 import pytest
 from pyspark.sql import functions as F
@@ -220,10 +221,76 @@ def test_enriching_arrays(spark, ds):
     assert got == {1: ["North", "Upper"], 2: None, 3: None}
 
 
-def test_many_ids_are_joined(spark, monkeypatch):
-    monkeypatch.setattr("facetloom.operators.aliases.MAX_LITERALS", 3)
+def test_joins_find_what_literals_find(spark):
+    """Null alternatives, two aliases of one target, times, and the order that compat keeps."""
+    rows = [(i, i % 7 if i % 5 else None, f"n{i % 7 % 3}" if i % 4 else None, f"m{i % 7 % 2}", datetime(2025, 1, 1 + i % 3, tzinfo=UTC) if i % 6 else None) for i in range(60)]
+    df = spark.createDataFrame(rows, "id long, k long, name string, mood string, t timestamp")
+    config = {"dataset_id": "x", "facets": ["k", "t"], "aliases": {"name": "k", "mood": "k"}}
+    day = {"dataset_id": "x", "facets": ["t"], "aliases": {"name": "t"}}
+    queries = [
+        {"equal": {"name": "n1"}}, {"equal": {"name": ["n1", None]}}, {"equal": {"name": [None, "n2", "n0"], "mood": "m1"}}, {"equal": {"name": ["n1", "nope"]}},
+        {"not_equal": {"name": "n1"}}, {"not_equal": {"name": ["n1", None]}}, {"equal": {"mood": "m0"}, "not_equal": {"name": "n2"}}, {"equal": {"name": "nope"}}, {"equal": {"name": ["nope", None]}},
+    ]
+    for made in (config, day):
+        for compat in (False, True):
+            plain, joined = (FacetDataset.create(df, made, compat=compat) for _ in range(2))
+            joined.max_literals = 0
+            for q in queries:
+                if made is config or "mood" not in str(q):
+                    ids = [[r["id"] for r in d.query(**q, limit=100).items.collect()] for d in (plain, joined)]
+                    assert ids[0] == ids[1] and joined.total(**q) == len(ids[0]), (made, compat, q)
+
+
+def test_enriched_pages_keep_their_order(spark):
+    before = {k: spark.conf.get(k) for k in ("spark.sql.autoBroadcastJoinThreshold", "spark.sql.adaptive.enabled")}
+    df = spark.range(200).select("id", (F.col("id") % 17).alias("k"), F.concat(F.lit("n"), F.col("id") % 17).alias("name"), F.lit(1).alias("__id"), F.lit(2).alias("__number"), F.lit(3).alias("__row_id"))
+    try:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+        spark.conf.set("spark.sql.adaptive.enabled", "false")
+        ds = FacetDataset.create(df, {"dataset_id": "x", "facets": ["k"], "aliases": {"name": "k"}})
+        rows = ds.query(limit=60, offset=5, enrich_aliases=True).items.collect()
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert [r["id"] for r in rows] == list(range(5, 65))
+    assert all(r["name"] == [f"n{r['id'] % 17}"] and (r["__id"], r["__number"], r["__row_id"]) == (1, 2, 3) for r in rows)
+
+
+def test_scan_order_does_not_follow_the_split(spark, tmp_path):
+    """Successive pages of a table without ids, with another split for each: no row comes twice."""
+    spark.range(400).select(F.col("id").alias("n"), F.lit("x").alias("s")).repartition(5).write.parquet(str(tmp_path / "t"))
+    key = "spark.sql.files.maxPartitionBytes"
+    before, seen = spark.conf.get(key), []
+    try:
+        for at, size in enumerate(("128m", "600", "1500", "900")):
+            spark.conf.set(key, size)
+            ds = FacetDataset.create(spark.read.parquet(str(tmp_path / "t")), {"dataset_id": "x", "facets": ["s"], "ranges": ["n"]})
+            seen += [r["n"] for r in ds.query(limit=100, offset=100 * at).items.collect()]
+    finally:
+        spark.conf.set(key, before)
+    assert sorted(seen) == list(range(400))
+    held = FacetDataset.create(spark.read.parquet(str(tmp_path / "t")), {"dataset_id": "x", "facets": ["s"]}).persist()
+    assert held.query(limit=3).items.columns == ["n", "s"] == held.query().items.columns
+    assert [r["n"] for r in held.query(limit=100).items.collect()] == seen[:100]
+    held.dispose()
+
+
+def test_stored_totals_take_every_spelling(spark, tmp_path):
+    rows = [(i, datetime(2025, 1, 1 + i % 3, 12 * (i % 2), tzinfo=UTC), date(2025, 1, 1 + i % 3), i % 4 / 2) for i in range(24)]
+    ds = FacetDataset.create(spark.createDataFrame(rows, "id long, t timestamp, d date, x double"), {"dataset_id": "x", "facets": ["t", "d", "x"]})
+    save(ds, str(tmp_path / "s"))
+    back = load(spark, str(tmp_path / "s"))
+    first = 1735689600000
+    for f, v in [("t", first), ("t", str(first)), ("t", datetime(2025, 1, 1, tzinfo=UTC)), ("t", date(2025, 1, 1)), ("t", [first, "2025-01-01T00:00:00.000Z"]), ("t", "2025-01-01"), ("d", first), ("d", first + 1), ("d", date(2025, 1, 2)), ("d", "2025-01-01T00:00:00.000Z"), ("x", 0.5), ("x", "0.50"), ("x", 1), ("x", "1"), ("x", [])]:
+        assert back.total(equal={f: v}) == ds.query(equal={f: v}).matches.count() == back.query(equal={f: v}).total, (f, v)
+    assert back.total(equal={"t": first}) == 4
+
+
+def test_many_ids_are_joined(spark):
     df = spark.range(20).select("id", (F.col("id") % 10).alias("k"), F.when(F.col("id") % 10 < 8, "low").otherwise("high").alias("name"))
     ds = FacetDataset.create(df, {"dataset_id": "x", "facets": ["k"], "aliases": {"name": "k"}})
+    ds.max_literals = 3
+    assert ds.plan(equal={"name": "low"}).joins and not ds.plan(equal={"name": "high"}).joins
     assert ds.total(equal={"name": "low"}) == 16
     assert ds.total(not_equal={"name": "low"}) == 4
     assert ds.total(equal={"name": "high"}) == 4
