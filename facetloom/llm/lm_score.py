@@ -50,7 +50,7 @@ LEARNER_WORDS, MOST_LEARNERS = 1 << 20, 8192
 #: Places scored at once, and weights in one part of a sum.
 AT_ONCE, PART = 1 << 14, 1 << 11
 #: Words that tasks hold with their shares; rarer ones are looked up in a join, which gives the same.
-HELD = 1 << 16
+HELD = 1 << 18
 #: Log-shares are added up as whole numbers, so that their order does not matter.
 SCALE = 1e9
 
