@@ -275,9 +275,9 @@ class Cover:
         for i, h in enumerate(own):
             np.add.at(self.counts[:, i], self.lut[h], 1)
         weights = [x.weights if x.weights is not None else np.ones(len(x.words)) for x in items]
-        self.weights = np.zeros_like(self.counts)
+        self.weights = np.zeros((len(items), len(buckets)), np.float32)
         for i, (h, w) in enumerate(zip(own, weights, strict=True)):
-            np.add.at(self.weights[:, i], self.lut[h], w)
+            np.add.at(self.weights[i], self.lut[h], w)
         self.answers = [np.unique(self.lut[h]) for h in answers]
         sizes = np.array([len(x.words) for x in items])
         # Half a word less, so that no rounding excludes a share that ``shared`` accepts.
@@ -310,14 +310,14 @@ class Cover:
             has[row[a:b] - at, column[a:b]] = 1
             shared = has @ self.counts
             rows, found = np.nonzero(shared >= self.paraphrase)
-            weigh = np.unique(rows[shared[rows, found] >= self.loose[found]])
-            weight = np.zeros((len(has), 0), np.float32)
-            if len(weigh):
-                weight = np.zeros(shared.shape, np.float32)
-                weight[weigh] = has[weigh] @ self.weights
-            for r, i in zip(rows.tolist(), found.tolist(), strict=True):
-                enough = shared[r, i] >= self.loose[i] and weight[r, i] >= (self.light if shared[r, i] >= self.leak[i] else self.heavy)[i]
-                if enough or (len(self.answers[i]) and has[r, self.answers[i]].all()):
+            enough = shared[rows, found] >= self.loose[found]
+            for lo in range(0, len(rows), 1024):  # weights of the pairs that have words enough
+                some = np.flatnonzero(enough[lo : lo + 1024]) + lo
+                r, i = rows[some], found[some]
+                least = np.where(shared[r, i] >= self.leak[i], self.light[i], self.heavy[i])
+                enough[some] = np.einsum("ij,ij->i", has[r], self.weights[i]) >= least
+            for r, i, told in zip(rows.tolist(), found.tolist(), enough.tolist(), strict=True):
+                if told or (len(self.answers[i]) and has[r, self.answers[i]].all()):
                     d = int(np.searchsorted(first, at + r, "right")) - 1
                     start = (at + r - int(first[d])) * self.step
                     for k in range(start, min(start + 2 * self.step, int(n_blocks[d]))):
