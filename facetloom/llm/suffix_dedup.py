@@ -333,6 +333,12 @@ class Transform:
         self.symbols = pair[self.suffixes]
         self.leads = self.row_of[back[self.suffixes]]
 
+    def again(self, base: int) -> Transform:
+        """The transform of the same fragments at another place."""
+        out = object.__new__(Transform)
+        out.__dict__.update(self.__dict__, base=base)
+        return out
+
 
 def ranked(key: np.ndarray) -> np.ndarray:
     order = np.argsort(key)
@@ -376,16 +382,23 @@ class Replies(NamedTuple):
     ids: np.ndarray
 
 
-def smallest_ids(pieces: list[bytes], ids: np.ndarray, length: int, symbols: int = TRANSFORM_SYMBOLS) -> Replies:
-    """For each start of each fragment, the smallest id of a fragment with the same string of ``length`` bytes."""
-    parts, some, held, base = [], [], 0, 0
-    for p in pieces:
-        if some and held + len(p) + 1 > min(symbols, TRANSFORM_SYMBOLS):
+def smallest_ids(pieces: list[bytes], ids: np.ndarray, length: int, symbols: int = TRANSFORM_SYMBOLS, twice: int = 0) -> Replies:
+    """For each start of each fragment, the smallest id of a fragment with the same string of ``length`` bytes.
+
+    The first ``twice`` fragments come again at the end, with the last ``twice`` ids; equal shards have equal transforms.
+    """
+    parts, some, held, base, n_twice = [], [], 0, 0, 0
+    for at, p in enumerate(pieces):
+        if some and (at == twice or held + len(p) + 1 > min(symbols, TRANSFORM_SYMBOLS)):
             parts.append(Transform(some, base))
             base, some, held = base + held, [], 0
+        n_twice = len(parts) if at == twice else n_twice
         some.append(p)
         held += len(p) + 1
     parts.append(Transform(some, base))
+    n_twice = len(parts) if twice == len(pieces) else n_twice
+    parts += [p.again(base + held + p.base) for p in parts[:n_twice]]
+    pieces = pieces + pieces[:twice]
     lens = np.fromiter(map(len, pieces), np.int64, len(pieces))
     starts = lens - length + 1
     total = np.cumsum(starts) - starts
@@ -431,10 +444,11 @@ def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) ->
             np.minimum.at(least, where, ids)
             np.add.at(holders, where, 1 + more)
         # A second copy stands for those that do not have the smallest id; the merge tells them of it.
-        others = np.flatnonzero(holders > 1)
-        stands = np.arange(len(pieces))
-        stands[others] = len(pieces) + np.arange(len(others))
-        merged = smallest_ids(pieces + [pieces[i] for i in others.tolist()], np.concatenate([least, np.full(len(others), NO_ID, np.int64)]), length)
+        order = np.argsort(holders <= 1, kind="stable")  # those that come twice are first
+        twice = int((holders > 1).sum())
+        stands = np.empty(len(pieces), np.int64)
+        stands[order] = np.r_[len(pieces) : len(pieces) + twice, twice : len(pieces)]
+        merged = smallest_ids([pieces[i] for i in order.tolist()], np.concatenate([least[order], np.full(twice, NO_ID, np.int64)]), length, twice=twice)
         first, n_runs = merged.first[:-1], np.diff(merged.first)
         least = merged.ids[first]  # that of a fragment's first start, and of all if it has one run
         data = []

@@ -120,7 +120,13 @@ def test_merged_intervals(symbols):
     for p, i in zip(pieces, ids.tolist(), strict=True):
         for at in range(len(p) - 7):
             least[p[at : at + 8]] = min(i, least.get(p[at : at + 8], i))
-    found = s.smallest_ids(pieces, ids, 8, symbols)
+    for twice in (0, 1, 17, len(pieces)):
+        again = np.concatenate([ids, ids[:twice]])
+        check_intervals(pieces + pieces[:twice], s.smallest_ids(pieces, again, 8, symbols, twice), least)
+
+
+def check_intervals(pieces, found, least):
+    assert len(found.first) == len(pieces) + 1
     for k, p in enumerate(pieces):
         runs = slice(found.first[k], found.first[k + 1])
         assert np.repeat(found.ids[runs], found.sizes[runs]).tolist() == [least[p[at : at + 8]] for at in range(len(p) - 7)]
