@@ -50,6 +50,7 @@ MARK = re.compile(r"<!--(?:-?>|.*?(?:--!?>|\Z))|<[!?][^>]*>?|<(/?)([a-zA-Z][^\s/
 VALUE = re.compile(r">|=\s*(?:([\"'])|([^\s>]*))")
 ATTRIBUTE = re.compile(r"(?<![\w-])(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 SPACE = re.compile(r"\s+")
+RAW_ENDS = {t: re.compile(rf"</{t}(?=[\s/>])[^>]*>?", re.I) for t in RAW_TAGS}
 
 
 class Element:
@@ -179,7 +180,7 @@ def blocks(page: str | None) -> list[Block]:
             if outer and tag in ENDS.get(stack[outer[-1]].tag, ()):
                 cut_to(outer[-1])
         if tag in RAW_TAGS:
-            close = raw_end(tag).search(page, at)
+            close = RAW_ENDS[tag].search(page, at)
             if not close:
                 break
             at = close.end()
@@ -193,11 +194,6 @@ def blocks(page: str | None) -> list[Block]:
     return out
 
 
-@lru_cache
-def raw_end(tag: str) -> re.Pattern:
-    return re.compile(rf"</{tag}(?=[\s/>])[^>]*>?", re.I)
-
-
 def key_features(key: str) -> list[str]:
     tag, *words = key.split()
     return [f"in:{tag}", *[f"word:{w}" for w in words]]
