@@ -252,6 +252,12 @@ class Item:
     words: list[bytes]
     answer: list[bytes]
     weights: np.ndarray | None = None
+    held_places: dict[bytes, int] | None = field(default=None, repr=False)
+
+    def places(self) -> dict[bytes, int]:
+        if self.held_places is None:
+            self.held_places = places_of(self.words)
+        return self.held_places
 
 
 class Cover:
@@ -278,14 +284,17 @@ class Cover:
         self.weights = np.zeros_like(self.counts)
         for i, (h, w) in enumerate(zip(own, weights, strict=True)):
             np.add.at(self.weights[:, i], self.lut[h], w)
-        self.answers = [np.unique(self.lut[h]) for h in answers]
+        # The columns of an item's answer, the first one again where others have more; those without an answer never have it all.
+        longest = max(1, *map(len, answers))
+        self.answers = np.array([np.resize(self.lut[h], longest) if len(h) else np.zeros(longest, np.int32) for h in answers])
+        self.answered = np.array([len(h) > 0 for h in answers])
         sizes = np.array([len(x.words) for x in items])
         # Half a word less, so that no rounding excludes a share that ``shared`` accepts.
         self.leak, self.loose, self.paraphrase = ((sizes * share - 0.5).astype(np.float32) for share in (LEAK, LOOSE, PARAPHRASE))
         self.light, self.heavy = (np.array([w.sum() * share * 0.999 for w in weights], np.float32) for share in (LIGHT, LOOSE))
 
-    def pairs(self, texts: list[list[bytes]], hashes: np.ndarray) -> Iterator[tuple[int, int, int]]:
-        """(text, block of the text, item) of the passages in stretches that may have a leak."""
+    def stretches(self, texts: list[list[bytes]], hashes: np.ndarray) -> Iterator[tuple[int, int, int, int]]:
+        """(text, first block, last and one more, item) of the stretches that may have a leak."""
         lens = np.array([len(w) for w in texts], np.int64)
         n_blocks = np.maximum(1, -(-lens // BLOCK_WORDS))
         n_stretches = np.maximum(1, -(-n_blocks // self.step) - 1)
@@ -315,13 +324,20 @@ class Cover:
             if len(weigh):
                 weight = np.zeros(shared.shape, np.float32)
                 weight[weigh] = has[weigh] @ self.weights
-            for r, i in zip(rows.tolist(), found.tolist(), strict=True):
-                enough = shared[r, i] >= self.loose[i] and weight[r, i] >= (self.light if shared[r, i] >= self.leak[i] else self.heavy)[i]
-                if enough or (len(self.answers[i]) and has[r, self.answers[i]].all()):
-                    d = int(np.searchsorted(first, at + r, "right")) - 1
-                    start = (at + r - int(first[d])) * self.step
-                    for k in range(start, min(start + 2 * self.step, int(n_blocks[d]))):
-                        yield d, k, i
+            if not len(rows):
+                continue
+            held, known = shared[rows, found], self.answered[found]
+            enough = np.zeros(len(rows), bool)
+            if len(weigh):
+                least = np.where(held >= self.leak[found], self.light[found], self.heavy[found])
+                enough = (held >= self.loose[found]) & (weight[rows, found] >= least)
+            rest = np.flatnonzero(~enough & known)
+            enough[rest] = (has[rows[rest, None], self.answers[found[rest]]] > 0).all(axis=1)
+            rows, found = rows[enough] + at, found[enough]
+            texts_of = np.searchsorted(first, rows, "right") - 1
+            begin = (rows - first[texts_of]) * self.step
+            end = np.minimum(begin + 2 * self.step, n_blocks[texts_of])
+            yield from zip(texts_of.tolist(), begin.tolist(), end.tolist(), found.tolist(), strict=True)
 
 
 @dataclass
@@ -340,7 +356,12 @@ class Search:
     def leaks(self, texts: list[list[bytes]], hashes: np.ndarray, found: list[dict[int | str, float]]) -> None:
         """Adds to ``found`` the share of each item that leaked into each text."""
         self.cover = self.cover or Cover(self.items)
-        for doc, first, item in sorted({*self.candidates(texts, hashes), *self.cover.pairs(texts, hashes)}):
+        near = set(self.candidates(texts, hashes))
+        for doc, begin, end, item in self.cover.stretches(texts, hashes):
+            # No passage has more of an item than the whole stretch.
+            if self.shared(texts[doc], begin, self.items[item], end):
+                near.update((doc, k, item) for k in range(begin, end))
+        for doc, first, item in sorted(near):
             share = self.shared(texts[doc], first, self.items[item])
             if share > found[doc].get(self.items[item].item_id, 0.0):
                 found[doc][self.items[item].item_id] = share
@@ -364,24 +385,32 @@ class Search:
         d = doc[firsts[hit]]
         return list(zip(d.tolist(), (firsts[hit] - start[d]).tolist(), item.tolist(), strict=True))
 
-    def shared(self, words: list[bytes], first: int, item: Item) -> float:
-        """The share of the item that the text around the passage has in order, 0 if that is no leak."""
+    def shared(self, words: list[bytes], first: int, item: Item, end: int | None = None) -> float:
+        """The share of the item that the text around the passages of blocks ``first`` up to ``end`` has in order, 0 if that is no leak."""
         n = len(item.words)
-        region = words[max(0, first * BLOCK_WORDS - n) : (first + 2) * BLOCK_WORDS + n]
-        share = common_length(item.words, region) / n
+        region = words[max(0, first * BLOCK_WORDS - n) : ((first + 1 if end is None else end) + 1) * BLOCK_WORDS + n]
         if n < MIN_WORDS:
             return 1.0 if contains(region, item.words) else 0.0
+        places = item.places()
+        own = [w for w in region if w in places]
+        share = common_length(item.words, own, places) / n
         if share < PARAPHRASE:
             return 0.0
         told = share >= LEAK or contains(region, item.answer)
-        return share if (told or share >= LOOSE) and common_weight(item, region) >= (LIGHT if told else LOOSE) else 0.0
+        return share if (told or share >= LOOSE) and common_weight(item, own) >= (LIGHT if told else LOOSE) else 0.0
 
 
-def common_length(a: list[bytes], b: list[bytes]) -> int:
-    """Length of the longest common subsequence, a machine word of ``a`` at a time."""
+def places_of(words: list[bytes]) -> dict[bytes, int]:
+    """For each word a bit for each of its places."""
     places: dict[bytes, int] = {}
-    for i, w in enumerate(a):
+    for i, w in enumerate(words):
         places[w] = places.get(w, 0) | 1 << i
+    return places
+
+
+def common_length(a: list[bytes], b: list[bytes], places: dict[bytes, int] | None = None) -> int:
+    """Length of the longest common subsequence, a machine word of ``a`` at a time."""
+    places = places_of(a) if places is None else places
     free = whole = (1 << len(a)) - 1
     for w in b:
         hit = free & places.get(w, 0)
@@ -407,8 +436,12 @@ def common_weight(item: Item, region: list[bytes]) -> float:
 
 
 def contains(region: list[bytes], part: list[bytes]) -> bool:
-    n = len(part)
-    return any(region[i] == part[0] and region[i : i + n] == part for i in range(len(region) - n + 1)) if n else False
+    n, at = len(part), -1
+    for _ in range(region.count(part[0]) if n else 0):
+        at = region.index(part[0], at + 1)
+        if region[at : at + n] == part:
+            return True
+    return False
 
 
 def read_items(benchmark: DataFrame, item_col: str, text_col: str, answer_col: str | None) -> list[Item]:
