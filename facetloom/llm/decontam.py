@@ -332,7 +332,10 @@ class Cover:
                 least = np.where(held >= self.leak[found], self.light[found], self.heavy[found])
                 enough = (held >= self.loose[found]) & (weight[rows, found] >= least)
             rest = np.flatnonzero(~enough & known)
-            enough[rest] = (has[rows[rest, None], self.answers[found[rest]]] > 0).all(axis=1)
+            rest = rest[(has[rows[rest, None], self.answers[found[rest]]] > 0).all(axis=1)]
+            # With the answer a leak needs the least weight, but no less.
+            for some in np.array_split(rest, -(-len(rest) * len(self.counts) // CELLS)) if len(rest) else ():
+                enough[some] = (has[rows[some]] * self.weights.T[found[some]]).sum(axis=1) >= self.light[found[some]]
             rows, found = rows[enough] + at, found[enough]
             texts_of = np.searchsorted(first, rows, "right") - 1
             begin = (rows - first[texts_of]) * self.step
@@ -393,6 +396,8 @@ class Search:
             return 1.0 if contains(region, item.words) else 0.0
         places = item.places()
         own = [w for w in region if w in places]
+        if len(own) < PARAPHRASE * n:
+            return 0.0
         share = common_length(item.words, own, places) / n
         if share < PARAPHRASE:
             return 0.0
