@@ -61,6 +61,8 @@ HOT_RUNS = 1000
 STRETCH = 1 << 19
 #: Symbols of the fragments whose suffixes are sorted as one shard's; their ranks are numbers of 16 bits.
 TRANSFORM_SYMBOLS = 1 << 16
+#: Bits of an anchor's value by which a bucket's fragments are merged apart, so that a merge stays in the processor's cache.
+PART_BITS = 4
 #: The id that null stands for, and the byte that ends a fragment: no UTF-8 text has it.
 NO_ID, END = (1 << 63) - 1, 0xFF
 
@@ -281,22 +283,24 @@ def answers_of(table: pa.Table, kind: str) -> dict[int, bytes]:
 
 
 def send_fragments(shards: pa.Table, answers: pa.Table, bucket_bits: int) -> pa.Table:
-    """(bucket, shard, ids, more, lens, text): a shard's fragments."""
+    """(bucket, shard, ids, more, lens, parts, text): a shard's fragments, and where each part of them ends."""
     out = []
     for shard, own in shards_of(shards.to_batches()):
         found = own.fragments(bucket_bits, answers_of(answers, "anchor"))
 
         def payload(lo: int, hi: int, text: bytes = own.text, found: Fragments = found) -> tuple:
             begin, end = found.begin[lo:hi], found.end[lo:hi]
+            low = found.values[lo:hi] & np.uint64(0xFFFFFFFF)
+            parts = np.searchsorted(low >> np.uint64(32 - PART_BITS), np.arange(1 << PART_BITS), "right").astype(np.int32)
             pieces = b"".join([text[a:b] for a, b in zip(begin.tolist(), end.tolist(), strict=True)])
-            return (found.least[lo:hi].tobytes(), found.more[lo:hi].tobytes(), (end - begin).astype(np.uint8).tobytes(), pa.compress(pieces, "zstd", asbytes=True))
+            return (found.least[lo:hi].tobytes(), found.more[lo:hi].tobytes(), (end - begin).astype(np.uint8).tobytes(), parts.tobytes(), pa.compress(pieces, "zstd", asbytes=True))
 
-        out.append(dealt(shard, found.values, payload, ["ids", "more", "lens", "text"]))
+        out.append(dealt(shard, found.values, payload, ["ids", "more", "lens", "parts", "text"]))
     return pa.Table.from_batches(out, FRAGMENTS) if out else FRAGMENTS.empty_table()
 
 
-FRAGMENTS = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), *[(n, pa.binary()) for n in ("ids", "more", "lens", "text")]])
-FRAGMENT_SCHEMA = "bucket int, shard long, ids binary, more binary, lens binary, text binary"
+FRAGMENTS = pa.schema([("bucket", pa.int32()), ("shard", pa.int64()), *[(n, pa.binary()) for n in ("ids", "more", "lens", "parts", "text")]])
+FRAGMENT_SCHEMA = "bucket int, shard long, ids binary, more binary, lens binary, parts binary, text binary"
 
 
 class Transform:
@@ -420,53 +424,69 @@ def smallest_ids(pieces: list[bytes], ids: np.ndarray, length: int, symbols: int
     return Replies(np.searchsorted(owner[runs], np.arange(len(pieces) + 1)), np.diff(np.append(runs, len(found))), found[runs])
 
 
+class Sent(NamedTuple):
+    """A shard's fragments of one part of a bucket, and the number of the first among its fragments of the bucket."""
+
+    at: int
+    pieces: list[bytes]
+    ids: np.ndarray
+    more: np.ndarray
+
+
+def parts_of(ids: bytes, more: bytes, lens: bytes, parts: bytes, text: bytes) -> Iterator[Sent]:
+    """What a shard sent to a bucket, part by part."""
+    edges = np.cumsum(np.r_[0, np.frombuffer(lens, np.uint8)].astype(np.int64)).tolist()
+    text = pa.decompress(text, edges[-1], "zstd", asbytes=True)
+    for a, b in itertools.pairwise([0, *np.frombuffer(parts, np.int32).tolist()]):
+        pieces = [text[i:j] for i, j in itertools.pairwise(edges[a : b + 1])]
+        yield Sent(a, pieces, np.frombuffer(ids, np.int64)[a:b], np.frombuffer(more, bool)[a:b])
+
+
 def answer_fragments(batches: Iterator[pa.RecordBatch], length: int = LENGTH) -> Iterator[pa.RecordBatch]:
-    """(shard, kind, bucket, data): the smallest id for the strings of each fragment, as runs of (fragment, starts, id)."""
+    """(shard, kind, bucket, data): the smallest id for the strings of each fragment, as runs of (fragment, starts, id).
+
+    Equal strings have equal values, so the parts of a bucket are merged one after the other.
+    """
     for bucket, rows in by_bucket(batches):
-        places: dict[bytes, int] = {}
-        pieces: list[bytes] = []
-        wheres, ids_of, more_of = [], [], []
-        for _, ids, more, lens, text in rows:
-            edges = np.cumsum(np.r_[0, np.frombuffer(lens, np.uint8)].astype(np.int64)).tolist()
-            text = pa.decompress(text, edges[-1], "zstd", asbytes=True)
-            where = []
-            for a, b in itertools.pairwise(edges):
-                piece = text[a:b]
-                at = places.setdefault(piece, len(pieces))
-                if at == len(pieces):
-                    pieces.append(piece)
-                where.append(at)
-            wheres.append(np.array(where, np.int64))
-            ids_of.append(np.frombuffer(ids, np.int64))
-            more_of.append(np.frombuffer(more, bool))
-        least, holders = np.full(len(pieces), NO_ID, np.int64), np.zeros(len(pieces), np.int64)
-        for where, ids, more in zip(wheres, ids_of, more_of, strict=True):
-            np.minimum.at(least, where, ids)
-            np.add.at(holders, where, 1 + more)
-        # A second copy stands for those that do not have the smallest id; the merge tells them of it.
-        order = np.argsort(holders <= 1, kind="stable")  # those that come twice are first
-        twice = int((holders > 1).sum())
-        stands = np.empty(len(pieces), np.int64)
-        stands[order] = np.r_[len(pieces) : len(pieces) + twice, twice : len(pieces)]
-        merged = smallest_ids([pieces[i] for i in order.tolist()], np.concatenate([least[order], np.full(twice, NO_ID, np.int64)]), length, twice=twice)
-        first, n_runs = merged.first[:-1], np.diff(merged.first)
-        least = merged.ids[first]  # that of a fragment's first start, and of all if it has one run
-        data = []
-        for where, ids, more in zip(wheres, ids_of, more_of, strict=True):
-            where = stands[where]
-            # Fragments that no larger id has need no reply.
-            split = n_runs[where] > 1
-            simple = np.flatnonzero(((least[where] < ids) | more) & ~split)
-            several = np.flatnonzero(split)
-            n = n_runs[where[several]]
-            along = np.repeat(first[where[several]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
-            sizes, smallest = merged.sizes[along], merged.ids[along]
-            fragment = np.concatenate([simple, np.repeat(several, n)]).astype(np.int32)
-            size = np.concatenate([np.full(len(simple), 255), sizes]).astype(np.uint8)
-            data.append(fragment.tobytes() + size.tobytes() + np.concatenate([least[where[simple]], smallest]).astype(np.int64).tobytes())
+        answers = [answer_part(list(sent), length) for sent in zip(*(parts_of(*r[1:]) for r in rows), strict=True)]
+        data = [b"".join(np.concatenate(column).tobytes() for column in zip(*of_shard, strict=True)) for of_shard in zip(*answers, strict=True)]
         yield answer_rows(bucket, "fragment", [r[0] for r in rows], data)
 
 
+def answer_part(shards: list[Sent], length: int) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """For each shard the runs (fragment, starts, smallest id) of its fragments that some smaller id has."""
+    places: dict[bytes, int] = {}
+    wheres = [np.fromiter((places.setdefault(p, len(places)) for p in sent.pieces), np.int64, len(sent.pieces)) for sent in shards]
+    pieces = list(places)
+    if not pieces:
+        return [(np.zeros(0, np.int32), np.zeros(0, np.uint8), np.zeros(0, np.int64))] * len(shards)
+    least, holders = np.full(len(pieces), NO_ID, np.int64), np.zeros(len(pieces), np.int64)
+    for where, sent in zip(wheres, shards, strict=True):
+        np.minimum.at(least, where, sent.ids)
+        np.add.at(holders, where, 1 + sent.more)
+    # A second copy stands for those that do not have the smallest id; the merge tells them of it.
+    order = np.argsort(holders <= 1, kind="stable")  # those that come twice are first
+    twice = int((holders > 1).sum())
+    stands = np.empty(len(pieces), np.int64)
+    stands[order] = np.r_[len(pieces) : len(pieces) + twice, twice : len(pieces)]
+    merged = smallest_ids([pieces[i] for i in order.tolist()], np.concatenate([least[order], np.full(twice, NO_ID, np.int64)]), length, twice=twice)
+    first, n_runs = merged.first[:-1], np.diff(merged.first)
+    least = merged.ids[first]  # that of a fragment's first start, and of all if it has one run
+    out = []
+    for where, sent in zip(wheres, shards, strict=True):
+        where = stands[where]
+        # Fragments that no larger id has need no reply.
+        split = n_runs[where] > 1
+        simple = np.flatnonzero(((least[where] < sent.ids) | sent.more) & ~split)
+        several = np.flatnonzero(split)
+        n = n_runs[where[several]]
+        along = np.repeat(first[where[several]] - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))
+        fragment = (np.concatenate([simple, np.repeat(several, n)]) + sent.at).astype(np.int32)
+        size = np.concatenate([np.full(len(simple), 255), merged.sizes[along]]).astype(np.uint8)
+        out.append((fragment, size, np.concatenate([least[where[simple]], merged.ids[along]]).astype(np.int64)))
+    return out
+
+
 def cut_shards(shards: pa.Table, answers: pa.Table, bucket_bits: int, length: int = LENGTH) -> pa.Table:
     """(id, n_bytes, n_removed, n_spans, kept) for the documents of a shard."""
     out: list[pa.RecordBatch] = []
