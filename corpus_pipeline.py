@@ -13,6 +13,7 @@ sources are a source.  Extra columns travel along; a table without rows stays em
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -21,14 +22,47 @@ from facetloom.llm.common import cut, free_name, new_folder, read, remove_folder
 from facetloom.llm.components import connected_components
 
 
+#: Bits of a row's place in its file; the rest of its number is a hash of the file's path.
+PLACE_BITS, SEEDS = 24, (1, 2, 3, 4)
+
+
+def file_number(seed: int):
+    return F.shiftrightunsigned(F.xxhash64("_metadata.file_path", F.lit(seed)), PLACE_BITS + 1)
+
+
+def by_place(docs: DataFrame, key: str) -> DataFrame | None:
+    """``docs`` with a number for each row from its file and its place there, None if that is no number of its own.
+
+    That takes a plain scan of files, no file of more than 2^24 rows, and a hash that
+    tells all files apart, which is checked.
+    """
+    if docs._jdf.queryExecution().analyzed().nodeName() != "LogicalRelation" or "_metadata" in {c.lower() for c in docs.columns}:
+        return None
+    names = [f"n{seed}" for seed in SEEDS]
+    try:
+        files = docs.select(F.col("_metadata.file_path").alias("path"), F.col("_metadata.row_index").alias("place"), *[file_number(s).alias(n) for s, n in zip(SEEDS, names, strict=True)])
+    except AnalysisException:
+        return None
+    files = files.groupBy("path", *names).agg(F.max("place").alias("place"))
+    found = files.agg(F.count(F.lit(1)).alias("files"), F.max("place").alias("place"), *[F.count_distinct(n).alias(n) for n in names]).first()
+    seed = next((s for s, n in zip(SEEDS, names, strict=True) if found[n] == found["files"]), None)
+    if seed is None or (found["place"] or 0) >> PLACE_BITS:
+        return None
+    return docs.withColumn(key, F.shiftleft(file_number(seed), PLACE_BITS) + F.col("_metadata.row_index"))
+
+
 def numbered(spark: SparkSession, docs: DataFrame) -> tuple[DataFrame, str]:
-    """``docs`` with a stored number for each row, and that column's name.
+    """``docs`` with a number for each row, and that column's name.
 
-    The numbers are written with the rows, so that every later scan finds them again
-    however it is split, after lost executors too.
+    Every later scan finds the numbers again however it is split, after lost executors
+    too: they follow a row's place in its file, or are written with the rows.
     """
-    key, folder = free_name(docs, "row_key"), new_folder(spark, "rows")
-    with_row_key(docs, key).write.parquet(folder)
+    key = free_name(docs, "row_key")
+    placed = by_place(docs, key)
+    if placed is not None:
+        return placed, key
+    folder = new_folder(spark, "rows")
+    with_row_key(docs, key).write.option("compression", "zstd").parquet(folder)
     return spark.read.parquet(folder), key
 
 
