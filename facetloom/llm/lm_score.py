@@ -47,8 +47,8 @@ SIDE, VECTOR, HIDDEN = 2, 12, 32
 SYNCS, ROUNDS, STEP, RATE, SEED = 4, 1, 256, 0.2, 3
 #: Words for each learner, and the most learners there are.
 LEARNER_WORDS, MOST_LEARNERS = 1 << 20, 8192
-#: Places scored at once, and weights in one part of a sum.
-AT_ONCE, PART = 1 << 14, 1 << 11
+#: Places scored at once, those of them whose numbers stay in the processor's cache, and weights in one part of a sum.
+AT_ONCE, BLOCK, PART = 1 << 14, 1 << 9, 1 << 11
 #: Words that tasks hold with their shares; rarer ones are looked up in a join, which gives the same.
 HELD = 1 << 18
 #: Log-shares are added up as whole numbers, so that their order does not matter.
@@ -150,75 +150,99 @@ class Network:
 
     def log_probabilities(self, around: np.ndarray, names: np.ndarray) -> np.ndarray:
         """Of each word given the words around it."""
-        x = self.vectors[around].reshape(len(names), -1)
-        before = x @ self.hidden
+        out = np.empty(len(names), self.vectors.dtype)
+        for at in range(0, len(names), BLOCK):
+            out[at : at + BLOCK] = self.block_log_probabilities(around[at : at + BLOCK], names[at : at + BLOCK])
+        return out
+
+    def inputs(self, around: np.ndarray) -> np.ndarray:
+        return self.vectors.take(around.astype(np.intp).ravel(), axis=0).reshape(len(around), -1)
+
+    def block_log_probabilities(self, around: np.ndarray, names: np.ndarray) -> np.ndarray:
+        before = self.inputs(around) @ self.hidden
         before += self.hidden_bias
-        group, place = names // PLACES, names % PLACES
-        h2 = before + self.given[group]
+        group, place = np.divmod(names.astype(np.intp), PLACES)
+        h2 = self.given.take(group, axis=0)
+        h2 += before
         np.tanh(h2, out=h2)
         np.tanh(before, out=before)
-        rows = np.arange(len(names))
         first, second = logits(before, self.group, self.group_bias), logits(h2, self.place, self.place_bias)
-        own = first[rows, group] + second[rows, place]
+        rows = np.arange(len(names))
+        own = first.ravel().take(rows * GROUPS + group) + second.ravel().take(rows * PLACES + place)
         np.exp(first, out=first)
         np.exp(second, out=second)
-        return own - np.log(first.sum(axis=1)) - np.log(second.sum(axis=1))
+        return own - np.log(row_sums(first) * row_sums(second))
 
     def descents(self, around: np.ndarray, names: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
         """Gradients of the negative log-likelihood's sum for all but the vectors, and for the vectors of each example."""
         n, rows = len(names), np.arange(len(names))
-        x = self.vectors[around].reshape(n, -1)
+        x = self.inputs(around)
         before = x @ self.hidden
         before += self.hidden_bias
-        group, place = names // PLACES, names % PLACES
-        h2 = before + self.given[group]
+        group, place = np.divmod(names.astype(np.intp), PLACES)
+        h2 = self.given.take(group, axis=0)
+        h2 += before
         np.tanh(h2, out=h2)
         h1 = np.tanh(before, out=before)
         d1, d2 = logits(h1, self.group, self.group_bias), logits(h2, self.place, self.place_bias)
-        for d, at in ((d1, group), (d2, place)):
+        in_group = rows * GROUPS + group
+        for d, at in ((d1, in_group), (d2, rows * PLACES + place)):
             np.exp(d, out=d)
-            d /= d.sum(axis=1, keepdims=True)
-            d[rows, at] -= 1
+            d *= (1 / row_sums(d))[:, None]
+            d.reshape(-1)[at] -= 1
         both, b2 = d1 @ self.group.T, d2 @ self.place.T
         both *= 1 - h1 * h1
         b2 *= 1 - h2 * h2
         of_group = np.zeros((n, GROUPS), b2.dtype)
-        of_group[rows, group] = 1
+        of_group.reshape(-1)[in_group] = 1
         given = of_group.T @ b2
         both += b2
         return [x.T @ both, both.sum(0), h1.T @ d1, d1.sum(0), given, h2.T @ d2, d2.sum(0)], (both @ self.hidden.T).reshape(n, 2 * SIDE, VECTOR)
 
     def learn(self, examples: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> int:
         """One run through a stream of examples, with steps scaled by the size of past ones."""
-        parts = self.parts()
-        past = [np.full(p.shape, 1e-4, np.float32) for p in parts[1:]]
+        parts = self.parts()[1:]
+        # All weights but the vectors are pieces of one array, so that a step is a few operations on the whole of it.
+        whole = np.concatenate([p.ravel() for p in parts])
+        pieces = np.split(whole, np.cumsum([p.size for p in parts])[:-1])
+        self.hidden, self.hidden_bias, self.group, self.group_bias, self.given, self.place, self.place_bias = (w.reshape(p.shape) for w, p in zip(pieces, parts, strict=True))
+        past = np.full(len(whole), 1e-4, np.float32)
         past_vectors = np.full(len(self.vectors), 1e-4, np.float32)
+        turn, columns = np.zeros(len(self.vectors), np.intp), np.arange(VECTOR)
         seen = 0
         for around, names in examples:
-            seen += len(names)
+            n = len(names)
+            seen += n
             descents, of_vectors = self.descents(around, names)
-            for p, g, s in zip(parts[1:], descents, past, strict=True):
-                g /= len(names)
-                s += g * g
-                g /= np.sqrt(s)
-                g *= rate
-                p -= g
+            g = np.concatenate([d.ravel() for d in descents])
+            g /= n
+            past += g * g
+            g /= np.sqrt(past)
+            g *= rate
+            whole -= g
             flat = around.ravel()
-            order = np.argsort(flat, kind="stable")
-            flat = flat[order]
-            first = np.flatnonzero(np.concatenate([[True], flat[1:] != flat[:-1]]))
-            used = flat[first]
-            g = np.add.reduceat(of_vectors.reshape(-1, VECTOR)[order], first, axis=0) / len(names)
-            past_vectors[used] += (g * g).mean(1)
-            self.vectors[used] -= rate * g / np.sqrt(past_vectors[used])[:, None]
+            used = np.flatnonzero(np.bincount(flat, minlength=len(turn)))
+            turn[used] = np.arange(0, len(used) * VECTOR, VECTOR)
+            cells = turn.take(flat)[:, None] + columns
+            g = np.bincount(cells.ravel(), of_vectors.ravel(), len(used) * VECTOR).astype(np.float32).reshape(-1, VECTOR)
+            g /= n
+            sizes = past_vectors.take(used)
+            sizes += row_sums(g * g) / VECTOR
+            past_vectors[used] = sizes
+            g *= (rate / np.sqrt(sizes))[:, None]
+            self.vectors[used] -= g
         return seen
 
 
+def row_sums(a: np.ndarray) -> np.ndarray:
+    return a @ np.ones(a.shape[1], a.dtype)
+
+
 def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
     """Bounded, so that their exponentials are finite."""
     z = h @ weights
     z += bias
-    return np.minimum(z, 60, out=z)
+    return np.minimum(z, z.dtype.type(60), out=z)
 
 
 @dataclass

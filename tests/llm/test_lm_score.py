@@ -1,5 +1,6 @@
 import math
 import random
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -32,6 +33,41 @@ def test_probabilities_add_up():
     assert np.isclose(np.exp(net.log_probabilities(around, np.arange(lm.N_WORDS))).sum(), 1, atol=1e-4)
 
 
+def test_scoring_holds_few_numbers_at_once():
+    """The layers of one block at a time, which is what keeps scoring within the processor's cache and its budget."""
+    rng = np.random.default_rng(6)
+    net = lm.Network.start(1)
+    around, names = rng.integers(0, lm.N_WORDS + 1, (lm.AT_ONCE, 2 * lm.SIDE)), rng.integers(0, lm.N_WORDS, lm.AT_ONCE)
+    tracemalloc.start()
+    got = net.log_probabilities(around, names)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 2e6
+    few = [net.log_probabilities(around[i : i + 7], names[i : i + 7]) for i in range(0, 700, 7)]
+    assert np.allclose(np.concatenate(few), got[:700], rtol=1e-5)
+
+
+def test_steps_of_learning():
+    """Against the same steps weight by weight and example by example."""
+    rng = np.random.default_rng(8)
+    examples = [(rng.integers(0, 40, (n, 2 * lm.SIDE)).astype(np.uint16), rng.integers(0, lm.N_WORDS, n).astype(np.int32)) for n in (50, 50, 9)]
+    net, plain = lm.Network.start(3), lm.Network(*[p.astype(np.float64) for p in lm.Network.start(3).parts()])
+    assert net.learn(iter(examples)) == 109
+    past = [np.full(p.shape, 1e-4) for p in plain.parts()[1:]]
+    past_vectors = np.full(len(plain.vectors), 1e-4)
+    for around, names in examples:
+        descents, of_vectors = plain.descents(around, names)
+        for p, g, s in zip(plain.parts()[1:], descents, past, strict=True):
+            s += (g / len(names)) ** 2
+            p -= lm.RATE * g / len(names) / np.sqrt(s)
+        total = np.zeros_like(plain.vectors)
+        np.add.at(total, around, of_vectors / len(names))
+        past_vectors += (total**2).mean(1)
+        plain.vectors -= lm.RATE * total / np.sqrt(past_vectors)[:, None]
+    assert all(np.allclose(a, b, atol=1e-3) for a, b in zip(net.parts(), plain.parts(), strict=True))
+    assert all(np.abs(a - b).max() > 1e-3 for a, b in zip(net.parts(), lm.Network.start(3).parts(), strict=True))
+
+
 def test_context_is_on_both_sides():
     vocabulary = lm.Vocabulary([b"x", b"a", b"b", b"c"])
     names = lm.names_of(lm.split_words("a b\nc"), vocabulary)
