@@ -32,6 +32,7 @@ from dataclasses import dataclass
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -48,9 +49,13 @@ SYNCS, ROUNDS, STEP, RATE, SEED = 4, 1, 256, 0.2, 3
 #: Words for each learner, and the most learners there are.
 LEARNER_WORDS, MOST_LEARNERS = 1 << 20, 8192
 #: Places scored at once, those of them whose numbers stay in the processor's cache, and weights in one part of a sum.
-AT_ONCE, BLOCK, PART = 1 << 14, 1 << 9, 1 << 11
+AT_ONCE, BLOCK, PART = 1 << 14, 1 << 10, 1 << 11
+#: Bytes of text that are split into words at once.
+PIECE = 1 << 23
 #: Words that tasks hold with their shares; rarer ones are looked up in a join, which gives the same.
 HELD = 1 << 18
+#: The largest logit.
+MOST_LOGIT = 60
 #: Log-shares are added up as whole numbers, so that their order does not matter.
 SCALE = 1e9
 
@@ -156,93 +161,125 @@ class Network:
         return out
 
     def inputs(self, around: np.ndarray) -> np.ndarray:
-        return self.vectors.take(around.astype(np.intp).ravel(), axis=0).reshape(len(around), -1)
+        return self.vectors.take(around.astype(np.intp, copy=False).ravel(), axis=0).reshape(len(around), -1)
 
-    def block_log_probabilities(self, around: np.ndarray, names: np.ndarray) -> np.ndarray:
-        before = self.inputs(around) @ self.hidden
+    def layers(self, x: np.ndarray, group: np.ndarray, place: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Hidden states for the group and for the place, their logits, and where those of the words themselves are.
+
+        Both kinds lie in one array, so that what is done to either is one operation.
+        """
+        n = len(x)
+        h = np.empty((2, n, HIDDEN), x.dtype)
+        before = np.matmul(x, self.hidden, out=h[0])
         before += self.hidden_bias
-        group, place = np.divmod(names.astype(np.intp), PLACES)
-        h2 = self.given.take(group, axis=0)
-        h2 += before
-        np.tanh(h2, out=h2)
-        np.tanh(before, out=before)
-        first, second = logits(before, self.group, self.group_bias), logits(h2, self.place, self.place_bias)
-        rows = np.arange(len(names))
-        own = first.ravel().take(rows * GROUPS + group) + second.ravel().take(rows * PLACES + place)
-        np.exp(first, out=first)
-        np.exp(second, out=second)
-        return own - np.log(row_sums(first) * row_sums(second))
-
-    def descents(self, around: np.ndarray, names: np.ndarray) -> tuple[list[np.ndarray], np.ndarray]:
-        """Gradients of the negative log-likelihood's sum for all but the vectors, and for the vectors of each example."""
-        n, rows = len(names), np.arange(len(names))
+        np.add(before, self.given.take(group, axis=0), out=h[1])
+        np.tanh(h, out=h)
+        z = np.empty((2, n, PLACES), x.dtype)
+        for own, state, weights, bias in zip(z, h, (self.group, self.place), (self.group_bias, self.place_bias), strict=True):
+            logits(state, weights, bias, own)
+        at = np.arange(0, z.size, PLACES)
+        at[:n] += group
+        at[n:] += place
+        return h, z, at
+
+    def block_log_probabilities(self, around: np.ndarray, names: np.ndarray) -> np.ndarray:
+        group, place = group_and_place(names)
+        _, z, at = self.layers(self.inputs(around), group, place)
+        own = z.reshape(-1).take(at)
+        np.exp(z, out=z)
+        own -= np.log(row_sums(z.reshape(-1, PLACES)))
+        return own[: len(names)] + own[len(names) :]
+
+    def descents(self, around: np.ndarray, names: np.ndarray, weight: float = 1.0, out: list[np.ndarray] | None = None) -> tuple[list[np.ndarray], np.ndarray]:
+        """Gradients of the negative log-likelihood's sum, times ``weight``, for all but the vectors, and for the vectors of each example."""
+        n = len(names)
         x = self.inputs(around)
-        before = x @ self.hidden
-        before += self.hidden_bias
-        group, place = np.divmod(names.astype(np.intp), PLACES)
-        h2 = self.given.take(group, axis=0)
-        h2 += before
-        np.tanh(h2, out=h2)
-        h1 = np.tanh(before, out=before)
-        d1, d2 = logits(h1, self.group, self.group_bias), logits(h2, self.place, self.place_bias)
-        in_group = rows * GROUPS + group
-        for d, at in ((d1, in_group), (d2, rows * PLACES + place)):
-            np.exp(d, out=d)
-            d *= (1 / row_sums(d))[:, None]
-            d.reshape(-1)[at] -= 1
-        both, b2 = d1 @ self.group.T, d2 @ self.place.T
-        both *= 1 - h1 * h1
-        b2 *= 1 - h2 * h2
-        of_group = np.zeros((n, GROUPS), b2.dtype)
-        of_group.reshape(-1)[in_group] = 1
-        given = of_group.T @ b2
-        both += b2
-        return [x.T @ both, both.sum(0), h1.T @ d1, d1.sum(0), given, h2.T @ d2, d2.sum(0)], (both @ self.hidden.T).reshape(n, 2 * SIDE, VECTOR)
+        group, place = group_and_place(names)
+        h, d, at = self.layers(x, group, place)
+        np.exp(d, out=d)
+        lines = d.reshape(-1, PLACES)
+        lines *= (weight / row_sums(lines))[:, None]
+        d.reshape(-1)[at] -= weight
+        b = np.empty_like(h)
+        np.matmul(d[0], self.group.T, out=b[0])
+        np.matmul(d[1], self.place.T, out=b[1])
+        b *= 1 - h * h
+        of_group = np.zeros((n, GROUPS), x.dtype)
+        of_group.reshape(-1)[at[:n]] = 1
+        out = [np.empty_like(p) for p in self.parts()[1:]] if out is None else out
+        hidden, hidden_bias, to_group, group_bias, given, to_place, place_bias = out
+        np.matmul(of_group.T, b[1], out=given)
+        both = b[0]
+        both += b[1]
+        each = np.ones(n, x.dtype)
+        for weights, bias, left, right in ((hidden, hidden_bias, x, both), (to_group, group_bias, h[0], d[0]), (to_place, place_bias, h[1], d[1])):
+            np.matmul(left.T, right, out=weights)
+            np.matmul(each, right, out=bias)
+        return out, (both @ self.hidden.T).reshape(n, 2 * SIDE, VECTOR)
 
     def learn(self, examples: Iterator[tuple[np.ndarray, np.ndarray]], rate: float = RATE) -> int:
         """One run through a stream of examples, with steps scaled by the size of past ones."""
         parts = self.parts()[1:]
         # All weights but the vectors are pieces of one array, so that a step is a few operations on the whole of it.
         whole = np.concatenate([p.ravel() for p in parts])
-        pieces = np.split(whole, np.cumsum([p.size for p in parts])[:-1])
-        self.hidden, self.hidden_bias, self.group, self.group_bias, self.given, self.place, self.place_bias = (w.reshape(p.shape) for w, p in zip(pieces, parts, strict=True))
-        past = np.full(len(whole), 1e-4, np.float32)
+        g = np.empty_like(whole)
+        pieces, of_pieces = ([w.reshape(p.shape) for w, p in zip(np.split(a, np.cumsum([p.size for p in parts])[:-1]), parts, strict=True)] for a in (whole, g))
+        self.hidden, self.hidden_bias, self.group, self.group_bias, self.given, self.place, self.place_bias = pieces
+        past, some = np.full(len(whole), 1e-4, np.float32), np.empty_like(whole)
         past_vectors = np.full(len(self.vectors), 1e-4, np.float32)
-        turn, columns = np.zeros(len(self.vectors), np.intp), np.arange(VECTOR)
+        # Numbers of the vectors' gradients are added up in pairs, as complex ones, which halves the additions.
+        pairs = VECTOR // 2
+        turn, columns, seen_now = np.zeros(len(self.vectors), np.intp), np.zeros(0, np.intp), np.zeros(len(self.vectors), bool)
         seen = 0
         for around, names in examples:
             n = len(names)
             seen += n
-            descents, of_vectors = self.descents(around, names)
-            g = np.concatenate([d.ravel() for d in descents])
-            g /= n
-            past += g * g
-            g /= np.sqrt(past)
+            around = around.astype(np.intp)
+            _, of_vectors = self.descents(around, names, 1 / n, of_pieces)
+            np.multiply(g, g, out=some)
+            past += some
+            np.sqrt(past, out=some)
+            g /= some
             g *= rate
             whole -= g
             flat = around.ravel()
-            used = np.flatnonzero(np.bincount(flat, minlength=len(turn)))
-            turn[used] = np.arange(0, len(used) * VECTOR, VECTOR)
-            cells = turn.take(flat)[:, None] + columns
-            g = np.bincount(cells.ravel(), of_vectors.ravel(), len(used) * VECTOR).astype(np.float32).reshape(-1, VECTOR)
-            g /= n
+            seen_now[flat] = True
+            used = np.flatnonzero(seen_now)
+            seen_now[used] = False
+            turn[used] = np.arange(0, len(used) * pairs, pairs)
+            cells = np.repeat(turn.take(flat), pairs)
+            if len(cells) > len(columns):
+                columns = np.tile(np.arange(pairs), len(flat))
+            cells += columns[: len(cells)]
+            sums = np.zeros(len(used) * pairs, np.complex64)
+            np.add.at(sums, cells, of_vectors.reshape(-1).view(np.complex64))
+            of_used = sums.view(np.float32).reshape(-1, VECTOR)
             sizes = past_vectors.take(used)
-            sizes += row_sums(g * g) / VECTOR
+            sizes += row_sums(of_used * of_used) / VECTOR
             past_vectors[used] = sizes
-            g *= (rate / np.sqrt(sizes))[:, None]
-            self.vectors[used] -= g
+            of_used *= (rate / np.sqrt(sizes))[:, None]
+            self.vectors[used] = self.vectors.take(used, axis=0) - of_used
         return seen
 
 
+def group_and_place(names: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    names = names.astype(np.intp, copy=False)
+    group = names // PLACES
+    return group, names - group * PLACES
+
+
 def row_sums(a: np.ndarray) -> np.ndarray:
     return a @ np.ones(a.shape[1], a.dtype)
 
 
-def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray) -> np.ndarray:
+def logits(h: np.ndarray, weights: np.ndarray, bias: np.ndarray, out: np.ndarray | None = None) -> np.ndarray:
     """Bounded, so that their exponentials are finite."""
-    z = h @ weights
+    z = np.matmul(h, weights, out=out)
     z += bias
-    return np.minimum(z, z.dtype.type(60), out=z)
+    # Hidden states are within 1 of zero, so the weights tell whether any logit can be beyond the bound.
+    if not (np.abs(weights).sum(0) + bias).max() < MOST_LOGIT:
+        np.minimum(z, z.dtype.type(MOST_LOGIT), out=z)
+    return z
 
 
 @dataclass
@@ -261,10 +298,19 @@ def lowered(docs: DataFrame, text_col: str):
 
 def count_words(docs: DataFrame, text_col: str = "text") -> DataFrame:
     """(word, h, bucket, n): all words of all documents, the hash they are looked up by, and their count."""
-    words = docs.select(F.explode(F.split(lowered(docs, text_col), r"[\x09-\x0D\x20]+")).alias("word")).filter("word <> ''")
+    texts = docs.select(lowered(docs, text_col).alias("text"))
+    words = texts.mapInArrow(count_texts, "word string, n long")
     raw = F.encode("word", "UTF-8")
     bucket = (F.crc32(raw) % (N_WORDS - N_KNOWN)).cast("int")
-    return cut(words.groupBy("word").agg(F.count(F.lit(1)).alias("n")).select("word", F.xxhash64("word").alias("h"), bucket.alias("bucket"), "n"))
+    return cut(words.groupBy("word").agg(F.sum("n").alias("n")).select("word", F.xxhash64("word").alias("h"), bucket.alias("bucket"), "n"))
+
+
+def count_texts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(word, n): the words of some texts at a time, counted."""
+    for batch in batches:
+        for some in in_pieces(batch):
+            counted = words_in(some.column("text"))[0].value_counts()
+            yield pa.record_batch([counted.field(0).cast(pa.string()), counted.field(1)], names=["word", "n"])
 
 
 def build_vocabulary(counted: DataFrame) -> tuple[Vocabulary, list[int]]:
@@ -287,29 +333,69 @@ def build_vocabulary(counted: DataFrame) -> tuple[Vocabulary, list[int]]:
     return Vocabulary([r["word"].encode("utf-8", "replace") for r in held], np.array(own, np.int64)), buckets
 
 
-def name_texts(batches: Iterator[pa.RecordBatch], vocabulary: Vocabulary) -> Iterator[pa.RecordBatch]:
-    """(key, id, n_words, names, share, rare): texts as names, the log-shares at hand, and the hashes of the words to look up."""
+def name_texts(batches: Iterator[pa.RecordBatch], words: pa.Array, own_names: np.ndarray, shares: np.ndarray) -> Iterator[pa.RecordBatch]:
+    """(key, id, n_words, names, share, rare): texts as names, the log-shares at hand, and the hashes of the words to look up.
+
+    Takes the words of a vocabulary, their names and shares.  Arrow splits some texts at a time and looks the words up.
+    """
     for batch in batches:
-        n_words, names, shares, rare, ends = [], [], [], [], [0]
-        for text in batch.column(2).to_pylist():
-            words = split_words(text)
-            places = places_of(words, vocabulary)
-            n_words.append(len(words))
-            names.append(vocabulary.names_of(places).astype(np.uint16).tobytes())
-            shares.append(int(vocabulary.shares[places[places >= N_KNOWN]].sum()))
-            rare += [xxhash.xxh64_intdigest(words[i], 42) for i in np.flatnonzero(places < 0).tolist()]
-            ends.append(len(rare))
-        flat = np.array(rare, np.uint64).view(np.int64)
-        lists = pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(flat, pa.int64()))
-        columns = [batch.column(0), batch.column(1), pa.array(n_words, pa.int64()), pa.array(names, pa.binary()), pa.array(shares, pa.int64()), lists]
-        yield pa.record_batch(columns, names=["key", "id", "n_words", "names", "share", "rare"])
+        for some in in_pieces(batch):
+            found, ends = words_in(some.column("text"))
+            places = pc.fill_null(pc.index_in(found, value_set=words), -1).to_numpy()
+            unheld = np.flatnonzero(places < 0)
+            rare = bytes_of(found.take(pa.array(unheld)))
+            # Place minus one is that of words not held; it stands for any other until they get what is theirs.
+            names = np.append(own_names, 0).astype(np.uint16)[places]
+            names[unheld] = [N_KNOWN + shared_place(w) for w in rare]
+            share = running(np.append(shares, 0)[places])[ends]
+            hashes = np.array([xxhash.xxh64_intdigest(w, 42) for w in rare], np.uint64).view(np.int64)
+            lists = pa.ListArray.from_arrays(pa.array(np.searchsorted(unheld, ends), pa.int32()), pa.array(hashes))
+            data = pa.Array.from_buffers(pa.binary(), len(some), [None, pa.py_buffer((2 * ends).astype(np.int32)), pa.py_buffer(names)])
+            columns = [some.column(0), some.column(1), pa.array(np.diff(ends)), data, pa.array(np.diff(share)), lists]
+            yield pa.record_batch(columns, names=["key", "id", "n_words", "names", "share", "rare"])
+
+
+def bytes_of(values: pa.Array) -> list[bytes]:
+    """The values of a new binary array, some times as fast as its own ``to_pylist``."""
+    _, offsets, data = values.buffers()
+    ends = np.frombuffer(offsets, np.int32, len(values) + 1).tolist() if len(values) else []
+    data = data.to_pybytes() if data else b""
+    return [data[a:b] for a, b in itertools.pairwise(ends)]
+
+
+def running(counts: np.ndarray) -> np.ndarray:
+    """Sums of all before each place, and of all."""
+    return np.append(0, np.cumsum(counts, dtype=np.int64))
+
+
+def words_in(texts: pa.Array) -> tuple[pa.Array, np.ndarray]:
+    """The words of texts, one after the other, and where each text's begin and the last one's end."""
+    split = pc.ascii_split_whitespace(texts)
+    found = split.flatten().cast(pa.binary())
+    there = pc.not_equal(pc.binary_length(found), 0)  # white space at a text's end leaves an empty word
+    ends = running(there.to_numpy(zero_copy_only=False))[running(pc.list_value_length(split).to_numpy())]
+    return found.filter(there), ends
+
+
+def in_pieces(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The rows of a batch, as many at once as have ``PIECE`` bytes of text; a longer text comes alone."""
+    sizes = pc.binary_length(batch.column("text")).to_numpy(zero_copy_only=False)
+    at = size = 0
+    for i, own in enumerate(sizes.tolist()):
+        if i > at and size + own > PIECE:
+            yield batch.slice(at, i - at)
+            at, size = i, 0
+        size += own
+    if len(sizes):
+        yield batch.slice(at)
 
 
 def encode(docs: DataFrame, vocabulary: Vocabulary, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The texts as names, stored: training and scoring read them, and a row keeps its key."""
     rows = docs.select(F.monotonically_increasing_id().alias("key"), F.col(f"`{id_col}`").alias("id"), lowered(docs, text_col).alias("text"))
     kind = rows.schema["id"].dataType.simpleString()
-    named = rows.mapInArrow(lambda it: name_texts(it, vocabulary), f"key long, id {kind}, n_words long, names binary, share long, rare array<long>")
+    words, names, shares = pa.array(list(vocabulary), pa.binary()), vocabulary.names, vocabulary.shares
+    named = rows.mapInArrow(lambda it: name_texts(it, words, names, shares), f"key long, id {kind}, n_words long, names binary, share long, rare array<long>")
     folder = new_folder(docs.sparkSession, "names")
     named.write.option("compression", "zstd").parquet(folder)
     return docs.sparkSession.read.parquet(folder)

@@ -1,11 +1,14 @@
 import math
 import random
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
+import xxhash
 
 from facetloom.llm import lm_score as lm
 
@@ -81,6 +84,74 @@ def coded(text, vocabulary):
     return lm.names_of(lm.split_words((text or "").lower()), vocabulary).astype(np.uint16).tobytes()
 
 
+ODD = ["", "  ", " a  b\n", "b\x0bc\x0cd\re\t", "f\x1cg h\x85i\u00a0j", "\u00c4\u00d6 a", "a a rare words here", "x"]
+
+
+@pytest.mark.parametrize("piece", [1, 20, 1 << 24])
+def test_naming_and_counting_against_python(monkeypatch, piece):
+    monkeypatch.setattr(lm, "PIECE", piece)
+    monkeypatch.setattr(lm, "N_KNOWN", 2)
+    vocabulary = lm.Vocabulary([b"a", b"b", b"c", b"words"], np.array([0, 0, -5, -7]))
+    texts = ODD * 3
+    batch = pa.record_batch([pa.array(range(len(texts))), pa.array(range(len(texts))), pa.array(texts)], names=["key", "id", "text"]).slice(1)
+    split = [lm.split_words(t) for t in texts[1:]]
+    got = pa.Table.from_batches(lm.name_texts(iter([batch]), pa.array(list(vocabulary), pa.binary()), vocabulary.names, vocabulary.shares)).to_pydict()
+    assert got["key"] == got["id"] == list(range(1, len(texts)))
+    assert got["n_words"] == [len(w) for w in split]
+    assert got["names"] == [lm.names_of(w, vocabulary).astype(np.uint16).tobytes() for w in split]
+    assert got["share"] == [sum({b"c": -5, b"words": -7}.get(x, 0) for x in w) for w in split]
+    assert got["rare"] == [[int(np.uint64(xxhash.xxh64_intdigest(x, 42)).astype(np.int64)) for x in w if x not in vocabulary] for w in split]
+    counts = Counter()
+    for part in lm.count_texts(iter([batch])):
+        for w, n in zip(*part.to_pydict().values(), strict=True):
+            counts[w.encode()] += n
+    assert counts == Counter(x for w in split for x in w)
+    empty = pa.Table.from_batches(lm.name_texts(iter([batch]), pa.array([], pa.binary()), lm.Vocabulary().names, lm.Vocabulary().shares)).to_pydict()
+    assert empty["names"] == [lm.names_of(w, lm.Vocabulary()).astype(np.uint16).tobytes() for w in split]
+
+
+def calls_of(work):
+    """Functions called, those of extension modules included."""
+    n = 0
+
+    def note(frame, event, arg):
+        nonlocal n
+        n += event in ("call", "c_call")
+
+    sys.setprofile(note)
+    try:
+        work()
+    finally:
+        sys.setprofile(None)
+    return n
+
+
+def test_naming_and_learning_take_few_operations():
+    """Naming no step for each text or held word, learning few for each step, which is what keeps the query in its budget."""
+    vocabulary = lm.Vocabulary([b"w%d" % i for i in range(500)])
+    batch = pa.record_batch([pa.array(range(2000)), pa.array(range(2000)), pa.array([f"w{i % 500} w7 w{i % 77}" for i in range(2000)])], names=["key", "id", "text"])
+    words = pa.array(list(vocabulary), pa.binary())
+    assert calls_of(lambda: list(lm.name_texts(iter([batch]), words, vocabulary.names, vocabulary.shares))) < 1000
+    rng = np.random.default_rng(4)
+    around, names = rng.integers(0, lm.N_WORDS, (lm.STEP, 2 * lm.SIDE)).astype(np.uint16), rng.integers(0, lm.N_WORDS, lm.STEP).astype(np.int32)
+    net, gradients = lm.Network.start(), [np.empty_like(p) for p in lm.Network.start().parts()[1:]]
+    got, of_vectors = net.descents(around, names, 0.5, gradients)
+    plain, plain_vectors = net.descents(around, names)
+    assert all(a is b for a, b in zip(got, gradients, strict=True))  # no copies into one array
+    assert all(np.allclose(2 * a, b, atol=1e-4) for a, b in zip([*got, of_vectors], [*plain, plain_vectors], strict=True))
+
+
+def test_logits_are_bounded():
+    net = lm.Network.start()
+    around, names = np.tile([1, 2, 3, lm.EDGE], (64, 1)), np.arange(64)
+    for part in (net.group, net.place, net.group_bias, net.place_bias):
+        kept = part.copy()
+        part[..., 3] += 1000
+        assert np.isfinite(net.log_probabilities(around, names)).all()
+        assert all(np.isfinite(d).all() for d in net.descents(around, names)[0])
+        part[:] = kept
+
+
 def test_every_word_is_an_example():
     rng = np.random.default_rng(1)
     texts = [rng.integers(0, lm.N_WORDS, n).astype(np.uint16) for n in [3, 0, 1, 700, lm.AT_ONCE + 300, 20, 5000]]
